@@ -1,0 +1,44 @@
+"""Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
+
+Every query reads the shared tables (or views Spark derives from them) in
+full; each has an equivalent DuckDB statement in ``plans.oracle``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources import tables as T
+from ..operators import search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def register(name: str):
+    def deco(fn):
+        QUERIES[name] = fn
+        return fn
+    return deco
+
+
+# ---------------------------------------------------------------------------
+# Vectors
+# ---------------------------------------------------------------------------
+
+@register("vector_topk")
+def vector_topk(spark, sf_dir, k: int = 5):
+    """V4 + V6 + V7 + V8: one query vector (vec 0) against every vector."""
+    emb = T.table(spark, sf_dir, "embeddings")
+    q = emb.filter(F.col("vec_id") == 0).select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    hits = search.topk_inner_product(emb, q, k, id_col="vec_id", dim=None)
+    docs = T.table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.substring("text", 1, 500).alias("snippet"))
+    labels = emb.select(F.col("vec_id").alias("doc_id"), "label")
+    out = search.attach_metadata(hits, docs, "doc_id")
+    out = out.join(labels, "doc_id", "left")
+    return out.select("query_id", "rank", F.col("doc_id").alias("vec_id"),
+                      F.round("sim", 6).alias("similarity"), "label", "source", "snippet")

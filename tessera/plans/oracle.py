@@ -1,0 +1,21 @@
+"""DuckDB statements equivalent to the registered queries (the oracle).
+
+Tables region..conversations are views over the same parquet files.  CTEs
+below rebuild the derived views (articles, topics, ...) in DuckDB SQL.
+"""
+
+from __future__ import annotations
+
+ORACLE: dict[str, str] = {}
+
+ORACLE["vector_topk"] = """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0),
+s AS (SELECT q.query_id, e.vec_id, e.label,
+             list_dot_product(e.embedding::DOUBLE[], q.qv) AS sim
+      FROM embeddings e, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s)
+SELECT r.query_id, r.rank, r.vec_id, round(r.sim, 6) AS similarity, r.label,
+       d.source, substr(d.text, 1, 500) AS snippet
+FROM r LEFT JOIN documents d ON d.doc_id = r.vec_id
+WHERE r.rank <= 5
+"""
