@@ -42,3 +42,112 @@ def vector_topk(spark, sf_dir, k: int = 5):
     out = out.join(labels, "doc_id", "left")
     return out.select("query_id", "rank", F.col("doc_id").alias("vec_id"),
                       F.round("sim", 6).alias("similarity"), "label", "source", "snippet")
+
+
+# ---------------------------------------------------------------------------
+# Curation, sampling, assembly, profiling
+# ---------------------------------------------------------------------------
+
+from ..operators import curate, sample, profile  # noqa: E402
+
+# Exact-n per subreddit in the registered query.  The library default is the
+# reference's 1,250; the shared tables hold about 50 rows per source at
+# sf0.01, so the registered query draws 25 (strict: a short group raises).
+STRATIFIED_N = 25
+
+
+def _curated_comments(spark, sf_dir):
+    return curate.curate_comments(T.comments(spark, sf_dir))
+
+
+def _curated_jokes(spark, sf_dir):
+    return curate.curate_jokes(T.jokes(spark, sf_dir))
+
+
+@register("curate_comments")
+def curate_comments_q(spark, sf_dir):
+    return _curated_comments(spark, sf_dir).select("doc_id", "subreddit", "body", "score")
+
+
+@register("curate_jokes")
+def curate_jokes_q(spark, sf_dir):
+    return _curated_jokes(spark, sf_dir).select("doc_id", "subreddit", "text", "score")
+
+
+@register("stratified_exact")
+def stratified_exact_q(spark, sf_dir):
+    c = _curated_comments(spark, sf_dir)
+    s = sample.sample_per_group(c, "subreddit", STRATIFIED_N, "doc_id", strict=True)
+    return s.select("doc_id", "subreddit", "body", "score")
+
+
+def _bucketed_jokes(spark, sf_dir):
+    j = _curated_jokes(spark, sf_dir)
+    return sample.quantile_buckets(j, "score", out="score_bucket")
+
+
+@register("stratified_capped")
+def stratified_capped_q(spark, sf_dir):
+    j = _bucketed_jokes(spark, sf_dir)
+    s = sample.sample_per_group(j, "score_bucket", sample.L.JOKE_SAMPLE_CAP, "doc_id")
+    return s.select("doc_id", "text", "score", "score_bucket")
+
+
+@register("quantile_buckets")
+def quantile_buckets_q(spark, sf_dir):
+    j = _bucketed_jokes(spark, sf_dir)
+    return profile.histogram(j, "score_bucket")
+
+
+def _corpus(spark, sf_dir):
+    c = sample.sample_per_group(_curated_comments(spark, sf_dir), "subreddit",
+                                STRATIFIED_N, "doc_id", strict=True)
+    j = _bucketed_jokes(spark, sf_dir)
+    j = sample.sample_per_group(j, "score_bucket", sample.L.JOKE_SAMPLE_CAP, "doc_id")
+    return curate.assemble_corpus(c, j)
+
+
+@register("corpus_union")
+def corpus_union_q(spark, sf_dir):
+    return _corpus(spark, sf_dir).select("corpus_id", "source", "subreddit", "score", "text")
+
+
+@register("corpus_counts")
+def corpus_counts_q(spark, sf_dir):
+    return curate.counts_by_source(_corpus(spark, sf_dir))
+
+
+@register("corpus_alignment")
+def corpus_alignment_q(spark, sf_dir):
+    docs = T.table(spark, sf_dir, "documents").select("doc_id")
+    vecs = T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return curate.alignment_report(docs, vecs, "doc_id")
+
+
+@register("profile_shape")
+def profile_shape_q(spark, sf_dir):
+    return profile.shape(T.table(spark, sf_dir, "documents"))
+
+
+@register("profile_columns")
+def profile_columns_q(spark, sf_dir):
+    return profile.column_profile(T.table(spark, sf_dir, "labels").join(
+        T.table(spark, sf_dir, "documents"), "doc_id", "right"))
+
+
+@register("group_sizes")
+def group_sizes_q(spark, sf_dir):
+    return profile.group_sizes(_curated_comments(spark, sf_dir), "subreddit", 5)
+
+
+@register("distinct_subreddits")
+def distinct_subreddits_q(spark, sf_dir):
+    s = sample.sample_per_group(_curated_comments(spark, sf_dir), "subreddit",
+                                STRATIFIED_N, "doc_id", strict=True)
+    return profile.distinct_count(s, "subreddit")
+
+
+@register("seeded_peek")
+def seeded_peek_q(spark, sf_dir):
+    c = _curated_comments(spark, sf_dir).select("doc_id", "subreddit", "body", "score")
+    return profile.seeded_peek(c, "doc_id", 10, 42)

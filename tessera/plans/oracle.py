@@ -19,3 +19,135 @@ SELECT r.query_id, r.rank, r.vec_id, round(r.sim, 6) AS similarity, r.label,
 FROM r LEFT JOIN documents d ON d.doc_id = r.vec_id
 WHERE r.rank <= 5
 """
+
+# ---------------------------------------------------------------------------
+# SQL building blocks (DuckDB), mirroring tessera.functions.text
+# ---------------------------------------------------------------------------
+
+from ..functions import lexicons as L  # noqa: E402
+from ..functions.text import ENTITIES, WORD, WS  # noqa: E402
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+def unescape(x: str) -> str:
+    out = x
+    for ent, ch in ENTITIES:
+        out = f"replace({out}, {q(ent)}, {q(ch)})"
+    return out
+
+
+def clean_text(x: str) -> str:
+    y = unescape(f"coalesce({x}, '')")
+    y = f"regexp_replace({y}, '<[^>]+>', ' ', 'g')"
+    y = f"regexp_replace({y}, '[{WS}]+', ' ', 'g')"
+    return f"trim({y})"
+
+
+def normalize(x: str) -> str:
+    y = "lower(" + unescape(f"coalesce({x}, '')") + ")"
+    return f"trim(regexp_replace({y}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+def normalize_text(x: str) -> str:
+    y = f"lower(coalesce({x}, ''))"
+    y = f"regexp_replace({y}, '[^{WORD}{WS}''-]', ' ', 'g')"
+    y = f"regexp_replace({y}, '[{WS}]+', ' ', 'g')"
+    return f"trim({y})"
+
+
+def split_words(n: str) -> str:
+    return f"(CASE WHEN {n} = '' THEN []::VARCHAR[] ELSE string_split({n}, ' ') END)"
+
+
+def lit_list(values) -> str:
+    return "[" + ", ".join(q(v) for v in values) + "]::VARCHAR[]"
+
+
+# ---------------------------------------------------------------------------
+# Curation
+# ---------------------------------------------------------------------------
+
+COMMENTS = "SELECT doc_id, text AS body, source AS subreddit, n_chars AS score FROM documents"
+JOKES = ("SELECT doc_id, substring(text, 1, 40) AS title, substring(text, 41) AS selftext, "
+         "n_chars AS score, source AS subreddit FROM documents")
+
+CURATED_COMMENTS = f"""
+cc_f AS (SELECT doc_id, subreddit, score, {strip('body')} AS body FROM ({COMMENTS})
+         WHERE body IS NOT NULL AND body NOT IN ('[deleted]', '[removed]')),
+curated_comments AS (SELECT * FROM cc_f WHERE length(body) >= 20
+         QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id) = 1)"""
+
+CURATED_JOKES = f"""
+cj_f AS (SELECT doc_id, subreddit, score,
+                {strip("concat(coalesce(title, ''), chr(10), coalesce(selftext, ''))")} AS text
+         FROM ({JOKES}) WHERE coalesce(selftext, '') NOT IN ('[deleted]', '[removed]')),
+curated_jokes AS (SELECT * FROM cj_f WHERE length(text) >= 20
+         QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)"""
+
+N_STRAT = 25
+
+SAMPLED_COMMENTS = f"""
+sampled_comments AS (SELECT * FROM curated_comments WHERE subreddit IS NOT NULL
+   QUALIFY row_number() OVER (PARTITION BY subreddit
+           ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) <= {N_STRAT})"""
+
+BUCKETED_JOKES = """
+edges AS (SELECT list_sort(list_distinct(quantile_cont(score::DOUBLE, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e
+          FROM curated_jokes WHERE score IS NOT NULL),
+bucketed_jokes AS (SELECT j.*, CASE WHEN j.score IS NULL OR len(e) < 2 THEN NULL
+          ELSE greatest(len(list_filter(e, lambda v: v < j.score::DOUBLE)) - 1, 0) END::INTEGER AS score_bucket
+          FROM curated_jokes j, edges)"""
+
+SAMPLED_JOKES = f"""
+sampled_jokes AS (SELECT * FROM bucketed_jokes WHERE score_bucket IS NOT NULL
+   QUALIFY row_number() OVER (PARTITION BY score_bucket
+           ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) <= {L.JOKE_SAMPLE_CAP})"""
+
+ORACLE["curate_comments"] = f"WITH {CURATED_COMMENTS} SELECT doc_id, subreddit, body, score FROM curated_comments"
+ORACLE["curate_jokes"] = f"WITH {CURATED_JOKES} SELECT doc_id, subreddit, text, score FROM curated_jokes"
+ORACLE["stratified_exact"] = (f"WITH {CURATED_COMMENTS}, {SAMPLED_COMMENTS} "
+                              "SELECT doc_id, subreddit, body, score FROM sampled_comments")
+ORACLE["stratified_capped"] = (f"WITH {CURATED_JOKES}, {BUCKETED_JOKES}, {SAMPLED_JOKES} "
+                               "SELECT doc_id, text, score, score_bucket FROM sampled_jokes")
+ORACLE["quantile_buckets"] = (f"WITH {CURATED_JOKES}, {BUCKETED_JOKES} SELECT score_bucket, count(*) AS n "
+                              "FROM bucketed_jokes WHERE score_bucket IS NOT NULL GROUP BY score_bucket")
+CORPUS = f"""{CURATED_COMMENTS}, {SAMPLED_COMMENTS}, {CURATED_JOKES}, {BUCKETED_JOKES}, {SAMPLED_JOKES},
+corpus AS (
+  SELECT (0::BIGINT << 48) | doc_id AS corpus_id, body AS text, 'reddit_comment' AS source, subreddit, score::BIGINT AS score
+  FROM sampled_comments
+  UNION ALL
+  SELECT (1::BIGINT << 48) | doc_id, text, 'reddit_joke', subreddit, score::BIGINT FROM sampled_jokes)"""
+ORACLE["corpus_union"] = f"WITH {CORPUS} SELECT corpus_id, source, subreddit, score, text FROM corpus"
+ORACLE["corpus_counts"] = f"WITH {CORPUS} SELECT source, count(*) AS n FROM corpus GROUP BY source"
+ORACLE["corpus_alignment"] = """
+WITH t AS (SELECT doc_id, count(*) AS nt FROM documents GROUP BY doc_id),
+     m AS (SELECT vec_id AS doc_id, count(*) AS nm FROM embeddings GROUP BY vec_id),
+     j AS (SELECT t.nt, m.nm FROM t FULL OUTER JOIN m ON t.doc_id = m.doc_id)
+SELECT coalesce(sum(CASE WHEN nm IS NULL THEN nt END), 0)::BIGINT AS texts_without_metadata,
+       coalesce(sum(CASE WHEN nt IS NULL THEN nm END), 0)::BIGINT AS metadata_without_text,
+       count(CASE WHEN nt > 1 THEN 1 END) AS duplicate_text_keys
+FROM j"""
+ORACLE["profile_shape"] = """
+SELECT count(*) AS n_rows, 5 AS n_columns, ['doc_id', 'text', 'lang', 'source', 'n_chars'] AS columns FROM documents"""
+ORACLE["profile_columns"] = """
+WITH j AS (SELECT d.doc_id, l.quality, l.toxic, d.text, d.lang, d.source, d.n_chars
+           FROM labels l RIGHT JOIN documents d ON l.doc_id = d.doc_id),
+a AS (SELECT count(doc_id) c0, count(quality) c1, count(toxic) c2, count(text) c3,
+             count(lang) c4, count(source) c5, count(n_chars) c6 FROM j)
+SELECT * FROM (VALUES (0, 'doc_id', 'bigint'), (1, 'quality', 'int'), (2, 'toxic', 'int'),
+   (3, 'text', 'string'), (4, 'lang', 'string'), (5, 'source', 'string'), (6, 'n_chars', 'bigint'))
+   v(position, "column", dtype)
+CROSS JOIN LATERAL (SELECT [c0, c1, c2, c3, c4, c5, c6][position + 1] AS non_null FROM a)"""
+ORACLE["group_sizes"] = (f"WITH {CURATED_COMMENTS} SELECT subreddit, count(*) AS size FROM curated_comments "
+                         "WHERE subreddit IS NOT NULL GROUP BY subreddit ORDER BY subreddit LIMIT 5")
+ORACLE["distinct_subreddits"] = (f"WITH {CURATED_COMMENTS}, {SAMPLED_COMMENTS} "
+                                 "SELECT count(DISTINCT subreddit) AS n_distinct FROM sampled_comments")
+ORACLE["seeded_peek"] = (f"WITH {CURATED_COMMENTS} SELECT doc_id, subreddit, body, score FROM curated_comments "
+                         "ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id LIMIT 10")
