@@ -151,3 +151,123 @@ def distinct_subreddits_q(spark, sf_dir):
 def seeded_peek_q(spark, sf_dir):
     c = _curated_comments(spark, sf_dir).select("doc_id", "subreddit", "body", "score")
     return profile.seeded_peek(c, "doc_id", 10, 42)
+
+
+# ---------------------------------------------------------------------------
+# Articles, query match, retrieval, ranking
+# ---------------------------------------------------------------------------
+
+from ..functions import text as TX  # noqa: E402
+from ..operators import articles as A  # noqa: E402
+from ..operators import ranking as R  # noqa: E402
+from . import news as NW  # noqa: E402
+
+
+def _ts(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+@register("clean_articles")
+def clean_articles_q(spark, sf_dir):
+    e = A.prepare_entries(T.articles(spark, sf_dir))
+    return e.select("article_id", "title", "summary", "url", "source", "title_n",
+                    "url_key", "article_key", TX.article_text("title", "summary").alias("article_text"),
+                    TX.normalize_text("title").alias("title_rank_form"),
+                    TX.tokens("title").alias("title_tokens"))
+
+
+@register("article_flags")
+def article_flags_q(spark, sf_dir):
+    e = A.prepare_entries(T.articles(spark, sf_dir))
+    return e.select(
+        "article_id",
+        A.has_title_and_link().alias("has_title_link"),
+        A.has_meaningful_content().alias("meaningful"),
+        A.is_recent("published", T.AS_OF).alias("recent"),
+        A.looks_like_landing_page().alias("landing"),
+        A.looks_evergreen().alias("evergreen"),
+        A.looks_like_listicle().alias("listicle"),
+        A.looks_like_analysis().alias("analysis"))
+
+
+@register("query_terms")
+def query_terms_q(spark, sf_dir):
+    # The topics are the test feeds' requests; benchmark texts add one query
+    # per item so the table grows with the data.
+    q = A.prepare_queries(_all_topics(spark, sf_dir))
+    return q.select("query_id", "query", "qn", "terms", "aliases", "is_entity")
+
+
+def _all_topics(spark, sf_dir):
+    b = T.table(spark, sf_dir, "benchmark").select(
+        (F.col("item_id") + 1000).alias("topic_id"), F.col("text").alias("topic"))
+    return T.topics(spark).unionByName(b)
+
+
+@register("query_match")
+def query_match_q(spark, sf_dir):
+    e = A.prepare_entries(T.articles(spark, sf_dir))
+    q = A.prepare_queries(_all_topics(spark, sf_dir))
+    m = A.match_candidates(e, q)
+    return m.select("query_id", "article_id")
+
+
+@register("category_feed")
+def category_feed_q(spark, sf_dir):
+    a = T.articles(spark, sf_dir).withColumn("source", TX.source_or_default("source"))
+    cats = [r[0] for r in a.select("category").distinct().orderBy("category").collect()]
+    out = A.category_feed(a, cats, T.AS_OF)
+    return out.select("category", "source", "title", "url", "summary",
+                      _ts("published").alias("published"), "position")
+
+
+@register("news_for_query")
+def news_for_query_q(spark, sf_dir):
+    r = A.news_for_query(T.articles(spark, sf_dir), T.topics(spark), T.AS_OF)
+    return r.select("query_id", "rank", "article_id", "title", "url", "source",
+                    _ts("published").alias("published"))
+
+
+def _r6(c):
+    return F.round(c, 6)
+
+
+@register("article_signals")
+def article_signals_q(spark, sf_dir):
+    e = A.prepare_entries(T.articles(spark, sf_dir))
+    tn, sn = TX.normalize_text("title"), TX.normalize_text("summary")
+    return e.select("article_id",
+                    _r6(R.freshness("published", T.AS_OF)).alias("freshness"),
+                    _r6(R.source_quality("source")).alias("source_score"),
+                    _r6(R.newsworthiness(F.col("title"), tn, sn)).alias("newsworthiness"))
+
+
+@register("title_relevance")
+def title_relevance_q(spark, sf_dir):
+    e = A.prepare_entries(T.articles(spark, sf_dir))
+    q = A.prepare_queries(_all_topics(spark, sf_dir))
+    m = A.match_candidates(e, q)
+    return m.select("query_id", "article_id", _r6(R.title_relevance(
+        TX.normalize_text("query"), TX.normalize_text("title"))).alias("title_score"))
+
+
+@register("ranked_scores")
+def ranked_scores_q(spark, sf_dir):
+    s = NW.ranked(T.articles(spark, sf_dir), T.topics(spark), T.AS_OF)
+    return s.select("query_id", F.col("rank").alias("input_rank"), "article_id",
+                    _r6(F.col("semantic")).alias("semantic"), _r6(F.col("freshness")).alias("freshness"),
+                    _r6(F.col("source_score")).alias("source_score"),
+                    _r6(F.col("title_score")).alias("title_score"),
+                    _r6(F.col("newsworthiness")).alias("newsworthiness"),
+                    _r6(F.col("score")).alias("score"))
+
+
+DIVERSE_THRESHOLD = 0.30   # below the data's largest near-copy similarity, so it fires
+
+
+@register("diverse_news")
+def diverse_news_q(spark, sf_dir):
+    d = NW.diverse(T.articles(spark, sf_dir), T.topics(spark), T.AS_OF, top_k=10,
+                   threshold=DIVERSE_THRESHOLD)
+    return d.select("query_id", "rank", "article_id", "title", "source",
+                    _r6(F.col("score")).alias("score"))

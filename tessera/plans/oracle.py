@@ -151,3 +151,274 @@ ORACLE["distinct_subreddits"] = (f"WITH {CURATED_COMMENTS}, {SAMPLED_COMMENTS} "
                                  "SELECT count(DISTINCT subreddit) AS n_distinct FROM sampled_comments")
 ORACLE["seeded_peek"] = (f"WITH {CURATED_COMMENTS} SELECT doc_id, subreddit, body, score FROM curated_comments "
                          "ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id LIMIT 10")
+
+
+# ---------------------------------------------------------------------------
+# Articles, queries, retrieval, ranking
+# ---------------------------------------------------------------------------
+
+from ..sources.tables import TOPICS  # noqa: E402
+
+
+def d(x: float) -> str:
+    return f"CAST({float(x)!r} AS DOUBLE)"
+
+
+def alternation(patterns) -> str:
+    return q("(?:" + "|".join(patterns) + ")")
+
+
+ARTICLES = """
+articles AS (SELECT page_id AS article_id,
+  concat(CASE page_id % 14 WHEN 0 THEN 'Breaking news: ' WHEN 1 THEN 'What is ' WHEN 2 THEN '10 '
+    WHEN 3 THEN 'Opinion: ' WHEN 4 THEN 'Company announces AI deal, ' WHEN 5 THEN 'Why the 2018 '
+    WHEN 6 THEN 'GTA VI trailer leaked: ' WHEN 7 THEN 'Complete guide to ' WHEN 8 THEN 'Hands-on review: '
+    WHEN 9 THEN 'Is it over? ' WHEN 10 THEN 'Top reasons ' WHEN 11 THEN 'Trump said ' ELSE '' END,
+    regexp_extract(html, '<title>(.*?)</title>', 1)) AS raw_title,
+  CASE WHEN page_id % 17 = 0 THEN 'short' ELSE regexp_extract(html, '<p>(.*?)</p>', 1) END AS raw_summary,
+  CASE WHEN page_id % 25 = 3 THEN 'http://dup.example.com/A'
+       WHEN page_id % 25 = 4 THEN ' HTTP://DUP.example.com/a' ELSE url END AS url,
+  CASE page_id % 9 WHEN 0 THEN 'Reuters' WHEN 1 THEN 'BBC News'
+    WHEN 2 THEN 'ABC News - Breaking News, Latest News and Videos' WHEN 3 THEN 'Ignite Blog'
+    WHEN 4 THEN NULL WHEN 5 THEN 'The Hindu' WHEN 6 THEN '!!!'
+    ELSE regexp_extract(url, '^https?://([^/]+)', 1) END AS source,
+  regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1) AS category,
+  CASE WHEN page_id % 7 = 0 THEN NULL
+       ELSE TIMESTAMP '2025-01-01 00:00:00' - to_hours(CAST(page_id % 120 AS INTEGER)) END AS published,
+  page_id AS position
+FROM pages)"""
+
+AS_OF_SQL = "TIMESTAMP '2025-01-01 00:00:00'"
+
+ENTRIES = f"""
+e1 AS (SELECT article_id, position, published, category,
+   {clean_text('raw_title')} AS title,
+   {strip("coalesce(url, '')")} AS url,
+   {clean_text('raw_summary')} AS summary,
+   {strip("coalesce(nullif(source, ''), 'Google News')")} AS source
+ FROM articles),
+entries AS (SELECT *, {normalize('title')} AS title_n, {normalize('summary')} AS summary_n,
+   lower(url) AS url_key,
+   CASE WHEN url <> '' THEN lower({strip('url')}) ELSE {normalize('title')} END AS article_key
+ FROM e1),
+ent AS (SELECT *, trim(concat_ws(' ', title_n, summary_n)) AS text_n, title_n AS title_key FROM entries)"""
+
+FLAG_EXPR = {
+    "has_title_link": "(title <> '' AND url <> '')",
+    "meaningful": (f"(length({strip('title')}) >= 10 AND ({strip('summary')} = '' "
+                   f"OR length({strip('summary')}) >= 20))"),
+    "recent": f"(published IS NULL OR published >= {AS_OF_SQL} - INTERVAL 72 HOUR)",
+    "landing": f"(title_n = '' OR regexp_matches(title_n, {alternation(L.LANDING_PAGE_PATTERNS)}))",
+    "evergreen": f"regexp_matches(title_n, {alternation(L.EVERGREEN_PATTERNS)})",
+    "listicle": f"regexp_matches(title, '^[{WS}]*\\p{{Nd}}+[{WS}]+')",
+    "analysis": f"regexp_matches(title_n, {alternation(L.ANALYSIS_PATTERNS)})",
+}
+
+ORACLE["clean_articles"] = f"""WITH {ARTICLES}, {ENTRIES}
+SELECT article_id, title, summary, url, source, title_n, url_key, article_key,
+  concat_ws(' ', nullif({strip('title')}, ''), nullif({strip('summary')}, '')) AS article_text,
+  {normalize_text('title')} AS title_rank_form,
+  {split_words(normalize_text('title'))} AS title_tokens
+FROM ent"""
+
+ORACLE["article_flags"] = f"""WITH {ARTICLES}, {ENTRIES}
+SELECT article_id, {', '.join(f'{v} AS {k}' for k, v in FLAG_EXPR.items())} FROM ent"""
+
+_topic_rows = ", ".join(f"({i}, {q(t)})" for i, t in TOPICS)
+TOPICS_SQL = f"topics AS (SELECT * FROM (VALUES {_topic_rows}) v(topic_id, topic))"
+ALL_TOPICS_SQL = (f"{TOPICS_SQL}, all_topics AS (SELECT topic_id::BIGINT AS topic_id, topic FROM topics "
+                  "UNION ALL SELECT item_id + 1000, text FROM benchmark)")
+
+_alias_case = " ".join(f"WHEN {q(k)} THEN {lit_list(v)}" for k, v in L.QUERY_ALIASES.items())
+_alias_keys = ", ".join(q(k) for k in L.QUERY_ALIASES)
+
+
+def queries_sql(src: str) -> str:
+    return f"""
+q0 AS (SELECT topic_id AS query_id, {strip('topic')} AS query FROM {src}),
+q1 AS (SELECT query_id, query, {normalize('query')} AS qn FROM q0 WHERE query <> ''),
+qs AS (SELECT query_id, query, qn,
+   list_filter({split_words('qn')}, lambda t: NOT list_contains({lit_list(L.STOPWORDS)}, t)) AS terms,
+   CASE qn {_alias_case} ELSE [qn] END AS aliases,
+   qn IN ({_alias_keys}) AS is_entity
+ FROM q1)"""
+
+
+Q8_SQL = f"""(CASE WHEN qn = '' THEN false
+  WHEN is_entity THEN len(list_filter(aliases, lambda a: contains(text_n, a))) > 0
+  WHEN len(terms) = 0 THEN len(list_filter(aliases, lambda a: contains(text_n, a))) > 0
+  WHEN contains(title_n, qn) THEN true
+  ELSE len(list_filter(terms, lambda t: NOT list_contains({split_words('text_n')}, t))) = 0 END)"""
+
+ORACLE["query_terms"] = f"""WITH {ALL_TOPICS_SQL}, {queries_sql('all_topics')}
+SELECT query_id, query, qn, terms, aliases, is_entity FROM qs"""
+
+ORACLE["query_match"] = f"""WITH {ARTICLES}, {ENTRIES}, {ALL_TOPICS_SQL}, {queries_sql('all_topics')}
+SELECT qs.query_id, ent.article_id FROM ent, qs WHERE {Q8_SQL}"""
+
+ORACLE["category_feed"] = f"""WITH {ARTICLES},
+a2 AS (SELECT * REPLACE ({strip("coalesce(nullif(source, ''), 'Google News')")} AS source) FROM articles),
+cat AS (SELECT category, source, dense_rank() OVER (PARTITION BY category ORDER BY source) - 1 AS source_order
+        FROM (SELECT DISTINCT category, source FROM a2)),
+req AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS category_pos
+        FROM (SELECT DISTINCT category FROM a2)),
+n1 AS (SELECT a2.*, cat.source_order, req.category_pos FROM a2
+       JOIN cat ON a2.category = cat.category AND a2.source = cat.source
+       JOIN req ON a2.category = req.category
+       QUALIFY row_number() OVER (PARTITION BY a2.category, a2.source ORDER BY position) <= 10),
+c1 AS (SELECT category, source, position, published, source_order, category_pos,
+          {clean_text('raw_title')} AS title, {strip("coalesce(url, '')")} AS url,
+          {clean_text('raw_summary')} AS summary FROM n1),
+c2 AS (SELECT *, CASE WHEN url <> '' THEN lower({strip('url')}) ELSE {normalize('title')} END AS article_key
+       FROM c1
+       WHERE {FLAG_EXPR['has_title_link']} AND {FLAG_EXPR['meaningful']} AND {FLAG_EXPR['recent']})
+SELECT category, source, title, url, summary, strftime(published, '%Y-%m-%d %H:%M:%S') AS published, position
+FROM c2 QUALIFY row_number() OVER (PARTITION BY article_key ORDER BY category_pos, source_order, position) = 1"""
+
+PICKED = f"""{ARTICLES}, {ENTRIES}, {TOPICS_SQL}, {queries_sql('topics')},
+f AS (SELECT * FROM ent WHERE {FLAG_EXPR['has_title_link']} AND {FLAG_EXPR['meaningful']}
+        AND NOT {FLAG_EXPR['landing']} AND {FLAG_EXPR['recent']}),
+m AS (SELECT qs.query_id, qs.query, f.* FROM f, qs WHERE {Q8_SQL}),
+g AS (SELECT query_id, list(struct_pack(position := position, u := url_key, t := title_key,
+          article_id := article_id, title := title, summary := summary, url := url, source := source,
+          published := published, query := query) ORDER BY position) AS items FROM m GROUP BY query_id),
+acc AS (SELECT query_id, list_reduce(items, lambda acc, x: CASE WHEN len(acc) >= {L.QUERY_LIMIT}
+          OR len(list_filter(acc, lambda y: y.u = x.u OR y.t = x.t)) > 0 THEN acc
+          ELSE list_append(acc, x) END, list_filter(items, lambda x: false)) AS acc FROM g),
+p0 AS (SELECT query_id, unnest(acc, recursive := true) FROM acc),
+picked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY published DESC NULLS LAST, position) AS rank
+           FROM p0)"""
+
+ORACLE["news_for_query"] = f"""WITH {PICKED}
+SELECT query_id, rank, article_id, title, url, source,
+       strftime(published, '%Y-%m-%d %H:%M:%S') AS published FROM picked"""
+
+_sq = "[" + ", ".join(f"{{'k': {q(k)}, 'v': {d(v)}}}" for k, v in L.SOURCE_QUALITY.items()) + "]"
+
+
+def freshness_sql(p: str) -> str:
+    age = f"((epoch_us({AS_OF_SQL}) - epoch_us({p})) / {d(1e6)}) / {d(3600.0)}"
+    return (f"(CASE WHEN {p} IS NULL THEN {d(L.FRESHNESS_DEFAULT)} "
+            f"ELSE exp({d(-L.FRESHNESS_DECAY)} * greatest({d(0.0)}, {age})) END)")
+
+
+def source_sql(s: str) -> str:
+    n = normalize_text(s)
+    return (f"(CASE WHEN {s} IS NULL OR {s} = '' THEN {d(0.5)} ELSE coalesce("
+            f"list_filter({_sq}, lambda e: e.k = {n})[1].v, "
+            f"list_filter({_sq}, lambda e: starts_with({n}, e.k))[1].v, {d(0.5)}) END)")
+
+
+def _hits_sql(terms, tn, xn, tw, xw):
+    single = [t for t in terms if " " not in t]
+    multi = [t for t in terms if " " in t]
+    parts = []
+    if single:
+        a = lit_list(single)
+        parts.append(f"len(list_filter({a}, lambda t: list_contains({tw}, t)))")
+        parts.append(f"len(list_filter({a}, lambda t: list_contains({xw}, t)))")
+    if multi:
+        b = lit_list(multi)
+        parts.append(f"len(list_filter({b}, lambda t: contains({tn}, t)))")
+        parts.append(f"len(list_filter({b}, lambda t: contains({xn}, t)))")
+    return "(" + " + ".join(parts) + ")"
+
+
+def news_sql(title: str) -> str:
+    """Newsworthiness; expects columns tn, sn (ranking-normalized title/summary)."""
+    tn, xn = "tn", "(tn || ' ' || sn)"
+    tw, xw = "string_split(tn, ' ')", f"string_split({xn}, ' ')"
+    cur = f"least({_hits_sql(L.CURRENT_EVENT_TERMS, tn, xn, tw, xw)}, {L.CURRENT_EVENT_CAP})"
+    ev = lit_list(L.EVERGREEN_TERMS)
+    ever = (f"least(len(list_filter({ev}, lambda t: contains({tn}, t))) + "
+            f"len(list_filter({ev}, lambda t: contains({xn}, t))), {L.EVERGREEN_CAP})")
+    ana = f"least({_hits_sql(L.ANALYSIS_TERMS, tn, xn, tw, xw)}, {L.ANALYSIS_CAP})"
+    nw = f"[^{WORD}]"
+    qst = f"(CASE WHEN contains(coalesce({title}, ''), '?') THEN {d(L.QUESTION_PENALTY)} ELSE {d(0)} END)"
+    expl = (f"(CASE WHEN regexp_matches({tn}, '^(what|how|why)(?:{nw}|$)') "
+            f"THEN {d(L.EXPLAINER_PENALTY)} ELSE {d(0)} END)")
+    year = (f"(CASE WHEN regexp_matches({tn}, '(?:^|{nw})(?:19|20)\\p{{Nd}}{{2}}(?:{nw}|$)') "
+            f"THEN {d(L.YEAR_PENALTY)} ELSE {d(0)} END)")
+    lst = (f"(CASE WHEN len(list_filter({lit_list(L.LISTICLE_PHRASES)}, lambda p: contains({tn}, p))) > 0 "
+           f"THEN {d(L.LISTICLE_PENALTY)} ELSE {d(0)} END)")
+    s = (f"{d(L.NEWS_BASE)} + {cur} * {d(L.CURRENT_EVENT_STEP)} - {ever} * {d(L.EVERGREEN_STEP)} "
+         f"- {ana} * {d(L.ANALYSIS_STEP)} - {qst} - {expl} - {year} - {lst}")
+    return f"greatest({d(0)}, least({d(1)}, {s}))"
+
+
+def title_sql(query: str, title: str) -> str:
+    qn, tn = normalize_text(query), normalize_text(title)
+    qt, tt = split_words(qn), split_words(tn)
+    nq = f"len({qt})"
+    cov = f"(len(list_filter({qt}, lambda t: list_contains({tt}, t)))::DOUBLE / {nq})"
+    dom = (f"(CASE WHEN {nq} = 1 THEN (CASE WHEN list_contains({tt}, {qt}[1]) THEN {d(1)} ELSE {d(0)} END) "
+           f"ELSE least({d(1)}, {nq}::DOUBLE / greatest(len({tt}), 1)) END)")
+    mix = f"{d(L.TITLE_COVERAGE_W)} * {cov} + {d(L.TITLE_ORDERED_W)} * {d(0)} + {d(L.TITLE_DOMINANCE_W)} * {dom}"
+    return (f"(CASE WHEN {qn} = '' OR {tn} = '' OR {nq} = 0 THEN {d(0)} ELSE greatest({d(0)}, least({d(1)}, "
+            f"CASE WHEN contains({tn}, {qn}) THEN {d(1)} ELSE {mix} END)) END)")
+
+
+ORACLE["article_signals"] = f"""WITH {ARTICLES}, {ENTRIES},
+s AS (SELECT *, {normalize_text('title')} AS tn, {normalize_text('summary')} AS sn FROM ent)
+SELECT article_id, round({freshness_sql('published')}, 6) AS freshness,
+       round({source_sql('source')}, 6) AS source_score,
+       round({news_sql('title')}, 6) AS newsworthiness FROM s"""
+
+ORACLE["title_relevance"] = f"""WITH {ARTICLES}, {ENTRIES}, {ALL_TOPICS_SQL}, {queries_sql('all_topics')}
+SELECT qs.query_id, ent.article_id, round({title_sql('qs.query', 'ent.title')}, 6) AS title_score
+FROM ent, qs WHERE {Q8_SQL}"""
+
+
+def hashed_vectors(src: str, id_col: str, text_col: str, name: str, dim: int = 256) -> str:
+    """Dense hashed bag-of-words vectors (id, vec DOUBLE[dim]) for rows of src."""
+    toks = split_words(normalize_text(text_col))
+    return f"""
+{name}_t AS (SELECT {id_col} AS id, unnest({toks}) AS tok FROM {src}),
+{name}_c AS (SELECT id, (('0x' || substr(md5(tok), 1, 8))::BIGINT % {dim}) AS dm, count(*)::DOUBLE AS c
+             FROM {name}_t GROUP BY id, dm),
+{name}_n AS (SELECT id, sqrt(sum(c * c)) AS nrm FROM {name}_c GROUP BY id),
+{name}_ids AS (SELECT DISTINCT {id_col} AS id FROM {src}),
+{name} AS (SELECT i.id, list(coalesce(c.c / n.nrm, {d(0)}) ORDER BY g.dm) AS vec
+           FROM {name}_ids i CROSS JOIN range({dim}) g(dm)
+           LEFT JOIN {name}_c c ON c.id = i.id AND c.dm = g.dm
+           LEFT JOIN {name}_n n ON n.id = i.id
+           GROUP BY i.id)"""
+
+
+RANKED = f"""{PICKED},
+arts AS (SELECT DISTINCT article_id, concat_ws(' ', nullif({strip('title')}, ''), nullif({strip('summary')}, '')) AS atext
+         FROM picked),
+qtexts AS (SELECT DISTINCT query_id, query FROM picked),
+{hashed_vectors('arts', 'article_id', 'atext', 'av')},
+{hashed_vectors('qtexts', 'query_id', 'query', 'qv')},
+sc0 AS (SELECT p.*, av.vec AS vec, list_dot_product(av.vec, qv.vec) AS semantic,
+          {normalize_text('p.title')} AS tn, {normalize_text('p.summary')} AS sn
+        FROM picked p JOIN av ON av.id = p.article_id JOIN qv ON qv.id = p.query_id),
+sc AS (SELECT *, {freshness_sql('published')} AS freshness, {source_sql('source')} AS source_score,
+          {title_sql('query', 'title')} AS title_score, {news_sql('title')} AS newsworthiness FROM sc0),
+scored AS (SELECT *, {d(L.WEIGHTS['semantic'])} * semantic + {d(L.WEIGHTS['freshness'])} * freshness
+          + {d(L.WEIGHTS['source'])} * source_score + {d(L.WEIGHTS['title'])} * title_score
+          + {d(L.WEIGHTS['newsworthiness'])} * newsworthiness AS score FROM sc)"""
+
+ORACLE["ranked_scores"] = f"""WITH {RANKED}
+SELECT query_id, rank AS input_rank, article_id, round(semantic, 6) AS semantic, round(freshness, 6) AS freshness,
+  round(source_score, 6) AS source_score, round(title_score, 6) AS title_score,
+  round(newsworthiness, 6) AS newsworthiness, round(score, 6) AS score FROM scored"""
+
+
+def diverse_sql(threshold: float, top_k: int = 10) -> str:
+    return f"""WITH {RANKED},
+g2 AS (SELECT query_id, list(struct_pack(score := score, input_rank := rank, vec := vec,
+          skey := {normalize_text("coalesce(source, 'unknown')")}, article_id := article_id,
+          title := title, source := source) ORDER BY round(score, 12) DESC, rank) AS items
+       FROM scored GROUP BY query_id),
+sel AS (SELECT query_id, list_reduce(items, lambda acc, x: CASE WHEN len(acc) >= {top_k}
+          OR len(list_filter(acc, lambda y: y.skey = x.skey)) >= {L.MAX_PER_SOURCE}
+          OR len(list_filter(acc, lambda y: list_dot_product(y.vec, x.vec) >= {d(threshold)})) > 0
+          THEN acc ELSE list_append(acc, x) END, list_filter(items, lambda x: false)) AS acc FROM g2),
+o AS (SELECT query_id, unnest(generate_series(1, len(acc))) AS rank, unnest(acc) AS it FROM sel)
+SELECT query_id, rank, it.article_id AS article_id, it.title AS title, it.source AS source,
+       round(it.score, 6) AS score FROM o"""
+
+
+ORACLE["diverse_news"] = diverse_sql(0.30)

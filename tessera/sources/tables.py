@@ -70,14 +70,16 @@ def articles(spark, sf_dir) -> DataFrame:
 
 
 def _split_select(sql: str):
-    # split a SELECT list on top-level commas
-    out, depth, cur = [], 0, []
+    """Split a SELECT list on top-level commas (outside parentheses/quotes)."""
+    out, depth, cur, quoted = [], 0, [], False
     for ch in sql:
-        if ch == "(":
+        if ch == "'":
+            quoted = not quoted
+        elif not quoted and ch == "(":
             depth += 1
-        elif ch == ")":
+        elif not quoted and ch == ")":
             depth -= 1
-        if ch == "," and depth == 0:
+        if ch == "," and depth == 0 and not quoted:
             out.append("".join(cur))
             cur = []
         else:
