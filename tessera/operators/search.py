@@ -56,7 +56,13 @@ def _merge_topk(ids, sims, k):
     return ids[order], sims[order]
 
 
-def _partial_topk_fn(bc, k: int):
+# Similarities are ranked after rounding to this many decimals, so float noise
+# from a different summation order cannot reorder exact ties (which then go to
+# the lower id).
+RANK_DECIMALS = 12
+
+
+def _partial_topk_fn(bc, k: int, exclude_self: bool = False):
     def fn(batches):
         qids, Q = bc.value
         best_ids = [np.zeros(0, dtype=np.int64) for _ in range(len(qids))]
@@ -71,11 +77,15 @@ def _partial_topk_fn(bc, k: int):
                 continue
             if X.shape[1] != Q.shape[1]:
                 raise ValueError(f"corpus dim {X.shape[1]} != query dim {Q.shape[1]}")
-            S = X @ Q.T
+            S = np.round(X @ Q.T, RANK_DECIMALS)
             for j in range(len(qids)):
+                cid, cs = ids, S[:, j]
+                if exclude_self:
+                    keep = cid != qids[j]
+                    cid, cs = cid[keep], cs[keep]
                 best_ids[j], best_sims[j] = _merge_topk(
-                    np.concatenate([best_ids[j], ids]),
-                    np.concatenate([best_sims[j], S[:, j]]), k)
+                    np.concatenate([best_ids[j], cid]),
+                    np.concatenate([best_sims[j], cs]), k)
         out_q, out_d, out_s = [], [], []
         for j, q in enumerate(qids):
             out_q.append(np.full(len(best_ids[j]), q, dtype=np.int64))
@@ -105,11 +115,13 @@ def topk_inner_product(corpus: DataFrame, queries: DataFrame, k: int,
                        id_col: str = "doc_id", vec_col: str = "embedding",
                        query_id_col: str = "query_id", query_vec_col: str = "query_vec",
                        dim: int | None = None,
-                       max_query_bytes: int = DEFAULT_MAX_QUERY_BYTES) -> DataFrame:
+                       max_query_bytes: int = DEFAULT_MAX_QUERY_BYTES,
+                       exclude_self: bool = False) -> DataFrame:
     """Exact top-k corpus rows per query by inner product.
 
     Returns ``(query_id, doc_id, sim, rank)`` with rank 1..k ordered by
     ``sim desc, doc_id asc``.  Fewer than k rows when the corpus is smaller.
+    ``exclude_self`` drops the row whose id equals the query id (k-NN graph).
     """
     spark = corpus.sparkSession
     q = queries.select(F.col(query_id_col).cast("long"), F.col(query_vec_col))
@@ -136,7 +148,7 @@ def topk_inner_product(corpus: DataFrame, queries: DataFrame, k: int,
         if len(qids) == 0:
             continue
         bc = spark.sparkContext.broadcast((qids, Q))
-        p = c.mapInArrow(_partial_topk_fn(bc, k), _PARTIAL_SCHEMA)
+        p = c.mapInArrow(_partial_topk_fn(bc, k, exclude_self), _PARTIAL_SCHEMA)
         partials = p if partials is None else partials.unionByName(p)
     if partials is None:
         return spark.createDataFrame([], _PARTIAL_SCHEMA + ", rank int")

@@ -271,3 +271,89 @@ def diverse_news_q(spark, sf_dir):
                    threshold=DIVERSE_THRESHOLD)
     return d.select("query_id", "rank", "article_id", "title", "source",
                     _r6(F.col("score")).alias("score"))
+
+
+# ---------------------------------------------------------------------------
+# Embeddings, batch search, pairs, diversity over vectors
+# ---------------------------------------------------------------------------
+
+from ..functions import vectors as V  # noqa: E402
+from ..operators import embed as EM  # noqa: E402
+from ..operators import pairs  # noqa: E402
+
+HASH_DIM = EM.DEFAULT_DIM
+
+
+def _doc_vectors(spark, sf_dir):
+    d = T.table(spark, sf_dir, "documents")
+    return d.select("doc_id", "source", EM.hashed_embedding(F.col("text"), HASH_DIM).alias("vec"))
+
+
+@register("hash_embedding")
+def hash_embedding_q(spark, sf_dir):
+    """V1 + V2 on every document; sparse (doc_id, dim, weight) output."""
+    v = _doc_vectors(spark, sf_dir)
+    x = v.select("doc_id", F.posexplode("vec").alias("dim", "weight")).filter(F.col("weight") != 0)
+    return x.select("doc_id", "dim", F.round("weight", 6).alias("weight"))
+
+
+@register("hash_search")
+def hash_search_q(spark, sf_dir, k: int = 5):
+    """V3 + V5: every benchmark text as a query against every document."""
+    b = T.table(spark, sf_dir, "benchmark")
+    qv = b.select(F.col("item_id").alias("query_id"),
+                  EM.hashed_embedding(F.col("text"), HASH_DIM).alias("query_vec"))
+    hits = search.topk_inner_product(_doc_vectors(spark, sf_dir), qv, k, id_col="doc_id",
+                                     vec_col="vec", dim=HASH_DIM)
+    return hits.select("query_id", "rank", "doc_id", F.round("sim", 6).alias("similarity"))
+
+
+def _label_centroids(spark, sf_dir):
+    """One query per label: the normalized mean vector of the label."""
+    e = T.table(spark, sf_dir, "embeddings")
+    x = e.select("label", F.posexplode("embedding").alias("pos", "x"))
+    m = x.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    arr = m.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("a"))
+    return arr.select(F.col("label").cast("long").alias("query_id"),
+                      V.l2_normalize(F.transform("a", lambda s: s["m"]), as_float=False).alias("query_vec"))
+
+
+@register("vector_topk_batch")
+def vector_topk_batch_q(spark, sf_dir, k: int = 5):
+    e = T.table(spark, sf_dir, "embeddings")
+    hits = search.topk_inner_product(e, _label_centroids(spark, sf_dir), k, id_col="vec_id")
+    return hits.select("query_id", "rank", F.col("doc_id").alias("vec_id"),
+                       F.round("sim", 6).alias("similarity"))
+
+
+@register("similarity_knn")
+def similarity_knn_q(spark, sf_dir, k: int = 5):
+    e = T.table(spark, sf_dir, "embeddings")
+    g = pairs.knn_graph(e, k, id_col="vec_id")
+    return g.select(F.col("query_id").alias("vec_id"), "rank", F.col("doc_id").alias("neighbor_id"),
+                    F.round("sim", 6).alias("similarity"))
+
+
+PAIR_THRESHOLD = 0.30      # the data's largest pairwise similarity is ~0.51
+
+
+@register("near_duplicate_pairs")
+def near_duplicate_pairs_q(spark, sf_dir):
+    e = T.table(spark, sf_dir, "embeddings")
+    p = pairs.similarity_join(e, PAIR_THRESHOLD, id_col="vec_id")
+    return p.select("id_a", "id_b", F.round("sim", 6).alias("similarity"))
+
+
+@register("diverse_topk")
+def diverse_topk_q(spark, sf_dir, candidates: int = 50, top_k: int = 10):
+    """R8-R10 over vectors: per label-centroid query, the top 50 by inner
+    product are walked by similarity; at most 3 per label, none within
+    0.30 of a pick."""
+    e = T.table(spark, sf_dir, "embeddings")
+    hits = search.topk_inner_product(e, _label_centroids(spark, sf_dir), candidates, id_col="vec_id")
+    c = hits.join(e.select(F.col("vec_id").alias("doc_id"), "embedding", "label"), "doc_id")
+    c = c.withColumn("label_s", F.col("label").cast("string"))
+    d = R.diverse_select(c, "query_id", "sim", "rank", "embedding", "label_s", top_k,
+                         PAIR_THRESHOLD, payload=["doc_id", "label"])
+    return d.select("query_id", "rank", F.col("doc_id").alias("vec_id"), "label",
+                    F.round("sim", 6).alias("similarity"))

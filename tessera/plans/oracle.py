@@ -422,3 +422,68 @@ SELECT query_id, rank, it.article_id AS article_id, it.title AS title, it.source
 
 
 ORACLE["diverse_news"] = diverse_sql(0.30)
+
+
+# ---------------------------------------------------------------------------
+# Vectors
+# ---------------------------------------------------------------------------
+
+ORACLE["vector_topk"] = ORACLE["vector_topk"].replace(
+    "ORDER BY sim DESC, vec_id", "ORDER BY round(sim, 12) DESC, vec_id")
+
+_DOC_TOK = f"""
+dt AS (SELECT doc_id AS id, unnest({split_words(normalize_text('text'))}) AS tok FROM documents),
+dc AS (SELECT id, (('0x' || substr(md5(tok), 1, 8))::BIGINT % 256) AS dm, count(*)::DOUBLE AS c
+       FROM dt GROUP BY id, dm),
+dn AS (SELECT id, sqrt(sum(c * c)) AS nrm FROM dc GROUP BY id)"""
+
+ORACLE["hash_embedding"] = f"""WITH {_DOC_TOK}
+SELECT dc.id AS doc_id, dc.dm AS dim, round(dc.c / dn.nrm, 6) AS weight FROM dc JOIN dn USING (id)"""
+
+ORACLE["hash_search"] = f"""WITH {hashed_vectors('documents', 'doc_id', 'text', 'dv')},
+{hashed_vectors('benchmark', 'item_id', 'text', 'bv')},
+s AS (SELECT bv.id AS query_id, dv.id AS doc_id, list_dot_product(dv.vec, bv.vec) AS sim FROM dv, bv),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, doc_id) AS rank FROM s)
+SELECT query_id, rank, doc_id, round(sim, 6) AS similarity FROM r WHERE rank <= 5"""
+
+CENTROIDS = """
+ex AS (SELECT label, unnest(generate_series(0, len(embedding) - 1)) AS pos,
+              unnest(embedding)::DOUBLE AS x FROM embeddings),
+mm AS (SELECT label, pos, avg(x) AS m FROM ex GROUP BY label, pos),
+ca AS (SELECT label, list(m ORDER BY pos) AS a FROM mm GROUP BY label),
+cn AS (SELECT label, a, sqrt(list_sum(list_transform(a, lambda z: z * z))) AS nrm FROM ca),
+cent AS (SELECT label::BIGINT AS query_id,
+                list_transform(a, lambda z: CASE WHEN nrm = 0 THEN 0.0 ELSE z / nrm END) AS qv FROM cn)"""
+
+ORACLE["vector_topk_batch"] = f"""WITH {CENTROIDS},
+s AS (SELECT cent.query_id, e.vec_id, list_dot_product(e.embedding::DOUBLE[], cent.qv) AS sim
+      FROM embeddings e, cent),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, round(sim, 6) AS similarity FROM r WHERE rank <= 5"""
+
+ORACLE["similarity_knn"] = """
+WITH s AS (SELECT a.vec_id, b.vec_id AS neighbor_id,
+                  list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim
+           FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 12) DESC, neighbor_id) AS rank FROM s)
+SELECT vec_id, rank, neighbor_id, round(sim, 6) AS similarity FROM r WHERE rank <= 5"""
+
+ORACLE["near_duplicate_pairs"] = """
+SELECT a.vec_id AS id_a, b.vec_id AS id_b,
+       round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3"""
+
+ORACLE["diverse_topk"] = f"""WITH {CENTROIDS},
+s AS (SELECT cent.query_id, e.vec_id, e.label, e.embedding::DOUBLE[] AS v,
+             list_dot_product(e.embedding::DOUBLE[], cent.qv) AS sim FROM embeddings e, cent),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id) AS rank FROM s
+      QUALIFY rank <= 50),
+g AS (SELECT query_id, list(struct_pack(sim := sim, vec_id := vec_id, label := label, v := v,
+          skey := CAST(label AS VARCHAR)) ORDER BY round(sim, 12) DESC, rank) AS items FROM r GROUP BY query_id),
+sel AS (SELECT query_id, list_reduce(items, lambda acc, x: CASE WHEN len(acc) >= 10
+          OR len(list_filter(acc, lambda y: y.skey = x.skey)) >= 3
+          OR len(list_filter(acc, lambda y: list_dot_product(y.v, x.v) >= 0.3)) > 0
+          THEN acc ELSE list_append(acc, x) END, list_filter(items, lambda x: false)) AS acc FROM g),
+o AS (SELECT query_id, unnest(generate_series(1, len(acc))) AS rank, unnest(acc) AS it FROM sel)
+SELECT query_id, rank, it.vec_id AS vec_id, it.label AS label, round(it.sim, 6) AS similarity FROM o"""
