@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import tables as T
@@ -357,3 +357,133 @@ def diverse_topk_q(spark, sf_dir, candidates: int = 50, top_k: int = 10):
                          PAIR_THRESHOLD, payload=["doc_id", "label"])
     return d.select("query_id", "rank", F.col("doc_id").alias("vec_id"), "label",
                     F.round("sim", 6).alias("similarity"))
+
+
+# ---------------------------------------------------------------------------
+# Decisions, contexts, prompts
+# ---------------------------------------------------------------------------
+
+from ..operators import decisions as G  # noqa: E402
+
+# FIXED VALUES — logged model replies of the test conversations, chosen by
+# conv_id % 6 (classifier) and (conv_id + attempt) % 4 (critic).
+CLASSIFIER_REPLIES = [
+    '{"needs_news": true, "categories": ["tech","x","tech"]}',
+    'not json',
+    '{"needs_news": "false", "categories": ["gaming"]}',
+    '{"needs_news": true, "categories": []}',
+    '[1]',
+    '{}',
+]
+CRITIC_REPLIES = [
+    '{"passed": true, "feedback": "ok"}',
+    '{"passed": false, "feedback": "weak"}',
+    'not json',
+    '{}',
+]
+
+
+def _pick(arr: list[str], idx) -> F.Column:
+    return F.element_at(F.array(*[F.lit(s) for s in arr]), (idx % len(arr)).cast("int") + 1)
+
+
+def _attempts(spark, sf_dir):
+    """Attempt log: assistant turns numbered per conversation (at most 3)."""
+    c = T.table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    a = c.withColumn("attempt", F.row_number().over(w)).filter(F.col("attempt") <= G.L.MAX_ATTEMPTS)
+    a = a.select(F.col("conv_id").alias("topic_id"), "attempt", F.col("text").alias("draft"))
+    a = a.withColumn("reply", _pick(CRITIC_REPLIES, F.col("topic_id") + F.col("attempt")))
+    return a.withColumn("c", G.parse_critic("reply")).select(
+        "topic_id", "attempt", "draft", "c.reply_ok", "c.passed", "c.feedback")
+
+
+@register("classifier_decisions")
+def classifier_decisions_q(spark, sf_dir):
+    t = T.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("turns"))
+    t = t.withColumn("d", G.parse_classifier(_pick(CLASSIFIER_REPLIES, F.col("conv_id"))))
+    return t.select(F.col("conv_id").alias("topic_id"), "turns", "d.reply_ok", "d.needs_news",
+                    "d.categories")
+
+
+@register("critic_decisions")
+def critic_decisions_q(spark, sf_dir):
+    a = _attempts(spark, sf_dir)
+    return a.select("topic_id", "attempt", "reply_ok", "passed", "feedback",
+                    G.route(F.col("passed"), F.col("attempt")).alias("route"))
+
+
+@register("attempt_resolution")
+def attempt_resolution_q(spark, sf_dir):
+    r = G.resolve_attempts(_attempts(spark, sf_dir))
+    return r.select("topic_id", "attempt", "status", "passed", "feedback", "draft")
+
+
+def _rag_hits(spark, sf_dir, k: int = 5):
+    corpus = _corpus(spark, sf_dir).withColumn("vec", EM.hashed_embedding(F.col("text"), HASH_DIM))
+    b = T.table(spark, sf_dir, "benchmark")
+    qv = b.select(F.col("item_id").alias("query_id"),
+                  EM.hashed_embedding(F.col("text"), HASH_DIM).alias("query_vec"))
+    hits = search.topk_inner_product(corpus, qv, k, id_col="corpus_id", vec_col="vec", dim=HASH_DIM)
+    meta = corpus.select(F.col("corpus_id").alias("doc_id"), "source", "subreddit", "score", "text")
+    return search.attach_metadata(hits, meta, "doc_id")
+
+
+@register("rag_context")
+def rag_context_q(spark, sf_dir):
+    """G1: labelled example context per benchmark query (top 5 of the corpus)."""
+    h = _rag_hits(spark, sf_dir)
+    blk = G.example_block(F.col("rank"), F.col("source"), F.col("subreddit"), F.col("score"), F.col("text"))
+    return G.join_blocks(h, "query_id", "rank", blk, "\n")
+
+
+@register("plain_context")
+def plain_context_q(spark, sf_dir):
+    """Retrieved texts joined by a blank line."""
+    h = _rag_hits(spark, sf_dir)
+    return G.join_blocks(h, "query_id", "rank", G.py_str(F.col("text")), "\n\n")
+
+
+def _news_context(spark, sf_dir):
+    d = NW.diverse(T.articles(spark, sf_dir), T.topics(spark), T.AS_OF, top_k=10,
+                   threshold=DIVERSE_THRESHOLD, payload_extra=["summary"])
+    blk = G.news_block(F.col("rank"), F.col("title"), F.col("source"), F.col("published"),
+                       F.col("summary"), F.col("url"), F.col("score"))
+    return G.join_blocks(d, "query_id", "rank", blk, "\n\n", "news")
+
+
+@register("news_context")
+def news_context_q(spark, sf_dir):
+    return _news_context(spark, sf_dir)
+
+
+@register("news_gate")
+def news_gate_q(spark, sf_dir):
+    """Topics whose decision says no news, or with no ranked rows, get ''."""
+    t = T.topics(spark).withColumn("d", G.parse_classifier(_pick(CLASSIFIER_REPLIES, F.col("topic_id"))))
+    n = _news_context(spark, sf_dir).withColumnRenamed("query_id", "topic_id")
+    j = t.join(n, "topic_id", "left")
+    news = F.when(F.col("d.needs_news"), F.coalesce(F.col("news"), F.lit(""))).otherwise(F.lit(""))
+    return j.select("topic_id", F.col("d.needs_news").alias("needs_news"), news.alias("news"))
+
+
+# User templates for the request tables (G4, G13); placeholders in braces.
+CLASSIFY_TEMPLATE = "Topic: {topic}\nDoes this topic need current news? Answer in JSON."
+CRITIC_TEMPLATE = "Topic: {topic}\nDraft:\n{draft}\nPrevious feedback: {feedback}\nReview the draft."
+
+
+@register("prompt_requests")
+def prompt_requests_q(spark, sf_dir):
+    conv = T.table(spark, sf_dir, "conversations")
+    first = conv.filter(F.col("turn") == 0).select(F.col("conv_id").alias("topic_id"),
+                                                    F.col("text").alias("topic"))
+    cls = first.select("topic_id", F.lit(0).alias("attempt"), F.lit("classify").alias("stage"),
+                       G.render(CLASSIFY_TEMPLATE, {"topic": F.col("topic")}).alias("prompt"))
+    a = _attempts(spark, sf_dir).join(first, "topic_id")
+    w = Window.partitionBy("topic_id").orderBy("attempt")
+    a = a.withColumn("prev_feedback", F.lag("feedback").over(w))
+    crit = a.select("topic_id", "attempt", F.lit("critique").alias("stage"),
+                    G.render(CRITIC_TEMPLATE, {"topic": F.col("topic"), "draft": F.col("draft"),
+                                               "feedback": F.col("prev_feedback")}).alias("prompt"))
+    return cls.unionByName(crit)

@@ -40,10 +40,11 @@ def ranked(entries: DataFrame, topics: DataFrame, as_of: str, limit: int = L.QUE
 def diverse(entries: DataFrame, topics: DataFrame, as_of: str, top_k: int = 10,
             limit: int = L.QUERY_LIMIT, threshold: float = L.SIMILARITY_THRESHOLD,
             max_per_source: int = L.MAX_PER_SOURCE, inspect_cap: int | None = None,
-            embedding=EM.hashed_embedding) -> DataFrame:
+            embedding=EM.hashed_embedding, payload_extra: list[str] | None = None) -> DataFrame:
     """Ranked, diversified top_k per query."""
     s = ranked(entries, topics, as_of, limit, inspect_cap, embedding)
     payload = ["article_id", "title", "url", "source", "published", "semantic", "freshness",
-               "source_score", "title_score", "newsworthiness", "details", "query"]
+               "source_score", "title_score", "newsworthiness", "details", "query",
+               *(payload_extra or [])]
     return R.diverse_select(s, "query_id", "score", "rank", "vec", "source", top_k,
                             threshold, max_per_source, payload)

@@ -487,3 +487,143 @@ sel AS (SELECT query_id, list_reduce(items, lambda acc, x: CASE WHEN len(acc) >=
           THEN acc ELSE list_append(acc, x) END, list_filter(items, lambda x: false)) AS acc FROM g),
 o AS (SELECT query_id, unnest(generate_series(1, len(acc))) AS rank, unnest(acc) AS it FROM sel)
 SELECT query_id, rank, it.vec_id AS vec_id, it.label AS label, round(it.sim, 6) AS similarity FROM o"""
+
+
+# ---------------------------------------------------------------------------
+# Decisions, contexts, prompts
+# ---------------------------------------------------------------------------
+
+CLASSIFIER_REPLIES = [
+    '{"needs_news": true, "categories": ["tech","x","tech"]}',
+    'not json',
+    '{"needs_news": "false", "categories": ["gaming"]}',
+    '{"needs_news": true, "categories": []}',
+    '[1]',
+    '{}',
+]
+CRITIC_REPLIES = [
+    '{"passed": true, "feedback": "ok"}',
+    '{"passed": false, "feedback": "weak"}',
+    'not json',
+    '{}',
+]
+
+
+def pick_sql(arr, idx: str) -> str:
+    return f"({lit_list(arr)})[(({idx}) % {len(arr)}) + 1]"
+
+
+def truthy_sql(j: str) -> str:
+    t = f"json_type({j})"
+    return (f"(CASE WHEN {j} IS NULL THEN false WHEN {t} = 'NULL' THEN false "
+            f"WHEN {t} = 'BOOLEAN' THEN CAST({j} AS BOOLEAN) "
+            f"WHEN {t} IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST({j} AS DOUBLE) <> 0 "
+            f"WHEN {t} = 'VARCHAR' THEN length(json_extract_string({j}, '$')) > 0 "
+            f"WHEN {t} = 'ARRAY' THEN json_array_length({j}) > 0 "
+            f"WHEN {t} = 'OBJECT' THEN len(json_keys({j})) > 0 ELSE false END)")
+
+
+def ok_sql(r: str) -> str:
+    return f"(CASE WHEN json_valid({r}) THEN json_type({r}) = 'OBJECT' ELSE false END)"
+
+
+def classifier_cols(r: str) -> str:
+    cj = f"json_extract({r}, '$.categories')"
+    cats0 = (f"(CASE WHEN {ok_sql(r)} AND json_type({cj}) = 'ARRAY' "
+             f"THEN from_json({cj}, '[\"VARCHAR\"]') ELSE []::VARCHAR[] END)")
+    cats = f"list_filter({cats0}, lambda c: list_contains({lit_list(L.ALLOWED_CATEGORIES)}, c))"
+    nn = (f"(CASE WHEN len({cats}) = 0 THEN false WHEN {ok_sql(r)} "
+          f"THEN {truthy_sql(f'json_extract({r}, {q(chr(36) + '.needs_news')})')} ELSE false END)")
+    return f"{ok_sql(r)} AS reply_ok, {nn} AS needs_news, {cats} AS categories"
+
+
+ATTEMPTS = f"""
+att0 AS (SELECT conv_id AS topic_id, text AS draft,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS attempt
+         FROM conversations WHERE role = 'assistant'),
+att1 AS (SELECT *, {pick_sql(CRITIC_REPLIES, 'topic_id + attempt')} AS reply FROM att0 WHERE attempt <= 3),
+att AS (SELECT topic_id, attempt, draft, {ok_sql('reply')} AS reply_ok,
+          (CASE WHEN {ok_sql('reply')} THEN {truthy_sql("json_extract(reply, '$.passed')")} ELSE false END) AS passed,
+          (CASE WHEN NOT json_valid(reply) THEN {q(L.INVALID_CRITIC_FEEDBACK)}
+                ELSE json_extract_string(reply, '$.feedback') END) AS feedback
+        FROM att1)"""
+
+ROUTE = "(CASE WHEN passed THEN 'end' WHEN attempt >= 3 THEN 'end' ELSE 'regenerate' END)"
+
+ORACLE["classifier_decisions"] = f"""
+SELECT conv_id AS topic_id, count(*) AS turns,
+       {classifier_cols(pick_sql(CLASSIFIER_REPLIES, 'conv_id'))}
+FROM conversations GROUP BY conv_id"""
+
+ORACLE["critic_decisions"] = f"""WITH {ATTEMPTS}
+SELECT topic_id, attempt, reply_ok, passed, feedback, {ROUTE} AS route FROM att"""
+
+ORACLE["attempt_resolution"] = f"""WITH {ATTEMPTS},
+x AS (SELECT *, {ROUTE} AS route FROM att),
+fin AS (SELECT topic_id, coalesce(min(CASE WHEN route = 'end' THEN attempt END), max(attempt)) AS attempt,
+               CASE WHEN min(CASE WHEN route = 'end' THEN attempt END) IS NOT NULL THEN 'end' ELSE 'open' END AS status
+        FROM x GROUP BY topic_id)
+SELECT fin.topic_id, fin.attempt, fin.status, x.passed, x.feedback, x.draft
+FROM fin JOIN x ON fin.topic_id = x.topic_id AND fin.attempt = x.attempt"""
+
+RAG_HITS = f"""{CORPUS},
+{hashed_vectors('corpus', 'corpus_id', 'text', 'cv')},
+{hashed_vectors('benchmark', 'item_id', 'text', 'bq')},
+s AS (SELECT bq.id AS query_id, cv.id AS doc_id, list_dot_product(cv.vec, bq.vec) AS sim FROM cv, bq),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, doc_id) AS rank FROM s
+      QUALIFY rank <= 5),
+hits AS (SELECT r.query_id, r.rank, c.source, c.subreddit, c.score, c.text
+         FROM r JOIN corpus c ON c.corpus_id = r.doc_id)"""
+
+
+def py_str_sql(x: str) -> str:
+    return f"coalesce(CAST({x} AS VARCHAR), 'None')"
+
+
+_NL = "chr(10)"
+ORACLE["rag_context"] = f"""WITH {RAG_HITS}
+SELECT query_id, string_agg(concat({_NL}, 'Example ', rank, {_NL}, 'Source: ', {py_str_sql('source')}, {_NL},
+   'Subreddit: ', {py_str_sql('subreddit')}, {_NL}, 'Score: ', {py_str_sql('score')}, {_NL}, {_NL},
+   {py_str_sql('text')}, {_NL}), {_NL} ORDER BY rank) AS context
+FROM hits GROUP BY query_id"""
+
+ORACLE["plain_context"] = f"""WITH {RAG_HITS}
+SELECT query_id, string_agg({py_str_sql('text')}, {_NL} || {_NL} ORDER BY rank) AS context
+FROM hits GROUP BY query_id"""
+
+_diverse_news_rows = diverse_sql(0.30).replace(
+    "title := title, source := source)", "title := title, source := source, summary := summary, "
+    "url := url, published := published)")
+_NEWS_SELECT = """SELECT query_id, rank, it.article_id AS article_id, it.title AS title, it.source AS source,
+       round(it.score, 6) AS score FROM o"""
+NEWS_CONTEXT = _diverse_news_rows.replace(_NEWS_SELECT, "") + f""",
+nb AS (SELECT query_id, rank, concat('News #', rank, {_NL}, 'Title: ', {py_str_sql('it.title')}, {_NL},
+    'Source: ', {py_str_sql('it.source')}, {_NL}, 'Published: ',
+    CASE WHEN it.published IS NULL THEN 'None' ELSE strftime(it.published, '%Y-%m-%d %H:%M:%S') || '+00:00' END,
+    {_NL}, 'Summary: ', {py_str_sql('it.summary')}, {_NL}, 'URL: ', {py_str_sql('it.url')}, {_NL},
+    'Relevance Score: ', printf('%.4f', it.score), {_NL}) AS b FROM o),
+news_ctx AS (SELECT query_id, string_agg(b, {_NL} || {_NL} ORDER BY rank) AS news FROM nb GROUP BY query_id)"""
+
+ORACLE["news_context"] = NEWS_CONTEXT + "\nSELECT query_id, news FROM news_ctx"
+
+ORACLE["news_gate"] = NEWS_CONTEXT + f""",
+tg AS (SELECT topic_id, {classifier_cols(pick_sql(CLASSIFIER_REPLIES, 'topic_id'))} FROM topics)
+SELECT tg.topic_id, tg.needs_news,
+       CASE WHEN tg.needs_news THEN coalesce(n.news, '') ELSE '' END AS news
+FROM tg LEFT JOIN news_ctx n ON n.query_id = tg.topic_id"""
+
+CLASSIFY_TEMPLATE = "Topic: {topic}\nDoes this topic need current news? Answer in JSON."
+CRITIC_TEMPLATE = "Topic: {topic}\nDraft:\n{draft}\nPrevious feedback: {feedback}\nReview the draft."
+
+ORACLE["prompt_requests"] = f"""WITH {ATTEMPTS},
+first AS (SELECT conv_id AS topic_id, text AS topic FROM conversations WHERE turn = 0),
+a AS (SELECT att.*, first.topic,
+         lag(feedback) OVER (PARTITION BY att.topic_id ORDER BY attempt) AS prev_feedback
+      FROM att JOIN first ON att.topic_id = first.topic_id)
+SELECT topic_id, 0 AS attempt, 'classify' AS stage,
+       replace({q(CLASSIFY_TEMPLATE)}, '{{topic}}', {py_str_sql('topic')}) AS prompt FROM first
+UNION ALL
+SELECT topic_id, attempt, 'critique' AS stage,
+       replace(replace(replace({q(CRITIC_TEMPLATE)}, '{{topic}}', {py_str_sql('topic')}),
+               '{{draft}}', {py_str_sql('draft')}), '{{feedback}}', {py_str_sql('prev_feedback')}) AS prompt
+FROM a"""
