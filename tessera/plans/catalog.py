@@ -487,3 +487,57 @@ def prompt_requests_q(spark, sf_dir):
                     G.render(CRITIC_TEMPLATE, {"topic": F.col("topic"), "draft": F.col("draft"),
                                                "feedback": F.col("prev_feedback")}).alias("prompt"))
     return cls.unionByName(crit)
+
+
+# ---------------------------------------------------------------------------
+# Sources, dates, streaming
+# ---------------------------------------------------------------------------
+
+from ..functions import dates as DT  # noqa: E402
+from ..sources import feeds as FD  # noqa: E402
+from ..streaming import feeds as ST  # noqa: E402
+
+
+def _rendered_event_times(spark, sf_dir):
+    """Event times rendered as feed date text in four shapes (RFC-2822 with a
+    zone name, with an offset, ISO-8601, and without a zone)."""
+    e = T.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    k = F.col("event_id") % 4
+    shifted = F.col("ts") + F.expr("INTERVAL 5 HOURS 30 MINUTES")
+    raw = (F.when(k == 0, F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+            .when(k == 1, F.concat(F.date_format(shifted, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0530")))
+            .when(k == 2, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+            .otherwise(F.date_format("ts", "dd MMM yyyy HH:mm:ss")))
+    return e.select("event_id", raw.alias("raw"))
+
+
+@register("parse_dates")
+def parse_dates_q(spark, sf_dir):
+    r = _rendered_event_times(spark, sf_dir)
+    return r.select("event_id", "raw", _ts(DT.parse_published("raw")).alias("published"))
+
+
+@register("search_manifest")
+def search_manifest_q(spark, sf_dir):
+    q = A.prepare_queries(_all_topics(spark, sf_dir))
+    return q.select("query_id", FD.search_url("query").alias("request_url"))
+
+
+@register("stream_feed_keys")
+def stream_feed_keys_q(spark, sf_dir):
+    """ST1 over the pages table read as a stream: the accepted article keys."""
+    s = ST.stream_table(spark, sf_dir, "pages")
+    arts = s.selectExpr(*[x.strip() for x in T._split_select(T._ARTICLES_SQL)])
+    out = ST.run_available(ST.intake(arts, T.AS_OF).select("article_key"), "append", "feed-intake")
+    return out.select("article_key")
+
+
+@register("stream_source_counts")
+def stream_source_counts_q(spark, sf_dir):
+    """ST2: sliding 72 h / 24 h article counts per source, streamed."""
+    s = ST.stream_table(spark, sf_dir, "pages")
+    arts = s.selectExpr(*[x.strip() for x in T._split_select(T._ARTICLES_SQL)])
+    arts = arts.withColumn("source", TX.source_or_default("source"))
+    out = ST.run_available(ST.rolling_source_counts(arts), "complete", "source-counts")
+    return out.select(_ts(F.col("window.start")).alias("window_start"),
+                      _ts(F.col("window.end")).alias("window_end"), "source", "n")

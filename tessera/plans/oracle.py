@@ -627,3 +627,43 @@ SELECT topic_id, attempt, 'critique' AS stage,
        replace(replace(replace({q(CRITIC_TEMPLATE)}, '{{topic}}', {py_str_sql('topic')}),
                '{{draft}}', {py_str_sql('draft')}), '{{feedback}}', {py_str_sql('prev_feedback')}) AS prompt
 FROM a"""
+
+
+# ---------------------------------------------------------------------------
+# Dates, manifests, streaming
+# ---------------------------------------------------------------------------
+
+_RAW_TIMES = """
+ev AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts FROM events),
+rt AS (SELECT event_id, CASE event_id % 4
+   WHEN 0 THEN strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' GMT'
+   WHEN 1 THEN strftime(ts + INTERVAL 330 MINUTE, '%a, %d %b %Y %H:%M:%S') || ' +0530'
+   WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'
+   ELSE strftime(ts, '%d %b %Y %H:%M:%S') END AS raw FROM ev)"""
+
+ORACLE["parse_dates"] = f"""WITH {_RAW_TIMES},
+p AS (SELECT event_id, raw, regexp_replace(trim(raw), '^[A-Za-z]{{3}},[{WS}]*', '') AS s FROM rt)
+SELECT event_id, raw, strftime(coalesce(
+    CAST(try_strptime(s, '%d %b %Y %H:%M:%S %z') AS TIMESTAMP),
+    try_strptime(s, '%d %b %Y %H:%M:%S GMT'),
+    try_strptime(trim(raw), '%Y-%m-%dT%H:%M:%SZ'),
+    try_strptime(s, '%d %b %Y %H:%M:%S')), '%Y-%m-%d %H:%M:%S') AS published
+FROM p"""
+
+ORACLE["search_manifest"] = f"""WITH {ALL_TOPICS_SQL}, {queries_sql('all_topics')}
+SELECT query_id, {q(L.SEARCH_URL_PREFIX)} || replace(url_encode(query), '%20', '+')
+       || {q(L.SEARCH_URL_SUFFIX)} AS request_url FROM qs"""
+
+ORACLE["stream_feed_keys"] = f"""WITH {ARTICLES}, {ENTRIES}
+SELECT DISTINCT article_key FROM ent
+WHERE {FLAG_EXPR['has_title_link']} AND {FLAG_EXPR['meaningful']} AND NOT {FLAG_EXPR['landing']}
+  AND {FLAG_EXPR['recent']}"""
+
+ORACLE["stream_source_counts"] = f"""WITH {ARTICLES},
+a AS (SELECT {strip("coalesce(nullif(source, ''), 'Google News')")} AS source, published FROM articles
+      WHERE published IS NOT NULL),
+w AS (SELECT source, time_bucket(INTERVAL 24 HOUR, published) - to_hours(24 * i) AS ws
+      FROM a, (SELECT unnest([0, 1, 2]) AS i) k)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
+       strftime(ws + INTERVAL 72 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, source, count(*) AS n
+FROM w GROUP BY ws, source"""
