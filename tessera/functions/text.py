@@ -44,8 +44,14 @@ def _c(x) -> Column:
 
 
 def strip(c) -> Column:
-    """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(c), rf"^[{WS}]+|[{WS}]+$", "")
+    """Python ``str.strip()``: remove Unicode whitespace at both ends.
+
+    The regex only runs when the first or last character is whitespace;
+    otherwise the value is returned as is (no per-character scan)."""
+    x = _c(c)
+    edge = F.substring(x, 1, 1).rlike(f"[{WS}]") | F.substring(x, -1, 1).rlike(f"[{WS}]")
+    return F.when(edge, F.regexp_replace(F.regexp_replace(x, rf"^[{WS}]+", ""), rf"[{WS}]+$", "")) \
+            .otherwise(x)
 
 
 def unescape(c) -> Column:

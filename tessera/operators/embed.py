@@ -1,9 +1,9 @@
 """Text embedding (V1-V3) with a pluggable encoder.
 
-The built-in encoder is a hashed bag of words: tokens come from the ranking
-normalizer (JVM regex), each token maps to ``md5(token)[0:8] mod D`` in the
-JVM, and an Arrow-batched pandas UDF turns the dimension ids into an
-L2-normalized dense vector (``numpy.bincount``).  Any other encoder — e.g. a
+The built-in encoder is a hashed bag of words run like any model encoder:
+an Arrow-batched iterator pandas UDF tokenizes with the ranking normalizer,
+maps each token to ``md5(token)[0:8] mod D`` (memoized per worker) and
+returns the L2-normalized count vector (``numpy.bincount``).  Any other encoder — e.g. a
 sentence-embedding model loaded once per Python worker — plugs in through
 ``encoder_udf``: it receives a batch of texts and returns one vector each.
 """
@@ -12,43 +12,60 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import hashlib
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import text as TX
 
 DEFAULT_DIM = 256
 
 
-def hash_dims(tokens: Column, dim: int = DEFAULT_DIM) -> Column:
-    """token -> pmod(int(md5(token)[0:8], 16), dim), in the JVM."""
-    return F.transform(tokens, lambda t: F.pmod(
-        F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)))
+# Ranking normalizer, as Python's re sees it (the definition the JVM and SQL
+# forms mirror): lower; [^\w\s'-] -> ' '; split on whitespace.
+_NON_TOKEN = re.compile(r"[^\w\s'-]")
+
+
+def _dims_of(text: str, dim: int, cache: dict) -> np.ndarray:
+    toks = _NON_TOKEN.sub(" ", text.lower()).split()
+    out = np.empty(len(toks), dtype=np.int64)
+    for i, t in enumerate(toks):
+        d = cache.get(t)
+        if d is None:
+            d = int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % dim
+            if len(cache) < 1_000_000:
+                cache[t] = d
+        out[i] = d
+    return out
 
 
-def _dense_udf(dim: int, dtype: str):
+def _hashed_udf(dim: int, dtype: str):
     np_t = np.float64 if dtype == "double" else np.float32
 
     @F.pandas_udf(f"array<{dtype}>")
-    def dense(dims: pd.Series) -> pd.Series:
-        out = []
-        for d in dims:
-            if d is None:
-                out.append(None)
-                continue
-            v = np.bincount(np.asarray(d, dtype=np.int64), minlength=dim).astype(np.float64)
-            n = np.sqrt((v * v).sum())
-            out.append((v / n if n > 0 else v).astype(np_t))
-        return pd.Series(out)
-    return dense
+    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache: dict = {}
+        for texts in batches:
+            out = []
+            for t in texts:
+                if t is None:
+                    out.append(None)
+                    continue
+                v = np.bincount(_dims_of(t, dim, cache), minlength=dim).astype(np.float64)
+                n = np.sqrt((v * v).sum())
+                out.append((v / n if n > 0 else v).astype(np_t))
+            yield pd.Series(out)
+    return enc
 
 
 def hashed_embedding(text, dim: int = DEFAULT_DIM, dtype: str = "double") -> Column:
-    """L2-normalized hashed bag-of-words vector of a text column (V1 + V2)."""
-    toks = TX.tokens(text)
-    return _dense_udf(dim, dtype)(hash_dims(toks, dim))
+    """L2-normalized hashed bag-of-words vector of a text column (V1 + V2):
+    token -> int(md5(token)[0:8], 16) mod dim, counted, L2-normalized."""
+    c = F.col(text) if isinstance(text, str) else text
+    return _hashed_udf(dim, dtype)(c)
 
 
 def encoder_udf(load: Callable[[], Callable[[list[str]], np.ndarray]],

@@ -19,8 +19,27 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 AS_OF = "2025-01-01 00:00:00"
 
 
+# Row key of each table, used to spread a narrow scan by hash.
+KEYS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id",
+        "conversations": "conv_id", "events": "event_id", "benchmark": "item_id",
+        "labels": "doc_id", "lineitem": "l_orderkey", "orders": "o_orderkey"}
+
+
+def spread(df: DataFrame, key: str | None) -> DataFrame:
+    """Hash-spread a scan that has fewer partitions than the cluster has
+    cores (a file written as one row group scans as one task).  Planning-time
+    check only: a scan of many files is returned untouched, no shuffle."""
+    if key is None:
+        return df
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(par, key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, KEYS.get(name))
 
 
 def comments(spark, sf_dir) -> DataFrame:
