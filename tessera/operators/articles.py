@@ -20,6 +20,22 @@ from . import fold
 # Cleaning and keys
 # ---------------------------------------------------------------------------
 
+# Evaluate-once barrier.  Catalyst pushes a filter below the projection that
+# defines its columns by substituting their definitions; a predicate that
+# reads ``summary`` three times then runs the whole cleaning chain three
+# times per row.  The projection below carries a partition-id column (a
+# nondeterministic expression, so the filter is not pushed through it) and
+# ``keep`` references it, so the cleaned columns are computed once.
+ONCE = "__once"
+
+
+def keep(df: DataFrame, cond: Column) -> DataFrame:
+    """Filter on columns of ``prepare_entries`` without re-inlining them."""
+    if ONCE not in df.columns:
+        return df.filter(cond)
+    return df.filter((F.col(ONCE) >= 0) & cond).drop(ONCE)
+
+
 
 def prepare_entries(df: DataFrame, title: str = "raw_title", link: str = "url",
                     summary: str = "raw_summary", source: str | None = "source",
@@ -35,7 +51,8 @@ def prepare_entries(df: DataFrame, title: str = "raw_title", link: str = "url",
              .withColumn("text_n", F.trim(F.concat_ws(" ", "title_n", "summary_n")))
              .withColumn("url_key", F.lower("url"))
              .withColumn("title_key", F.col("title_n"))
-             .withColumn("article_key", TX.article_key("url", "title")))
+             .withColumn("article_key", TX.article_key("url", "title"))
+             .withColumn(ONCE, F.spark_partition_id()))
 
 
 def has_title_and_link() -> Column:                                       # Q1
@@ -197,17 +214,18 @@ def news_for_query(entries: DataFrame, topics: DataFrame, as_of: str,
     if inspect_cap is not None:
         e = e.filter(F.col("position") < inspect_cap)                   # N4
     e = prepare_entries(e)                                               # T1, T14
-    e = e.filter(has_title_and_link())                                   # Q1
-    e = e.filter(has_meaningful_content())                               # Q2
-    e = e.filter(~looks_like_landing_page())                             # Q4
-    e = e.filter(is_recent("published", as_of, max_age_hours))           # Q3
+    e = keep(e, has_title_and_link()                                     # Q1
+             & has_meaningful_content()                                  # Q2
+             & ~looks_like_landing_page()                                # Q4
+             & is_recent("published", as_of, max_age_hours))             # Q3
     q = prepare_queries(topics, id_col, text_col)                        # T15
     m = match_candidates(e, q)                                           # Q8
-    keep = fold.greedy_two_key(m, ["query_id"], "position", "url_key", "title_key",
-                               limit=limit)                              # N5, N6
+    known = inspect_cap if inspect_cap is not None else None
+    picked = fold.greedy_two_key(m, ["query_id"], "position", "url_key", "title_key",
+                                 limit=limit, known_max_group=known)     # N5, N6
     w = Window.partitionBy("query_id").orderBy(F.col("published").desc_nulls_last(),
                                                F.col("position").asc())
-    return keep.withColumn("rank", F.row_number().over(w))               # N7
+    return picked.withColumn("rank", F.row_number().over(w))             # N7
 
 
 def news_for_query_fold(entries: DataFrame, topics: DataFrame, as_of: str,
@@ -218,9 +236,8 @@ def news_for_query_fold(entries: DataFrame, topics: DataFrame, as_of: str,
     e = entries
     if inspect_cap is not None:
         e = e.filter(F.col("position") < inspect_cap)
-    e = prepare_entries(e)
-    e = e.filter(has_title_and_link() & has_meaningful_content() & ~looks_like_landing_page()
-                 & is_recent("published", as_of, max_age_hours))
+    e = keep(prepare_entries(e), has_title_and_link() & has_meaningful_content()
+             & ~looks_like_landing_page() & is_recent("published", as_of, max_age_hours))
     m = match_candidates(e, prepare_queries(topics))
     cols = [c for c in m.columns if c not in ("position", "query_id")]
     g = m.groupBy("query_id").agg(fold.sorted_items(["position"], cols).alias("items"))
@@ -229,10 +246,10 @@ def news_for_query_fold(entries: DataFrame, topics: DataFrame, as_of: str,
         lambda acc, x: F.exists(acc, lambda y: y.url_key.eqNullSafe(x.url_key)
                                 | y.title_key.eqNullSafe(x.title_key)),
         limit).alias("acc"))
-    keep = fold.explode_selected(picked, ["query_id"], "acc").drop("pick")
+    out = fold.explode_selected(picked, ["query_id"], "acc").drop("pick")
     w = Window.partitionBy("query_id").orderBy(F.col("published").desc_nulls_last(),
                                                F.col("position").asc())
-    return keep.withColumn("rank", F.row_number().over(w))
+    return out.withColumn("rank", F.row_number().over(w))
 
 
 def category_feed(entries: DataFrame, categories: list[str] | None, as_of: str,
@@ -262,8 +279,8 @@ def category_feed(entries: DataFrame, categories: list[str] | None, as_of: str,
     w1 = Window.partitionBy("category", "source").orderBy("position")
     e = e.withColumn("__n", F.row_number().over(w1)).filter(F.col("__n") <= limit_per_source)  # N1
     e = prepare_entries(e, default_source=None)
-    e = e.filter(has_title_and_link() & has_meaningful_content()
-                 & is_recent("published", as_of, max_age_hours))
+    e = keep(e, has_title_and_link() & has_meaningful_content()
+             & is_recent("published", as_of, max_age_hours))
     w2 = Window.partitionBy(F.xxhash64("article_key"), "article_key").orderBy(
         "category_pos", "source_order", "position")
     e = e.withColumn("__k", F.row_number().over(w2)).filter(F.col("__k") == 1)   # N2, N3

@@ -39,9 +39,49 @@ def explode_selected(df: DataFrame, group_cols: list[str], arr: str,
     return x.select(*group_cols, (F.col("__p") + 1).alias(pos_name), "__item.*")
 
 
+# Largest group walked by the in-group fold; bigger groups use the rounds.
+FOLD_MAX_GROUP = 20_000
+
+
 def greedy_two_key(df: DataFrame, group: list[str], order: str, key1: str, key2: str,
                    limit: int | None = None, max_rounds: int = 200,
-                   checkpoint: bool = True) -> DataFrame:
+                   checkpoint: bool = True, fold_max_group: int = FOLD_MAX_GROUP,
+                   known_max_group: int | None = None) -> DataFrame:
+    """First-come two-key selection (see ``greedy_two_key_rounds``).
+
+    The input is written once to the checkpoint folder; its largest group
+    size is then read from that table.  When every group is at most
+    ``fold_max_group`` rows (or ``known_max_group`` says so, e.g. an
+    inspection cap) the walk is a fold over each group's sorted rows;
+    otherwise the exact round-based selection runs, which never collects a
+    group.
+    """
+    if known_max_group is None:
+        if checkpoint and df.sparkSession.sparkContext.getCheckpointDir():
+            df = df.checkpoint()
+        row = df.groupBy(*group).count().agg(F.max("count").alias("m")).collect()[0]
+        known_max_group = row["m"] or 0
+    if known_max_group <= fold_max_group:
+        return greedy_two_key_fold(df, group, order, key1, key2, limit)
+    return greedy_two_key_rounds(df, group, order, key1, key2, limit, max_rounds, checkpoint)
+
+
+def greedy_two_key_fold(df: DataFrame, group: list[str], order: str, key1: str, key2: str,
+                        limit: int | None = None) -> DataFrame:
+    """The sequential walk as an ``aggregate`` fold per (bounded) group."""
+    cols = [c for c in df.columns if c not in (*group, order)]
+    g = df.groupBy(*group).agg(sorted_items([order], cols).alias("__items"))
+    picked = g.select(*group, fold_select(
+        F.col("__items"),
+        lambda acc, x: F.exists(acc, lambda y: y[key1].eqNullSafe(x[key1])
+                                | y[key2].eqNullSafe(x[key2])),
+        limit).alias("__acc"))
+    return explode_selected(picked, group, "__acc").drop("pick").select(*df.columns)
+
+
+def greedy_two_key_rounds(df: DataFrame, group: list[str], order: str, key1: str, key2: str,
+                          limit: int | None = None, max_rounds: int = 200,
+                          checkpoint: bool = True) -> DataFrame:
     """First-come selection where a row is rejected if an *accepted* row of
     its group shares ``key1`` or ``key2``; returns the accepted rows (at most
     ``limit`` per group, the earliest by ``order``).

@@ -9,12 +9,12 @@ partitioning join:
    distance of any qualifying pair (``r^2 = 2 M^2 - 2t`` for max norm M).
    By the triangle inequality a qualifying pair (x, y) always meets in
    y's home cell, so the join is exact.
-3. Home rows are joined to replicated rows with an equi-join on
-   ``(cell, salt)``: home rows of a cell are spread over ``salts`` buckets
-   by id hash and the replicated side is copied per bucket, so a cell that
-   holds a third of all vectors is split over many tasks.
-4. The join condition ``home.id < other.id AND dot >= t`` runs inside the
-   join, so non-qualifying pairs are never emitted.  Each qualifying pair is
+3. Home rows meet replicated rows in co-groups keyed by ``(cell, s1, s2)``;
+   the number of row and column blocks of a cell comes from its measured
+   size, so no co-group exceeds ``block_rows`` rows per side, even for a cell
+   holding a third of all vectors.
+4. Each co-group is scored by one numpy matmul; only pairs with
+   ``home.id < other.id AND dot >= t`` are emitted.  Each qualifying pair is
    reported once, from the home cell of its smaller id.
 """
 
@@ -54,10 +54,31 @@ def _cells_udf(bc, reach: float):
     return cells
 
 
+def _block_pairs_fn(threshold: float):
+    def fn(h: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        if len(h) == 0 or len(o) == 0:
+            return pd.DataFrame({"id_a": [], "id_b": [], "sim": []})
+        H = np.stack(h["va"].to_numpy()).astype(np.float64)
+        O = np.stack(o["vb"].to_numpy()).astype(np.float64)
+        S = H @ O.T
+        ia = h["id_a"].to_numpy()[:, None]
+        ib = o["id_b"].to_numpy()[None, :]
+        r, c = np.nonzero((S >= threshold) & (ia < ib))
+        return pd.DataFrame({"id_a": h["id_a"].to_numpy()[r], "id_b": o["id_b"].to_numpy()[c],
+                             "sim": S[r, c]})
+    return fn
+
+
 def similarity_join(vecs: DataFrame, threshold: float, id_col: str = "id",
-                    vec_col: str = "embedding", n_pivots: int = 16, salts: int = 4,
+                    vec_col: str = "embedding", n_pivots: int = 16, block_rows: int = 4096,
                     seed: int = 42) -> DataFrame:
-    """All pairs (id_a < id_b) with inner product >= threshold, exactly."""
+    """All pairs (id_a < id_b) with inner product >= threshold, exactly.
+
+    Cells are split into a grid of blocks sized from measured cell sizes:
+    home rows of cell c go to one of S1(c) row blocks, replicated rows to one
+    of S2(c) column blocks, and each (c, s1, s2) block pair is one co-group
+    holding at most ``block_rows`` rows per side, scored by a numpy matmul.
+    """
     spark = vecs.sparkSession
     v = vecs.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")) \
             .filter(F.col("v").isNotNull())
@@ -68,13 +89,25 @@ def similarity_join(vecs: DataFrame, threshold: float, id_col: str = "id",
     P = np.array([list(r[0]) for r in piv], dtype=np.float64)
     bc = spark.sparkContext.broadcast(P)
     c = v.withColumn("__c", _cells_udf(bc, reach)(F.col("v")))
-    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
-    home = c.select(F.col("id").alias("id_a"), F.col("v").alias("va"),
-                    F.col("__c.home").alias("cell"), salt.alias("salt"))
-    other = (c.select(F.col("id").alias("id_b"), F.col("v").alias("vb"),
-                      F.explode("__c.cells").alias("cell"))
-              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    cond = ((home["cell"] == other["cell"]) & (home["salt"] == other["salt"])
-            & (home["id_a"] < other["id_b"]) & (V.dot(home["va"], other["vb"]) >= F.lit(threshold)))
-    j = home.join(other, cond, "inner")
-    return j.select("id_a", "id_b", V.dot("va", "vb").alias("sim"))
+    if spark.sparkContext.getCheckpointDir():
+        c = c.checkpoint()
+    home_n = {r[0]: r[1] for r in c.groupBy(F.col("__c.home")).count().collect()}
+    rep_n = {r[0]: r[1] for r in c.select(F.explode("__c.cells").alias("cell"))
+                                  .groupBy("cell").count().collect()}
+    s1 = {k: max(1, -(-n // block_rows)) for k, n in home_n.items()}
+    s2 = {k: max(1, -(-n // block_rows)) for k, n in rep_n.items()}
+
+    def lit_map(m):
+        return F.create_map(*[x for k, val in m.items() for x in (F.lit(int(k)), F.lit(int(val)))]) \
+            if m else F.create_map().cast("map<int,int>")
+
+    s1m, s2m = lit_map(s1), lit_map(s2)
+    h = c.select(F.col("id").alias("id_a"), F.col("v").alias("va"), F.col("__c.home").alias("cell"))
+    h = (h.withColumn("s1", F.pmod(F.xxhash64("id_a"), F.element_at(s1m, F.col("cell"))).cast("int"))
+          .withColumn("s2", F.explode(F.sequence(F.lit(0), F.coalesce(F.element_at(s2m, F.col("cell")), F.lit(1)) - 1))))
+    o = c.select(F.col("id").alias("id_b"), F.col("v").alias("vb"), F.explode("__c.cells").alias("cell"))
+    o = (o.withColumn("s2", F.pmod(F.xxhash64("id_b"), F.element_at(s2m, F.col("cell"))).cast("int"))
+          .withColumn("s1", F.explode(F.sequence(F.lit(0), F.coalesce(F.element_at(s1m, F.col("cell")), F.lit(1)) - 1))))
+    keys = ["cell", "s1", "s2"]
+    return (h.groupBy(*keys).cogroup(o.groupBy(*keys))
+             .applyInPandas(_block_pairs_fn(threshold), "id_a long, id_b long, sim double"))

@@ -29,11 +29,14 @@ def sample_per_group(df: DataFrame, key: str, n: int, id_col: str,
     """Exactly n rows per non-null group (M1, strict) or at most n (M3)."""
     x = df.filter(F.col(key).isNotNull())
     if strict:
-        short = (x.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-                  .filter(F.col("n") < n).limit(1).collect())
-        if short:
-            raise ShortGroupError(
-                f"group {short[0][key]!r} has {short[0]['n']} rows, fewer than {n}")
+        # Lazy check, no extra pass: group sizes come from a partial
+        # aggregate joined back on the key; a short group fails the job.
+        sizes = x.groupBy(key).agg(F.count(F.lit(1)).alias("__gn"))
+        msg = F.concat(F.lit("group "), F.col(key).cast("string"), F.lit(" has "),
+                       F.col("__gn").cast("string"), F.lit(f" rows, fewer than {n}"))
+        x = (x.join(sizes, key)
+              .filter(F.when(F.col("__gn") < n, F.raise_error(msg)).otherwise(F.lit(True)))
+              .drop("__gn"))
     w = Window.partitionBy(key).orderBy(_seed_order(id_col, seed), F.col(id_col))
     return (x.withColumn("__rn", F.row_number().over(w))
              .filter(F.col("__rn") <= n).drop("__rn"))

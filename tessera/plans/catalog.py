@@ -421,7 +421,10 @@ def attempt_resolution_q(spark, sf_dir):
 
 
 def _rag_hits(spark, sf_dir, k: int = 5):
-    corpus = _corpus(spark, sf_dir).withColumn("vec", EM.hashed_embedding(F.col("text"), HASH_DIM))
+    # The corpus feeds both the vectors and the metadata join: write it once
+    # to the checkpoint folder instead of recomputing curation twice.
+    corpus = _corpus(spark, sf_dir).checkpoint()
+    corpus = corpus.withColumn("vec", EM.hashed_embedding(F.col("text"), HASH_DIM))
     b = T.table(spark, sf_dir, "benchmark")
     qv = b.select(F.col("item_id").alias("query_id"),
                   EM.hashed_embedding(F.col("text"), HASH_DIM).alias("query_vec"))

@@ -26,9 +26,10 @@ WATERMARK = f"{L.MAX_AGE_HOURS} hours"
 def intake(entries: DataFrame, as_of: str | None = None, watermark: str = WATERMARK) -> DataFrame:
     """Streaming (or batch) feed intake with exact-key dedupe (ST1)."""
     e = A.prepare_entries(entries)
-    e = e.filter(A.has_title_and_link() & A.has_meaningful_content() & ~A.looks_like_landing_page())
+    cond = A.has_title_and_link() & A.has_meaningful_content() & ~A.looks_like_landing_page()
     if as_of is not None:
-        e = e.filter(A.is_recent("published", as_of))
+        cond = cond & A.is_recent("published", as_of)
+    e = A.keep(e, cond)
     e = e.withColumn("event_time", F.coalesce(F.col("published"), F.current_timestamp()))
     return e.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["article_key"])
 
