@@ -56,7 +56,11 @@ def feed_entries(raw: DataFrame, default_source: str = L.DEFAULT_SOURCE) -> Data
 def malformed_report(raw: DataFrame, key: str = "feed_file") -> DataFrame:   # S12
     """Per feed file: rows, corrupt rows and a malformed flag."""
     corrupt = F.col(CORRUPT).isNotNull() if CORRUPT in raw.columns else F.lit(False)
-    return raw.groupBy(key).agg(F.count(F.lit(1)).alias("rows"),
+    # Count a struct of the parsed fields too: a query that reads only the
+    # corrupt-record column is not allowed (and would not parse the rows).
+    fields = [c for c in raw.columns if c not in (CORRUPT, key, "position")]
+    parsed = F.count(F.coalesce(*[F.col(c).cast("string") for c in fields])) if fields else F.lit(0)
+    return raw.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), parsed.alias("parsed_rows"),
                                 F.sum(corrupt.cast("int")).alias("corrupt_rows")) \
               .withColumn("malformed", F.col("corrupt_rows") > 0)
 
