@@ -544,3 +544,76 @@ def stream_source_counts_q(spark, sf_dir):
     out = ST.run_available(ST.rolling_source_counts(arts), "complete", "source-counts")
     return out.select(_ts(F.col("window.start")).alias("window_start"),
                       _ts(F.col("window.end")).alias("window_end"), "source", "n")
+
+
+# ---------------------------------------------------------------------------
+# Round trips through the file sources and sinks; reports
+# ---------------------------------------------------------------------------
+
+import uuid as _uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the session's checkpoint dir (shared on a cluster)."""
+    return ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{_uuid.uuid4().hex}"
+
+
+@register("csv_roundtrip_curation")
+def csv_roundtrip_curation_q(spark, sf_dir):
+    """S4 -> S1 -> F10: raw comments written as CSV (texts hold newlines and
+    quotes), read back with the explicit schema and multiLine, curated."""
+    path = _scratch(spark, "comments-csv")
+    raw = T.comments(spark, sf_dir).select(
+        "body", "subreddit", "score", F.lit(0).cast("int").alias("controversiality"), "doc_id")
+    FS.write_table(raw, path, "csv")
+    schema = FS.COMMENTS_SCHEMA.add("doc_id", "long")
+    back = FS.read_table(spark, path, "csv", schema)
+    return curate.curate_comments(back).select("doc_id", "subreddit", "body", "score")
+
+
+@register("vector_store_search")
+def vector_store_search_q(spark, sf_dir, k: int = 10):
+    """S9 -> S6 -> V4: persist the normalized vector table once, reload it
+    and search it (k = 10 as in the search script)."""
+    path = _scratch(spark, "vectors")
+    FS.save_vectors(T.table(spark, sf_dir, "embeddings"), path, "vec_id")
+    store = spark.read.parquet(path)
+    q = store.filter(F.col("vec_id") == 0).select(F.col("vec_id").alias("query_id"),
+                                                  F.col("embedding").alias("query_vec"))
+    hits = search.topk_inner_product(store, q, k, id_col="vec_id")
+    return hits.select("query_id", "rank", F.col("doc_id").alias("vec_id"),
+                       F.round("sim", 6).alias("similarity"))
+
+
+@register("vectors_report")
+def vectors_report_q(spark, sf_dir):
+    r = FS.vectors_report(T.table(spark, sf_dir, "embeddings"))
+    return r.select("ntotal", "min_dim", "max_dim", F.round("min_norm", 4).alias("min_norm"),
+                    F.round("max_norm", 4).alias("max_norm"), "dtype")
+
+
+@register("curation_report")
+def curation_report_q(spark, sf_dir):
+    """Rows left after each comment-curation stage, from one aggregate
+    pass (the dedupe stage counts distinct stripped texts)."""
+    c = T.comments(spark, sf_dir)
+    body = F.col("body")
+    nn = body.isNotNull()
+    nt = nn & ~body.isin(*curate.L.TOMBSTONES)
+    s = TX.strip(body)
+    ln = nt & (F.length(s) >= curate.L.MIN_TEXT_CHARS)
+    one = c.agg(F.count(F.lit(1)).alias("c0"), F.count(F.when(nn, 1)).alias("c1"),
+                F.count(F.when(nt, 1)).alias("c2"), F.count(F.when(ln, 1)).alias("c3"),
+                F.count_distinct(F.when(ln, s)).alias("c4"))
+    return one.selectExpr("stack(5, 0, 'raw', c0, 1, 'non_null', c1, 2, 'no_tombstone', c2, "
+                          "3, 'min_length', c3, 4, 'deduplicated', c4) as (stage_no, stage, n_rows)")
+
+
+@register("head_rows")
+def head_rows_q(spark, sf_dir):
+    """First five curated comments by key."""
+    return profile.head(_curated_comments(spark, sf_dir).select("doc_id", "subreddit", "body", "score"),
+                        "doc_id", 5)

@@ -667,3 +667,40 @@ w AS (SELECT source, time_bucket(INTERVAL 24 HOUR, published) - to_hours(24 * i)
 SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
        strftime(ws + INTERVAL 72 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, source, count(*) AS n
 FROM w GROUP BY ws, source"""
+
+
+# ---------------------------------------------------------------------------
+# Round trips and reports
+# ---------------------------------------------------------------------------
+
+ORACLE["csv_roundtrip_curation"] = ORACLE["curate_comments"]
+
+ORACLE["vector_store_search"] = """
+WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v,
+                  sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda z: z * z))) AS nrm FROM embeddings),
+u AS (SELECT vec_id, list_transform(v, lambda z: CASE WHEN nrm = 0 THEN 0.0 ELSE z / nrm END)::FLOAT[]::DOUBLE[] AS v
+      FROM n),
+q AS (SELECT vec_id AS query_id, v AS qv FROM u WHERE vec_id = 0),
+s AS (SELECT q.query_id, u.vec_id, list_dot_product(u.v, q.qv) AS sim FROM u, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, round(sim, 6) AS similarity FROM r WHERE rank <= 10"""
+
+ORACLE["vectors_report"] = """
+WITH n AS (SELECT embedding, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda z: z * z))) AS nrm
+           FROM embeddings)
+SELECT count(*) AS ntotal, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim,
+       round(min(nrm), 4) AS min_norm, round(max(nrm), 4) AS max_norm, 'float' AS dtype FROM n"""
+
+ORACLE["curation_report"] = f"""
+WITH c AS ({COMMENTS}),
+f AS (SELECT body, body IS NOT NULL AS nn,
+             body IS NOT NULL AND body NOT IN ('[deleted]', '[removed]') AS nt, {strip('body')} AS s FROM c),
+a AS (SELECT count(*) AS c0, count(CASE WHEN nn THEN 1 END) AS c1, count(CASE WHEN nt THEN 1 END) AS c2,
+             count(CASE WHEN nt AND length(s) >= 20 THEN 1 END) AS c3,
+             count(DISTINCT CASE WHEN nt AND length(s) >= 20 THEN s END) AS c4 FROM f)
+SELECT * FROM (VALUES (0, 'raw'), (1, 'non_null'), (2, 'no_tombstone'), (3, 'min_length'), (4, 'deduplicated'))
+  v(stage_no, stage)
+CROSS JOIN LATERAL (SELECT [c0, c1, c2, c3, c4][stage_no + 1] AS n_rows FROM a)"""
+
+ORACLE["head_rows"] = (f"WITH {CURATED_COMMENTS} SELECT doc_id, subreddit, body, score FROM curated_comments "
+                       "ORDER BY doc_id LIMIT 5")
