@@ -61,6 +61,33 @@ def _hashed_udf(dim: int, dtype: str):
     return enc
 
 
+def _hashed_sparse_udf(dim: int):
+    @F.pandas_udf("struct<dims:array<int>, weights:array<double>>")
+    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        cache: dict = {}
+        for texts in batches:
+            dims, weights = [], []
+            for t in texts:
+                if t is None:
+                    dims.append(None)
+                    weights.append(None)
+                    continue
+                v = np.bincount(_dims_of(t, dim, cache), minlength=dim).astype(np.float64)
+                nz = np.nonzero(v)[0]
+                n = np.sqrt((v[nz] * v[nz]).sum())
+                dims.append(nz.astype(np.int32))
+                weights.append(v[nz] / n if n > 0 else v[nz])
+            yield pd.DataFrame({"dims": dims, "weights": weights})
+    return enc
+
+
+def hashed_sparse(text, dim: int = DEFAULT_DIM) -> Column:
+    """The same vector as ``hashed_embedding`` in sparse form:
+    struct(dims ascending, weights) of the non-zero entries."""
+    c = F.col(text) if isinstance(text, str) else text
+    return _hashed_sparse_udf(dim)(c)
+
+
 def hashed_embedding(text, dim: int = DEFAULT_DIM, dtype: str = "double") -> Column:
     """L2-normalized hashed bag-of-words vector of a text column (V1 + V2):
     token -> int(md5(token)[0:8], 16) mod dim, counted, L2-normalized."""

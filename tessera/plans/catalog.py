@@ -292,9 +292,10 @@ def _doc_vectors(spark, sf_dir):
 @register("hash_embedding")
 def hash_embedding_q(spark, sf_dir):
     """V1 + V2 on every document; sparse (doc_id, dim, weight) output."""
-    v = _doc_vectors(spark, sf_dir)
-    x = v.select("doc_id", F.posexplode("vec").alias("dim", "weight")).filter(F.col("weight") != 0)
-    return x.select("doc_id", "dim", F.round("weight", 6).alias("weight"))
+    d = T.table(spark, sf_dir, "documents")
+    v = d.select("doc_id", EM.hashed_sparse(F.col("text"), HASH_DIM).alias("v"))
+    x = v.select("doc_id", F.explode(F.arrays_zip("v.dims", "v.weights")).alias("e"))
+    return x.select("doc_id", F.col("e.dims").cast("long").alias("dim"), F.round("e.weights", 6).alias("weight"))
 
 
 @register("hash_search")

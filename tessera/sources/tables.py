@@ -25,15 +25,23 @@ KEYS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id",
         "labels": "doc_id", "lineitem": "l_orderkey", "orders": "o_orderkey"}
 
 
-def spread(df: DataFrame, key: str | None) -> DataFrame:
+SPREAD_MIN_BYTES = 2 * 1024 * 1024
+
+
+def spread(df: DataFrame, key: str | None, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
     """Hash-spread a scan that has fewer partitions than the cluster has
-    cores (a file written as one row group scans as one task).  Planning-time
-    check only: a scan of many files is returned untouched, no shuffle."""
+    cores (a file written as one row group scans as one task) when it is big
+    enough for the extra exchange to pay.  Planning-time checks only (scan
+    partitions, Catalyst's size estimate): a scan of many files is returned
+    untouched, with no shuffle."""
     if key is None:
         return df
     par = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= par:
         return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < min_bytes:
+        return df
     return df.repartition(par, key)
 
 
