@@ -10,6 +10,8 @@ per map task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,22 +44,134 @@ def sample_per_group(df: DataFrame, key: str, n: int, id_col: str,
              .filter(F.col("__rn") <= n).drop("__rn"))
 
 
-QUANTILES = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
+def order_statistics(df: DataFrame, col: str, ranks: list[int], buckets: int = 1024,
+                     final_rows: int = 100_000, max_rounds: int = 64,
+                     stats: tuple | None = None) -> dict[int, float]:
+    """Exact values at the given 0-based ranks of the non-null ``col``.
+
+    Distributed and bounded.  Each round is one partial aggregate that, for
+    every pending rank with interval [lo, hi], counts the rows below ``lo``
+    and the rows in ``buckets`` equal-width sub-ranges of the interval (at
+    most ranks x (buckets + 1) groups reach the driver).  The interval then
+    shrinks to the bucket holding the rank plus one bucket on each side.  An
+    interval holding one distinct value (a value repeated in a third of all
+    rows ends here at once) gives the answer; one holding at most
+    ``final_rows`` rows is read directly.  No task holds more than
+    ``final_rows`` values.
+    """
+    x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    xc = F.col("x")
+    if stats is None:
+        b = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+        stats = (b["n"], b["lo"], b["hi"])
+    n, lo0, hi0 = stats
+    if not n:
+        return {}
+    state = {r: (float(lo0), float(hi0)) for r in sorted(set(ranks))}
+    out: dict[int, float] = {}
+
+    def read_finals(finals):
+        # one pass for all ranks whose interval is small enough to read
+        aggs = []
+        for j, r in enumerate(finals):
+            lo, hi = state[r]
+            aggs += [F.count(F.when(xc < lo, 1)).alias(f"b{j}"),
+                     F.collect_list(F.when((xc >= lo) & (xc <= hi), xc)).alias(f"v{j}")]
+        got = x.agg(*aggs).first()
+        for j, r in enumerate(finals):
+            out[r] = float(sorted(got[f"v{j}"])[r - got[f"b{j}"]])
+
+    if n <= final_rows:
+        read_finals(list(state))
+        return out
+    for _ in range(max_rounds):
+        pend = [r for r in state if r not in out]
+        if not pend:
+            break
+        spec = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(state[r][0]).alias("lo"),
+                                  F.lit(state[r][1]).alias("hi")) for i, r in enumerate(pend)])
+
+        def tag(e):
+            w = (e["hi"] - e["lo"]) / F.lit(float(buckets))
+            inside = F.when(w == 0, F.lit(0)).otherwise(
+                F.least(F.greatest(F.floor((xc - e["lo"]) / w), F.lit(0)), F.lit(buckets - 1)).cast("int"))
+            return F.struct(e["i"].alias("i"), F.when(xc < e["lo"], F.lit(-1)).otherwise(inside).alias("b"))
+
+        hits = F.transform(F.filter(spec, lambda e: xc <= e["hi"]), tag)
+        rows = (x.select(xc, F.explode(hits).alias("h")).groupBy("h.i", "h.b")
+                 .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
+                 .collect())
+        per: dict[int, dict[int, tuple]] = {}
+        for row in rows:
+            per.setdefault(row["i"], {})[row["b"]] = (row["n"], row["mn"], row["mx"])
+        finals = []
+        for i, r in enumerate(pend):
+            lo, hi = state[r]
+            cnt = per.get(i, {})
+            below = cnt.get(-1, (0, None, None))[0]
+            inner = [v for k, v in cnt.items() if k >= 0]
+            total = sum(v[0] for v in inner)
+            if not (below <= r < below + total):
+                raise RuntimeError(f"rank {r} left its interval [{lo}, {hi}]")
+            mn, mx = min(v[1] for v in inner), max(v[2] for v in inner)
+            if mn == mx:
+                out[r] = float(mn)
+                continue
+            if total <= final_rows:
+                finals.append(r)
+                continue
+            w = (hi - lo) / buckets
+            acc, bk = below, 0
+            for bk in range(buckets):
+                c = cnt.get(bk, (0,))[0]
+                if acc + c > r:
+                    break
+                acc += c
+            nlo = lo if bk <= 1 else lo + (bk - 1) * w
+            nhi = hi if bk >= buckets - 2 else lo + (bk + 2) * w
+            state[r] = (nlo, nhi)
+        if finals:
+            read_finals(finals)
+    missing = [r for r in state if r not in out]
+    if missing:
+        raise RuntimeError(f"order statistics did not converge for ranks {missing}")
+    return out
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float]:
+    """Quantiles with linear interpolation (numpy/pandas 'linear', DuckDB
+    quantile_cont) from exact order statistics."""
+    xd = F.col(col).cast("double")
+    b = df.filter(xd.isNotNull() & ~F.isnan(xd)).agg(
+        F.count(F.lit(1)).alias("n"), F.min(xd).alias("lo"), F.max(xd).alias("hi")).first()
+    n = b["n"]
+    if n == 0:
+        return []
+    pos = [p * (n - 1) for p in probs]
+    need = sorted({int(math.floor(p)) for p in pos} | {int(math.ceil(p)) for p in pos})
+    v = order_statistics(df, col, need, stats=(n, b["lo"], b["hi"]))
+    out = []
+    for p in pos:
+        lo, hi = v[int(math.floor(p))], v[int(math.ceil(p))]
+        out.append(lo + (hi - lo) * (p - math.floor(p)))
+    return out
 
 
 def quantile_edges(df: DataFrame, col: str, q: int = L.JOKE_BUCKETS,
                    exact: bool = True, accuracy: int = 100000) -> list[float]:
     """Distinct bucket edges at quantiles 0, 1/q, ..., 1 (linear interpolation).
 
-    ``exact`` uses Spark's exact ``percentile``; ``exact=False`` uses
-    ``percentile_approx`` (bounded memory per task at any scale).
+    ``exact`` computes exact order statistics with bounded memory per task;
+    ``exact=False`` uses ``percentile_approx``.
     """
     probs = [i / q for i in range(q + 1)]
-    arr = F.array(*[F.lit(p) for p in probs])
-    c = F.col(col).cast("double")
-    agg = F.percentile(c, arr) if exact else F.percentile_approx(c, arr, accuracy)
-    row = df.filter(F.col(col).isNotNull()).agg(agg.alias("e")).collect()[0]
-    edges = row["e"] or []
+    if exact:
+        edges = exact_quantiles(df, col, probs)
+    else:
+        arr = F.array(*[F.lit(p) for p in probs])
+        row = df.filter(F.col(col).isNotNull()).agg(
+            F.percentile_approx(F.col(col).cast("double"), arr, accuracy).alias("e")).collect()[0]
+        edges = row["e"] or []
     out = []
     for e in edges:
         if not out or e != out[-1]:

@@ -60,3 +60,16 @@ def test_profile_and_alignment(spark):
     m = spark.createDataFrame([(2,), (3,)], "doc_id long")
     r = curate.alignment_report(t, m, "doc_id").first()
     assert (r.texts_without_metadata, r.metadata_without_text, r.duplicate_text_keys) == (1, 1, 1)
+
+
+def test_order_statistics_exact(spark):
+    import numpy as np
+    rnd = np.random.default_rng(5)
+    vals = np.concatenate([rnd.integers(0, 1000, 3000), np.full(2000, 17), rnd.normal(size=500) * 1e6])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    s = np.sort(vals)
+    ranks = [0, 1, 2500, 2999, 3000, 4000, len(vals) - 1]
+    got = sample.order_statistics(df, "x", ranks, buckets=8, final_rows=50)
+    assert got == {r: float(s[r]) for r in ranks}
+    q = sample.exact_quantiles(df, "x", [0, 0.2, 0.5, 0.8, 1])
+    assert np.allclose(q, np.quantile(vals, [0, 0.2, 0.5, 0.8, 1]), rtol=0, atol=1e-9)
