@@ -162,12 +162,25 @@ def match_candidates(entries: DataFrame, queries: DataFrame,
     bounded query table: (a) by Aho-Corasick, (b) by array intersection with
     the anchor set.  The candidate query ids are exploded, joined to the
     broadcast query table by id (equi-join), and the full rule verifies.
+    A query table above ``max_query_rows`` is split into hashed blocks, one
+    pass over the entries per block.
     """
+    cols = ["query_id", "qn", "terms", "aliases", "is_entity"]
+    qrows = queries.select(*cols).limit(max_query_rows + 1).collect()
+    if len(qrows) <= max_query_rows:
+        return _match_block(entries, queries, qrows)
+    nblocks = -(-queries.count() // max_query_rows)
+    blk = F.pmod(F.xxhash64("query_id"), F.lit(nblocks))
+    out = None
+    for b in range(nblocks):
+        qb = queries.filter(blk == b)
+        part = _match_block(entries, qb, qb.select(*cols).collect())
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _match_block(entries: DataFrame, queries: DataFrame, qrows) -> DataFrame:
     spark = entries.sparkSession
-    qrows = queries.select("query_id", "qn", "terms", "aliases", "is_entity") \
-                   .limit(max_query_rows + 1).collect()
-    if len(qrows) > max_query_rows:
-        raise ValueError("query table exceeds the broadcast budget; split it into blocks")
     patterns, anchors = [], {}
     for r in qrows:
         if r.is_entity or not r.terms:
