@@ -238,7 +238,7 @@ def news_for_query(entries: DataFrame, topics: DataFrame, as_of: str,
                                  limit=limit, known_max_group=known)     # N5, N6
     w = Window.partitionBy("query_id").orderBy(F.col("published").desc_nulls_last(),
                                                F.col("position").asc())
-    return picked.withColumn("rank", F.row_number().over(w))             # N7
+    return picked.withColumn("rank", F.row_number().over(w).cast("long"))  # N7
 
 
 def news_for_query_fold(entries: DataFrame, topics: DataFrame, as_of: str,
@@ -262,7 +262,7 @@ def news_for_query_fold(entries: DataFrame, topics: DataFrame, as_of: str,
     out = fold.explode_selected(picked, ["query_id"], "acc").drop("pick")
     w = Window.partitionBy("query_id").orderBy(F.col("published").desc_nulls_last(),
                                                F.col("position").asc())
-    return out.withColumn("rank", F.row_number().over(w))
+    return out.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
 def category_feed(entries: DataFrame, categories: list[str] | None, as_of: str,

@@ -36,7 +36,7 @@ def explode_selected(df: DataFrame, group_cols: list[str], arr: str,
                      pos_name: str = "pick") -> DataFrame:
     """One row per selected item, with its 1-based pick order."""
     x = df.select(*group_cols, F.posexplode(arr).alias("__p", "__item"))
-    return x.select(*group_cols, (F.col("__p") + 1).alias(pos_name), "__item.*")
+    return x.select(*group_cols, (F.col("__p") + 1).cast("long").alias(pos_name), "__item.*")
 
 
 # Largest group walked by the in-group fold; bigger groups use the rounds.

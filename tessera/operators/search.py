@@ -153,7 +153,7 @@ def topk_inner_product(corpus: DataFrame, queries: DataFrame, k: int,
     if partials is None:
         return spark.createDataFrame([], _PARTIAL_SCHEMA + ", rank int")
     w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), F.col("doc_id").asc())
-    return (partials.withColumn("rank", F.row_number().over(w))
+    return (partials.withColumn("rank", F.row_number().over(w).cast("long"))
             .filter(F.col("rank") <= k))
 
 

@@ -392,7 +392,7 @@ def _attempts(spark, sf_dir):
     """Attempt log: assistant turns numbered per conversation (at most 3)."""
     c = T.table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
     w = Window.partitionBy("conv_id").orderBy("turn")
-    a = c.withColumn("attempt", F.row_number().over(w)).filter(F.col("attempt") <= G.L.MAX_ATTEMPTS)
+    a = c.withColumn("attempt", F.row_number().over(w).cast("long")).filter(F.col("attempt") <= G.L.MAX_ATTEMPTS)
     a = a.select(F.col("conv_id").alias("topic_id"), "attempt", F.col("text").alias("draft"))
     a = a.withColumn("reply", _pick(CRITIC_REPLIES, F.col("topic_id") + F.col("attempt")))
     return a.withColumn("c", G.parse_critic("reply")).select(
@@ -482,7 +482,7 @@ def prompt_requests_q(spark, sf_dir):
     conv = T.table(spark, sf_dir, "conversations")
     first = conv.filter(F.col("turn") == 0).select(F.col("conv_id").alias("topic_id"),
                                                     F.col("text").alias("topic"))
-    cls = first.select("topic_id", F.lit(0).alias("attempt"), F.lit("classify").alias("stage"),
+    cls = first.select("topic_id", F.lit(0).cast("long").alias("attempt"), F.lit("classify").alias("stage"),
                        G.render(CLASSIFY_TEMPLATE, {"topic": F.col("topic")}).alias("prompt"))
     a = _attempts(spark, sf_dir).join(first, "topic_id")
     w = Window.partitionBy("topic_id").orderBy("attempt")

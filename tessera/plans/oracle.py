@@ -225,7 +225,8 @@ ORACLE["article_flags"] = f"""WITH {ARTICLES}, {ENTRIES}
 SELECT article_id, {', '.join(f'{v} AS {k}' for k, v in FLAG_EXPR.items())} FROM ent"""
 
 _topic_rows = ", ".join(f"({i}, {q(t)})" for i, t in TOPICS)
-TOPICS_SQL = f"topics AS (SELECT * FROM (VALUES {_topic_rows}) v(topic_id, topic))"
+TOPICS_SQL = (f"topics AS (SELECT topic_id::BIGINT AS topic_id, topic "
+              f"FROM (VALUES {_topic_rows}) v(topic_id, topic))")
 ALL_TOPICS_SQL = (f"{TOPICS_SQL}, all_topics AS (SELECT topic_id::BIGINT AS topic_id, topic FROM topics "
                   "UNION ALL SELECT item_id + 1000, text FROM benchmark)")
 

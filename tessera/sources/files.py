@@ -79,7 +79,8 @@ def vectors_report(df: DataFrame, vec: str = "embedding") -> DataFrame:  # S6
     et = df.schema[vec].dataType.elementType.simpleString()
     n = V.l2_norm(vec)
     return df.agg(F.count(F.lit(1)).alias("ntotal"),
-                  F.min(F.size(vec)).alias("min_dim"), F.max(F.size(vec)).alias("max_dim"),
+                  F.min(F.size(vec)).cast("long").alias("min_dim"),
+                  F.max(F.size(vec)).cast("long").alias("max_dim"),
                   F.min(n).alias("min_norm"), F.max(n).alias("max_norm")) \
              .withColumn("dtype", F.lit(et))
 
