@@ -618,3 +618,38 @@ def head_rows_q(spark, sf_dir):
     """First five curated comments by key."""
     return profile.head(_curated_comments(spark, sf_dir).select("doc_id", "subreddit", "body", "score"),
                         "doc_id", 5)
+
+
+@register("feed_files_roundtrip")
+def feed_files_roundtrip_q(spark, sf_dir):
+    """S11 + S12 + T7 + T14: the derived articles are landed as RSS item
+    files (one folder per category, dates as RFC-2822 text), read back with
+    the XML source, flattened, parsed and keyed."""
+    path = _scratch(spark, "feeds")
+    a = T.articles(spark, sf_dir)
+    items = a.select(
+        F.col("article_id").cast("string").alias("guid"), F.col("raw_title").alias("title"),
+        F.col("url").alias("link"), F.col("raw_summary").alias("description"),
+        F.when(F.col("published").isNull(), F.lit(None)).otherwise(
+            F.concat(F.date_format("published", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).alias("pubDate"),
+        F.col("source"), F.col("category"))
+    (items.write.mode("overwrite").format("xml").option("rootTag", "channel").option("rowTag", "item")
+          .partitionBy("category").save(path))
+    raw = FD.read_feed_files(spark, path)
+    ok = raw.filter(F.col(FD.CORRUPT).isNull()) if FD.CORRUPT in raw.columns else raw
+    e = FD.feed_entries(ok)
+    e = A.prepare_entries(e.select("guid", "raw_title", "url", "raw_summary",
+                                   F.col("source_name").alias("source"), F.col("published_ts").alias("published")))
+    return e.select(F.col("guid").cast("long").alias("article_id"), "title", "summary", "source",
+                    "article_key", _ts("published").alias("published"))
+
+
+@register("corpus_metadata")
+def corpus_metadata_q(spark, sf_dir):
+    """The corpus with the extended, nullable metadata fields; labels
+    (quality, toxic -> nsfw) are left-joined on the natural document key."""
+    c = _corpus(spark, sf_dir).withColumn("doc_id", F.col("corpus_id").bitwiseAND(F.lit((1 << 48) - 1)))
+    lab = T.table(spark, sf_dir, "labels").select(
+        "doc_id", "quality", (F.col("toxic") == 1).alias("nsfw"))
+    j = c.join(lab, "doc_id", "left")
+    return j.select("corpus_id", "source", "subreddit", "score", "quality", "nsfw")

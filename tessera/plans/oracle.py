@@ -705,3 +705,11 @@ CROSS JOIN LATERAL (SELECT [c0, c1, c2, c3, c4][stage_no + 1] AS n_rows FROM a)"
 
 ORACLE["head_rows"] = (f"WITH {CURATED_COMMENTS} SELECT doc_id, subreddit, body, score FROM curated_comments "
                        "ORDER BY doc_id LIMIT 5")
+
+ORACLE["feed_files_roundtrip"] = f"""WITH {ARTICLES}, {ENTRIES}
+SELECT article_id, title, summary, source, article_key,
+       strftime(published, '%Y-%m-%d %H:%M:%S') AS published FROM ent"""
+
+ORACLE["corpus_metadata"] = f"""WITH {CORPUS}
+SELECT c.corpus_id, c.source, c.subreddit, c.score, l.quality, l.toxic = 1 AS nsfw
+FROM corpus c LEFT JOIN labels l ON l.doc_id = (c.corpus_id & ((1::BIGINT << 48) - 1))"""
