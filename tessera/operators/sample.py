@@ -191,4 +191,9 @@ def assign_bucket(df: DataFrame, col: str, edges: list[float], out: str = "bucke
 
 def quantile_buckets(df: DataFrame, col: str, q: int = L.JOKE_BUCKETS,
                      out: str = "bucket", exact: bool = True) -> DataFrame:   # M2
+    """Edges need passes over ``df`` before the buckets are assigned, so the
+    input is written once to the checkpoint folder and read back instead of
+    recomputing its lineage (e.g. curation) on every pass."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        df = df.checkpoint()
     return assign_bucket(df, col, quantile_edges(df, col, q, exact), out)

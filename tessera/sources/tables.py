@@ -25,7 +25,7 @@ KEYS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id",
         "labels": "doc_id", "lineitem": "l_orderkey", "orders": "o_orderkey"}
 
 
-SPREAD_MIN_BYTES = 2 * 1024 * 1024
+SPREAD_MIN_BYTES = 1024 * 1024
 
 
 def spread(df: DataFrame, key: str | None, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
