@@ -28,7 +28,13 @@ def _seed_order(id_col: str, seed: int):
 
 def sample_per_group(df: DataFrame, key: str, n: int, id_col: str,
                      seed: int = L.SAMPLE_SEED, strict: bool = False) -> DataFrame:
-    """Exactly n rows per non-null group (M1, strict) or at most n (M3)."""
+    """Exactly n rows per non-null group (M1, strict) or at most n (M3).
+
+    The sample is the n rows with the smallest seeded hash ``md5(id:seed)``
+    (ties by id).  Small n: one ``row_number`` window, which Spark limits
+    partially before the shuffle.  Large n (above Spark's window-group-limit
+    threshold, where no partial limit is planned): ``_sample_bucketed``.
+    """
     x = df.filter(F.col(key).isNotNull())
     if strict:
         # Lazy check, no extra pass: group sizes come from a partial
@@ -39,11 +45,46 @@ def sample_per_group(df: DataFrame, key: str, n: int, id_col: str,
         x = (x.join(sizes, key)
               .filter(F.when(F.col("__gn") < n, F.raise_error(msg)).otherwise(F.lit(True)))
               .drop("__gn"))
+    limit_threshold = int(df.sparkSession.conf.get(
+        "spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > limit_threshold:
+        return _sample_bucketed(x, key, n, id_col, seed)
     w = Window.partitionBy(key).orderBy(_seed_order(id_col, seed), F.col(id_col))
     return (x.withColumn("__rn", F.row_number().over(w))
              .filter(F.col("__rn") <= n).drop("__rn"))
 
 
+HASH_BUCKET_BITS = 20
+
+
+def _sample_bucketed(x: DataFrame, key: str, n: int, id_col: str, seed: int) -> DataFrame:
+    """The same n smallest-hash rows per group, with no task sorting a group.
+
+    The 60-bit hash prefix is cut into 2^20 ranges.  Per (group, range)
+    counts are a partial aggregate; a running sum over at most 2^20 ranges
+    per group finds the range holding the n-th row.  Rows in earlier ranges
+    are kept outright, rows in later ranges dropped, and only the rows of
+    the cut range (about group size / 2^20) are ranked.  Even a group with a
+    third of all rows is never sorted in one task.
+    """
+    md5 = _seed_order(id_col, seed)
+    h = F.conv(F.substring(md5, 1, 15), 16, 10).cast("long")
+    y = x.withColumn("__md5", md5).withColumn("__b", F.shiftright(h, 60 - HASH_BUCKET_BITS))
+    counts = y.groupBy(key, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    wc = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    cum = counts.withColumn("__cum", F.sum("__c").over(wc))
+    cuts = (cum.filter((F.col("__cum") - F.col("__c") < n) & (F.col("__cum") >= n))
+               .select(key, F.col("__b").alias("__cut"), (F.lit(n) - (F.col("__cum") - F.col("__c"))).alias("__left")))
+    j = y.join(cuts, key, "left")
+    keep_all = F.col("__cut").isNull() | (F.col("__b") < F.col("__cut"))
+    whole = j.filter(keep_all)
+    edge = j.filter(F.col("__b") == F.col("__cut"))
+    we = Window.partitionBy(key).orderBy("__md5", F.col(id_col))
+    edge = edge.withColumn("__rn", F.row_number().over(we)).filter(F.col("__rn") <= F.col("__left")).drop("__rn")
+    cols = [c for c in x.columns]
+    return whole.select(*cols).unionByName(edge.select(*cols))
+
+
 def order_statistics(df: DataFrame, col: str, ranks: list[int], buckets: int = 1024,
                      final_rows: int = 100_000, max_rounds: int = 64,
                      stats: tuple | None = None) -> dict[int, float]:

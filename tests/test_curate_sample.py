@@ -73,3 +73,17 @@ def test_order_statistics_exact(spark):
     assert got == {r: float(s[r]) for r in ranks}
     q = sample.exact_quantiles(df, "x", [0, 0.2, 0.5, 0.8, 1])
     assert np.allclose(q, np.quantile(vals, [0, 0.2, 0.5, 0.8, 1]), rtol=0, atol=1e-9)
+
+
+def test_bucketed_sample_equals_window(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"g{i % 7}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, k string").repartition(5)
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+    try:
+        big = sample.sample_per_group(df, "k", 300, "doc_id")
+        got = sorted(r.doc_id for r in big.collect())
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    ref = sorted(r.doc_id for r in sample.sample_per_group(df, "k", 300, "doc_id").collect())
+    assert got == ref
+    assert len(got) == 300 + sum(min(300, sum(1 for i in range(5000) if i % 3 and i % 7 == g)) for g in range(7))
