@@ -15,6 +15,9 @@ is valid in RE2, so the SQL oracle uses it verbatim).
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +65,17 @@ def unescape(c) -> Column:
     return out
 
 
+def unescape_full(c) -> Column:
+    """Full HTML5 entity decoding (every named and numeric entity) through
+    Python's ``html.unescape`` in an Arrow-batched UDF; the native
+    ``unescape`` covers the common set without leaving the JVM."""
+    @F.pandas_udf("string")
+    def dec(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else html.unescape(v))
+
+    return dec(_c(c))
+
+
 def clean_text(c) -> Column:
     """Falsy -> ''; decode entities; drop tags; collapse whitespace; strip."""
     x = unescape(F.coalesce(_c(c), F.lit("")))

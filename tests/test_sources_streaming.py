@@ -85,3 +85,14 @@ def test_entry_and_registry(spark):
     qs, ors = E.queries(), E.oracle_sql()
     assert set(ors) <= set(qs)
     assert len(qs) >= 40
+
+
+def test_jokes_csv_dotted_columns(spark):
+    d = tempfile.mkdtemp()
+    p = os.path.join(d, "j.csv")
+    with open(p, "w") as f:
+        f.write('title,selftext,score,subreddit.name,subreddit.nsfw,created_utc\n'
+                'Why?,"Because\nit is",10,jokes,false,1546300800\n')
+    r = FS.read_jokes_csv(spark, p).first()
+    assert (r.subreddit, r.nsfw, r.selftext) == ("jokes", False, "Because\nit is")
+    assert str(r.created_at) == "2019-01-01 00:00:00"

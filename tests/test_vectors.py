@@ -62,3 +62,26 @@ def test_knn_graph_excludes_self(spark):
     got = pairs.knn_graph(_df(spark, X), 3, id_col="id").collect()
     assert all(r.query_id != r.doc_id for r in got)
     assert len(got) == 40 * 3
+
+
+def test_pluggable_encoder_and_hashed_forms(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import embed as EM
+
+    def load():
+        # a toy model: character-class counts
+        return lambda texts: [[sum(c.isalpha() for c in t), sum(c.isdigit() for c in t), len(t) + 1.0]
+                              for t in texts]
+
+    df = spark.createDataFrame([("abc 12",), ("",), ("x",)], "t string")
+    enc = EM.encoder_udf(load, dtype="double", batch_size=2)
+    vecs = [r[0] for r in df.select(enc(F.col("t"))).collect()]
+    for v in vecs:
+        assert abs(np.linalg.norm(v) - 1.0) < 1e-9
+    dense = [r[0] for r in df.select(EM.hashed_embedding("t", 16)).collect()]
+    sparse = [r[0] for r in df.select(EM.hashed_sparse("t", 16)).collect()]
+    for d, s in zip(dense, sparse):
+        back = np.zeros(16)
+        back[list(s["dims"])] = s["weights"]
+        assert np.allclose(back, d)
