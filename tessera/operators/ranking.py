@@ -133,6 +133,19 @@ def score_articles(df: DataFrame, as_of: str, weights: dict | None = None,
         F.col("newsworthiness").alias("newsworthiness")))                 # R6
 
 
+def source_cap(df: DataFrame, group: str, score: str, input_order: str, source: str,
+               max_per_source: int = L.MAX_PER_SOURCE) -> DataFrame:
+    """R8 on its own (no duplicate rule): the best ``max_per_source`` rows of
+    each source per group, by score (desc, stable).  Without the duplicate
+    rule a skip cannot change later decisions, so this is an exact window;
+    the ``<=`` filter is limited partially before the shuffle."""
+    skey = TX.normalize_text(F.coalesce(F.col(source), F.lit("unknown")))
+    w = Window.partitionBy(group, "__skey").orderBy(
+        F.round(F.col(score), SCORE_ORDER_DECIMALS).desc(), F.col(input_order).asc())
+    return (df.withColumn("__skey", skey).withColumn("__n", F.row_number().over(w))
+              .filter(F.col("__n") <= max_per_source).drop("__n", "__skey"))
+
+
 # Scores are compared after rounding to 12 decimals so that float noise from
 # a different summation order cannot reorder exact ties; ties then keep the
 # input order (stable sort, R7).

@@ -653,3 +653,12 @@ def corpus_metadata_q(spark, sf_dir):
         "doc_id", "quality", (F.col("toxic") == 1).alias("nsfw"))
     j = c.join(lab, "doc_id", "left")
     return j.select("corpus_id", "source", "subreddit", "score", "quality", "nsfw")
+
+
+@register("source_capped")
+def source_capped_q(spark, sf_dir):
+    """R8 alone: at most 3 ranked candidates per source and query."""
+    s = NW.ranked(T.articles(spark, sf_dir), T.topics(spark), T.AS_OF)
+    c = R.source_cap(s, "query_id", "score", "rank", "source")
+    return c.select("query_id", F.col("rank").alias("input_rank"), "article_id", "source",
+                    F.round("score", 6).alias("score"))

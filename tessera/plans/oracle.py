@@ -713,3 +713,8 @@ SELECT article_id, title, summary, source, article_key,
 ORACLE["corpus_metadata"] = f"""WITH {CORPUS}
 SELECT c.corpus_id, c.source, c.subreddit, c.score, l.quality, l.toxic = 1 AS nsfw
 FROM corpus c LEFT JOIN labels l ON l.doc_id = (c.corpus_id & ((1::BIGINT << 48) - 1))"""
+
+ORACLE["source_capped"] = f"""WITH {RANKED}
+SELECT query_id, rank AS input_rank, article_id, source, round(score, 6) AS score FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id, {normalize_text("coalesce(source, 'unknown')")}
+                           ORDER BY round(score, 12) DESC, rank) <= {L.MAX_PER_SOURCE}"""

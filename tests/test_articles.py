@@ -95,3 +95,24 @@ def test_match_candidates_blocks_equal_single_pass(spark):
     one = {(r.query_id, r.article_id) for r in A.match_candidates(e, q).collect()}
     blocked = {(r.query_id, r.article_id) for r in A.match_candidates(e, q, max_query_rows=3).collect()}
     assert one == blocked and len(one) > 5
+
+
+def test_category_feed_head_filter_and_cross_category_dedupe(spark):
+    rows = [
+        # category, source, position, title, url, summary
+        ("tech", "A", 0, "Long enough tech title one", "http://x/1", ""),
+        ("tech", "A", 1, "short", "http://x/2", ""),                      # fails Q2
+        ("tech", "A", 2, "Long enough tech title three", "http://x/3", ""),  # beyond head of 2
+        ("tech", "B", 0, "Long enough tech title dup", "http://x/1", ""),  # same key as row 1
+        ("world", "C", 0, "Long enough world title", "HTTP://X/1 ", ""),   # dup across categories
+        ("world", "C", 1, "Another long world title", "http://x/9", ""),
+        ("sports", "D", 0, "Unrequested category title", "http://x/8", ""),
+    ]
+    df = spark.createDataFrame(rows, "category string, source string, position long, raw_title string, "
+                                     "url string, raw_summary string").withColumn(
+        "published", F.lit(None).cast("timestamp"))
+    out = A.category_feed(df, ["world", "tech"], AS_OF, limit_per_source=2)
+    got = sorted((r.category, r.url) for r in out.collect())
+    # world is requested first, so its copy of x/1 wins; tech's row 3 is past the head
+    assert got == [("world", "HTTP://X/1"), ("world", "http://x/9")]
+    assert A.category_feed(df, [], AS_OF).count() == 0
