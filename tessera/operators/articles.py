@@ -41,18 +41,17 @@ def prepare_entries(df: DataFrame, title: str = "raw_title", link: str = "url",
                     summary: str = "raw_summary", source: str | None = "source",
                     default_source: str | None = L.DEFAULT_SOURCE) -> DataFrame:
     """Clean raw entries (T1, T14) and derive the match and dedupe keys."""
-    x = df.withColumn("title", TX.clean_text(title)) \
-          .withColumn("url", TX.strip(F.coalesce(F.col(link), F.lit("")))) \
-          .withColumn("summary", TX.clean_text(summary))
+    # withColumns in three batches: each call analyzes the plan once.
+    first = {"title": TX.clean_text(title),
+             "url": TX.strip(F.coalesce(F.col(link), F.lit(""))),
+             "summary": TX.clean_text(summary)}
     if source is not None and default_source is not None:
-        x = x.withColumn("source", TX.source_or_default(source, default_source))
-    return (x.withColumn("title_n", TX.normalize("title"))
-             .withColumn("summary_n", TX.normalize("summary"))
-             .withColumn("text_n", F.trim(F.concat_ws(" ", "title_n", "summary_n")))
-             .withColumn("url_key", F.lower("url"))
-             .withColumn("title_key", F.col("title_n"))
-             .withColumn("article_key", TX.article_key("url", "title"))
-             .withColumn(ONCE, F.spark_partition_id()))
+        first["source"] = TX.source_or_default(source, default_source)
+    x = df.withColumns(first)
+    x = x.withColumns({"title_n": TX.normalize("title"), "summary_n": TX.normalize("summary"),
+                       "url_key": F.lower("url"), "article_key": TX.article_key("url", "title")})
+    return x.withColumns({"text_n": F.trim(F.concat_ws(" ", "title_n", "summary_n")),
+                          "title_key": F.col("title_n"), ONCE: F.spark_partition_id()})
 
 
 def has_title_and_link() -> Column:                                       # Q1
@@ -97,11 +96,13 @@ def prepare_queries(topics: DataFrame, id_col: str = "topic_id", text_col: str =
     """Guarded (T15) query table with its normalized forms."""
     q = topics.select(F.col(id_col).alias("query_id"), TX.strip(text_col).alias("query"))
     q = q.filter(F.col("query") != "")
-    entity = F.element_at(TX.alias_map(), TX.normalize("query")).isNotNull()
-    return (q.withColumn("qn", TX.normalize("query"))
-             .withColumn("terms", TX.query_terms("query"))
-             .withColumn("aliases", TX.query_aliases("query"))
-             .withColumn("is_entity", entity))
+    q = q.withColumn("qn", TX.normalize("query"))
+    qn = F.col("qn")
+    stop = F.array(*[F.lit(s) for s in L.STOPWORDS])
+    return q.withColumns({
+        "terms": F.filter(TX.split_words(qn), lambda t: ~F.array_contains(stop, t)),
+        "aliases": F.coalesce(F.element_at(TX.alias_map(), qn), F.array(qn)),
+        "is_entity": F.element_at(TX.alias_map(), qn).isNotNull()})
 
 
 def matches_query() -> Column:

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def sorted_items(order_cols: list[str], cols: list[str]) -> Column:
     """array_sort(collect_list(struct(order..., cols...))): sort inside the
@@ -57,8 +59,8 @@ def greedy_two_key(df: DataFrame, group: list[str], order: str, key1: str, key2:
     group.
     """
     if known_max_group is None:
-        if checkpoint and df.sparkSession.sparkContext.getCheckpointDir():
-            df = df.checkpoint()
+        if checkpoint:
+            df = materialize(df, "greedy-input")
         row = df.groupBy(*group).count().agg(F.max("count").alias("m")).collect()[0]
         known_max_group = row["m"] or 0
     if known_max_group <= fold_max_group:
@@ -93,7 +95,8 @@ def greedy_two_key_rounds(df: DataFrame, group: list[str], order: str, key1: str
     maximal independent set).  Each round is two partial aggregates keyed by
     (group, key) plus two joins back; exact copies of (group, key1, key2)
     are collapsed first, so a key holding a third of all rows costs one row
-    per map task.  Lineage is cut every round with ``checkpoint()``.
+    per map task.  Lineage is cut every round by writing the state table to
+    the checkpoint folder.
     """
     from pyspark.sql import Window
 
@@ -119,7 +122,7 @@ def greedy_two_key_rounds(df: DataFrame, group: list[str], order: str, key1: str
                    .when((F.col("__m1") == pos) & (F.col("__m2") == pos), F.lit(1))
                    .otherwise(F.lit(0)))
         rows = j.withColumn("__st", new_st).drop("__m1", "__a1", "__m2", "__a2")
-        rows = rows.checkpoint() if checkpoint and spark.sparkContext.getCheckpointDir() else rows.cache()
+        rows = materialize(rows, "greedy-round") if checkpoint else rows.cache()
         if rows.filter(F.col("__st") == 0).limit(1).count() == 0:
             break
     else:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import materialize
 from . import search
 
 
@@ -89,8 +90,7 @@ def similarity_join(vecs: DataFrame, threshold: float, id_col: str = "id",
     P = np.array([list(r[0]) for r in piv], dtype=np.float64)
     bc = spark.sparkContext.broadcast(P)
     c = v.withColumn("__c", _cells_udf(bc, reach)(F.col("v")))
-    if spark.sparkContext.getCheckpointDir():
-        c = c.checkpoint()
+    c = materialize(c, "pivot-cells")
     home_n = {r[0]: r[1] for r in c.groupBy(F.col("__c.home")).count().collect()}
     rep_n = {r[0]: r[1] for r in c.select(F.explode("__c.cells").alias("cell"))
                                   .groupBy("cell").count().collect()}

@@ -31,11 +31,12 @@ def freshness(published: str, as_of: str) -> Column:                     # R1
             .otherwise(F.exp(F.lit(-L.FRESHNESS_DECAY) * hours))
 
 
-def source_quality(source, table: dict | None = None) -> Column:          # R2
-    """Exact name, else the first known name that prefixes it, else 0.50."""
+def source_quality(source, table: dict | None = None, normalized: Column | None = None) -> Column:  # R2
+    """Exact name, else the first known name that prefixes it, else 0.50.
+    ``normalized`` may pass an already materialized ranking form of source."""
     table = table if table is not None else L.SOURCE_QUALITY
     s = F.col(source) if isinstance(source, str) else source
-    n = TX.normalize_text(s)
+    n = normalized if normalized is not None else TX.normalize_text(s)
     exact = F.element_at(F.create_map(*[x for k, v in table.items()
                                         for x in (F.lit(k), F.lit(float(v)))]), n)
     entries = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(v)).alias("v"))
@@ -87,7 +88,8 @@ def _substring_hits(terms: list[str], title_n: Column, text_n: Column) -> Column
 def newsworthiness(raw_title: Column, title_n: Column, summary_n: Column) -> Column:  # R4
     """Base .50, + current-event hits, - evergreen, - analysis, - headline
     shape penalties, clamped to [0, 1].  ``title_n``/``summary_n`` are the
-    ranking-normalized title and summary."""
+    ranking-normalized title and summary; pass materialized columns: they are
+    read inside the lexicon lambdas, once per term."""
     text_n = F.concat(title_n, F.lit(" "), summary_n)
     tw = F.array_distinct(F.split(title_n, " "))
     xw = F.array_distinct(F.split(text_n, " "))
@@ -117,13 +119,19 @@ def score_articles(df: DataFrame, as_of: str, weights: dict | None = None,
                    summary_col: str = "summary", source_col: str = "source",
                    published_col: str = "published", semantic_col: str = "semantic") -> DataFrame:
     """R1-R6 as one projection; expects the semantic similarity column."""
-    tn = TX.normalize_text(title_col)
-    sn = TX.normalize_text(summary_col)
-    qn = TX.normalize_text(query_col)
-    x = (df.withColumn("freshness", freshness(published_col, as_of))
-           .withColumn("source_score", source_quality(source_col))
-           .withColumn("title_score", title_relevance(qn, tn))
-           .withColumn("newsworthiness", newsworthiness(F.col(title_col), tn, sn)))
+    # Normalized forms are materialized first: the signals read them inside
+    # higher-order-function lambdas, where an expression would be evaluated
+    # again for every lexicon term.
+    x = (df.withColumn("__tn", TX.normalize_text(title_col))
+           .withColumn("__sn", TX.normalize_text(summary_col))
+           .withColumn("__qn", TX.normalize_text(query_col))
+           .withColumn("__srcn", TX.normalize_text(source_col)))
+    tn, sn, qn = F.col("__tn"), F.col("__sn"), F.col("__qn")
+    x = (x.withColumn("freshness", freshness(published_col, as_of))
+          .withColumn("source_score", source_quality(source_col, normalized=F.col("__srcn")))
+          .withColumn("title_score", title_relevance(qn, tn))
+          .withColumn("newsworthiness", newsworthiness(F.col(title_col), tn, sn)))
+    x = x.drop("__tn", "__sn", "__qn", "__srcn")
     x = x.withColumn("score", final_score(F.col(semantic_col), F.col("freshness"),
                                           F.col("source_score"), F.col("title_score"),
                                           F.col("newsworthiness"), weights))

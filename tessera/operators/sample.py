@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..session import materialize
 
 
 class ShortGroupError(ValueError):
@@ -235,6 +236,5 @@ def quantile_buckets(df: DataFrame, col: str, q: int = L.JOKE_BUCKETS,
     """Edges need passes over ``df`` before the buckets are assigned, so the
     input is written once to the checkpoint folder and read back instead of
     recomputing its lineage (e.g. curation) on every pass."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        df = df.checkpoint()
+    df = materialize(df, "quantile-input")
     return assign_bucket(df, col, quantile_edges(df, col, q, exact), out)

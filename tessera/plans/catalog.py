@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources import tables as T
 from ..operators import search
+from ..session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -235,7 +236,8 @@ def _r6(c):
 @register("article_signals")
 def article_signals_q(spark, sf_dir):
     e = A.prepare_entries(T.articles(spark, sf_dir))
-    tn, sn = TX.normalize_text("title"), TX.normalize_text("summary")
+    e = e.withColumn("__tn", TX.normalize_text("title")).withColumn("__sn", TX.normalize_text("summary"))
+    tn, sn = F.col("__tn"), F.col("__sn")
     return e.select("article_id",
                     _r6(R.freshness("published", T.AS_OF)).alias("freshness"),
                     _r6(R.source_quality("source")).alias("source_score"),
@@ -424,7 +426,7 @@ def attempt_resolution_q(spark, sf_dir):
 def _rag_hits(spark, sf_dir, k: int = 5):
     # The corpus feeds both the vectors and the metadata join: write it once
     # to the checkpoint folder instead of recomputing curation twice.
-    corpus = _corpus(spark, sf_dir).checkpoint()
+    corpus = materialize(_corpus(spark, sf_dir), "corpus")
     corpus = corpus.withColumn("vec", EM.hashed_embedding(F.col("text"), HASH_DIM))
     b = T.table(spark, sf_dir, "benchmark")
     qv = b.select(F.col("item_id").alias("query_id"),

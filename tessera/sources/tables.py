@@ -37,12 +37,17 @@ def spread(df: DataFrame, key: str | None, min_bytes: int = SPREAD_MIN_BYTES) ->
     if key is None:
         return df
     par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < min_bytes:
-        return df
-    return df.repartition(par, key)
+    files = tuple(df.inputFiles())
+    decision = _SPREAD_CACHE.get((files, par, min_bytes))
+    if decision is None:
+        narrow = df.rdd.getNumPartitions() < par
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        decision = narrow and size >= min_bytes
+        _SPREAD_CACHE[(files, par, min_bytes)] = decision
+    return df.repartition(par, key) if decision else df
+
+
+_SPREAD_CACHE: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
