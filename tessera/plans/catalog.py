@@ -664,3 +664,16 @@ def source_capped_q(spark, sf_dir):
     c = R.source_cap(s, "query_id", "score", "rank", "source")
     return c.select("query_id", F.col("rank").alias("input_rank"), "article_id", "source",
                     F.round("score", 6).alias("score"))
+
+
+@register("metadata_json_roundtrip")
+def metadata_json_roundtrip_q(spark, sf_dir):
+    """S7 -> S8: corpus metadata written as UTF-8 JSON Lines (nulls omitted)
+    and read back with the declared nullable schema."""
+    path = _scratch(spark, "metadata-json")
+    meta = corpus_metadata_q(spark, sf_dir).select(
+        F.col("corpus_id").alias("doc_id"), "source", "subreddit", "score", "quality", "nsfw")
+    FS.write_table(meta, path, "json")
+    schema = "doc_id long, source string, subreddit string, score long, quality int, nsfw boolean"
+    back = FS.read_table(spark, path, "json", schema)
+    return back.select(F.col("doc_id").alias("corpus_id"), "source", "subreddit", "score", "quality", "nsfw")

@@ -718,3 +718,5 @@ ORACLE["source_capped"] = f"""WITH {RANKED}
 SELECT query_id, rank AS input_rank, article_id, source, round(score, 6) AS score FROM scored
 QUALIFY row_number() OVER (PARTITION BY query_id, {normalize_text("coalesce(source, 'unknown')")}
                            ORDER BY round(score, 12) DESC, rank) <= {L.MAX_PER_SOURCE}"""
+
+ORACLE["metadata_json_roundtrip"] = ORACLE["corpus_metadata"]
