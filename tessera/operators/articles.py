@@ -7,7 +7,6 @@ first; the query match is an equi-join against a bounded query table
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -214,15 +213,16 @@ def _match_block(entries: DataFrame, queries: DataFrame, qrows) -> DataFrame:
 def news_for_query(entries: DataFrame, topics: DataFrame, as_of: str,
                    limit: int = L.QUERY_LIMIT, max_age_hours: int = L.MAX_AGE_HOURS,
                    inspect_cap: int | None = None, id_col: str = "topic_id",
-                   text_col: str = "topic") -> DataFrame:
+                   text_col: str = "topic", method: str = "auto") -> DataFrame:
     """T15 -> N4 -> T1 -> Q1 -> T14 -> Q2 -> Q8 -> Q4 -> Q3 -> N5 -> N6 -> N7.
 
     ``entries`` are raw feed rows with ``position`` (feed order).  All
     stateless filters run before the match; the two-key dedupe (N5) and the
-    first-``limit`` cut (N6) run per query with the exact round-based greedy
-    selection, so a query with unboundedly many matches never collects into
-    one task.  ``inspect_cap`` = the reference's max(5*limit, 100) raw-entry
-    window; ``None`` inspects the whole feed.
+    first-``limit`` cut (N6) run per query through ``fold.greedy_two_key``
+    (``method``: ``auto`` picks the in-group fold when groups are proven
+    small, else the exact rounds; ``fold`` / ``rounds`` force one).
+    ``inspect_cap`` = the reference's max(5*limit, 100) raw-entry window,
+    which also bounds every group; ``None`` inspects the whole feed.
     """
     e = entries
     if inspect_cap is not None:
@@ -234,9 +234,14 @@ def news_for_query(entries: DataFrame, topics: DataFrame, as_of: str,
              & is_recent("published", as_of, max_age_hours))             # Q3
     q = prepare_queries(topics, id_col, text_col)                        # T15
     m = match_candidates(e, q)                                           # Q8
-    known = inspect_cap if inspect_cap is not None else None
-    picked = fold.greedy_two_key(m, ["query_id"], "position", "url_key", "title_key",
-                                 limit=limit, known_max_group=known)     # N5, N6
+    keys = (["query_id"], "position", "url_key", "title_key")
+    if method == "fold":
+        picked = fold.greedy_two_key_fold(m, *keys, limit=limit)
+    elif method == "rounds":
+        picked = fold.greedy_two_key_rounds(m, *keys, limit=limit)
+    else:
+        picked = fold.greedy_two_key(m, *keys, limit=limit,
+                                     known_max_group=inspect_cap)      # N5, N6
     w = Window.partitionBy("query_id").orderBy(F.col("published").desc_nulls_last(),
                                                F.col("position").asc())
     return picked.withColumn("rank", F.row_number().over(w).cast("long"))  # N7
@@ -245,25 +250,8 @@ def news_for_query(entries: DataFrame, topics: DataFrame, as_of: str,
 def news_for_query_fold(entries: DataFrame, topics: DataFrame, as_of: str,
                         limit: int = L.QUERY_LIMIT, max_age_hours: int = L.MAX_AGE_HOURS,
                         inspect_cap: int | None = None) -> DataFrame:
-    """Same result as ``news_for_query`` with the dedupe as an in-group fold;
-    only for feeds whose per-query size is bounded (``inspect_cap``)."""
-    e = entries
-    if inspect_cap is not None:
-        e = e.filter(F.col("position") < inspect_cap)
-    e = keep(prepare_entries(e), has_title_and_link() & has_meaningful_content()
-             & ~looks_like_landing_page() & is_recent("published", as_of, max_age_hours))
-    m = match_candidates(e, prepare_queries(topics))
-    cols = [c for c in m.columns if c not in ("position", "query_id")]
-    g = m.groupBy("query_id").agg(fold.sorted_items(["position"], cols).alias("items"))
-    picked = g.select("query_id", fold.fold_select(
-        F.col("items"),
-        lambda acc, x: F.exists(acc, lambda y: y.url_key.eqNullSafe(x.url_key)
-                                | y.title_key.eqNullSafe(x.title_key)),
-        limit).alias("acc"))
-    out = fold.explode_selected(picked, ["query_id"], "acc").drop("pick")
-    w = Window.partitionBy("query_id").orderBy(F.col("published").desc_nulls_last(),
-                                               F.col("position").asc())
-    return out.withColumn("rank", F.row_number().over(w).cast("long"))
+    """``news_for_query`` with the in-group fold forced (bounded feeds)."""
+    return news_for_query(entries, topics, as_of, limit, max_age_hours, inspect_cap, method="fold")
 
 
 def category_feed(entries: DataFrame, categories: list[str] | None, as_of: str,
