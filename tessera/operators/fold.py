@@ -132,3 +132,36 @@ def greedy_two_key_rounds(df: DataFrame, group: list[str], order: str, key1: str
         w = Window.partitionBy(*g).orderBy(F.col(order))
         out = out.withColumn("__rk", F.row_number().over(w)).filter(F.col("__rk") <= limit).drop("__rk")
     return out
+
+
+def greedy_graph(nodes: DataFrame, edges: DataFrame, id_col: str = "id",
+                 a: str = "id_a", b: str = "id_b", max_rounds: int = 200) -> DataFrame:
+    """Walk nodes by id; keep a node unless an edge joins it to a kept node.
+
+    The result (the lexicographically first maximal independent set) is
+    computed in rounds with no per-group collection: a node whose earlier
+    neighbours are all dropped is kept, a node with a kept earlier neighbour
+    is dropped.  Each round is one join of the edge list to the node states,
+    a partial aggregate per node, and a join back; the state table is written
+    to the checkpoint folder every round.  Returns the kept node ids.
+    """
+    st = nodes.select(F.col(id_col).alias("__id")).distinct().withColumn("__st", F.lit(0))
+    e = edges.select(F.least(a, b).alias("__a"), F.greatest(a, b).alias("__b")).filter("__a <> __b")
+    st = materialize(st, "graph-state")
+    for _ in range(max_rounds):
+        sa = st.select(F.col("__id").alias("__a"), F.col("__st").alias("__sa"))
+        per = (e.join(sa, "__a").groupBy("__b").agg(
+            F.max((F.col("__sa") == 1).cast("int")).alias("__acc"),
+            F.max((F.col("__sa") == 0).cast("int")).alias("__und"))
+            .withColumnRenamed("__b", "__id"))
+        j = st.join(per, "__id", "left")
+        new = (F.when(F.col("__st") != 0, F.col("__st"))
+                .when(F.coalesce(F.col("__acc"), F.lit(0)) == 1, F.lit(2))
+                .when(F.coalesce(F.col("__und"), F.lit(0)) == 0, F.lit(1))
+                .otherwise(F.lit(0)))
+        st = materialize(j.select("__id", new.alias("__st")), "graph-state")
+        if st.filter(F.col("__st") == 0).limit(1).count() == 0:
+            break
+    else:
+        raise RuntimeError(f"greedy_graph did not converge in {max_rounds} rounds")
+    return st.filter(F.col("__st") == 1).select(F.col("__id").alias(id_col))

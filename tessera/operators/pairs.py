@@ -111,3 +111,14 @@ def similarity_join(vecs: DataFrame, threshold: float, id_col: str = "id",
     keys = ["cell", "s1", "s2"]
     return (h.groupBy(*keys).cogroup(o.groupBy(*keys))
              .applyInPandas(_block_pairs_fn(threshold), "id_a long, id_b long, sim double"))
+
+
+def suppress_near_duplicates(vecs: DataFrame, threshold: float, id_col: str = "id",
+                             vec_col: str = "embedding", **join_args) -> DataFrame:
+    """R9 at corpus scale: walk vectors by id and drop one whose inner product
+    with an already kept vector is >= threshold (skipped rows never block).
+    Exact pairs from ``similarity_join``, then ``fold.greedy_graph`` rounds."""
+    from . import fold
+    p = similarity_join(vecs, threshold, id_col=id_col, vec_col=vec_col, **join_args)
+    nodes = vecs.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"))
+    return fold.greedy_graph(nodes, p, "id", "id_a", "id_b").withColumnRenamed("id", id_col)

@@ -677,3 +677,11 @@ def metadata_json_roundtrip_q(spark, sf_dir):
     schema = "doc_id long, source string, subreddit string, score long, quality int, nsfw boolean"
     back = FS.read_table(spark, path, "json", schema)
     return back.select(F.col("doc_id").alias("corpus_id"), "source", "subreddit", "score", "quality", "nsfw")
+
+
+@register("near_duplicate_dedupe")
+def near_duplicate_dedupe_q(spark, sf_dir):
+    """R9 over the whole vector table: vectors kept by the greedy walk in id
+    order at threshold 0.30."""
+    e = T.table(spark, sf_dir, "embeddings")
+    return pairs.suppress_near_duplicates(e, PAIR_THRESHOLD, id_col="vec_id").select("vec_id")

@@ -720,3 +720,11 @@ QUALIFY row_number() OVER (PARTITION BY query_id, {normalize_text("coalesce(sour
                            ORDER BY round(score, 12) DESC, rank) <= {L.MAX_PER_SOURCE}"""
 
 ORACLE["metadata_json_roundtrip"] = ORACLE["corpus_metadata"]
+
+ORACLE["near_duplicate_dedupe"] = """
+WITH items AS (SELECT list(struct_pack(vec_id := vec_id, v := embedding::DOUBLE[]) ORDER BY vec_id) AS it
+               FROM embeddings WHERE embedding IS NOT NULL),
+sel AS (SELECT list_reduce(it, lambda acc, x: CASE
+          WHEN len(list_filter(acc, lambda y: list_dot_product(y.v, x.v) >= 0.3)) > 0 THEN acc
+          ELSE list_append(acc, x) END, list_filter(it, lambda x: false)) AS acc FROM items)
+SELECT unnest(acc).vec_id AS vec_id FROM sel"""

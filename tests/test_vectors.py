@@ -85,3 +85,17 @@ def test_pluggable_encoder_and_hashed_forms(spark):
         back = np.zeros(16)
         back[list(s["dims"])] = s["weights"]
         assert np.allclose(back, d)
+
+
+def test_suppress_near_duplicates_equals_walk(spark):
+    rnd = np.random.default_rng(9)
+    X = rnd.normal(size=(150, 6))
+    X[10:40] = X[5] + rnd.normal(scale=0.05, size=(30, 6))   # a hot cluster
+    X = X / np.linalg.norm(X, axis=1, keepdims=True)
+    for t in (0.5, 0.9):
+        kept = []
+        for i in range(len(X)):
+            if all(float(X[i] @ X[j]) < t for j in kept):
+                kept.append(i)
+        got = pairs.suppress_near_duplicates(_df(spark, X), t, id_col="id", n_pivots=4, block_rows=32)
+        assert sorted(r.id for r in got.collect()) == kept
