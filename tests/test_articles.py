@@ -135,3 +135,21 @@ def test_news_for_query_paths_agree_on_testdata(spark):
     f = fold.greedy_two_key_fold(m, ["query_id"], "position", "url_key", "title_key", 50)
     assert sorted((x.query_id, x.article_id) for x in r.collect()) == \
         sorted((x.query_id, x.article_id) for x in f.collect())
+
+
+def test_category_feed_with_fixed_catalogue(spark):
+    from tessera.sources import feeds as FD
+    rows = [("tech", "BBC News", 0, "A long enough technology story", "http://b/1", ""),
+            ("tech", "Ars Technica", 0, "Another long enough tech story", "http://a/1", ""),
+            ("business", "TechCrunch", 0, "A long enough business story", "http://a/1", ""),
+            ("tech", "Unknown Blog", 0, "Not in the catalogue at all", "http://u/1", ""),
+            ("sports", "ESPN", 0, "No feed for this category", "http://s/1", "")]
+    df = spark.createDataFrame(rows, "category string, source string, position long, raw_title string, "
+                                     "url string, raw_summary string").withColumn(
+        "published", F.lit(None).cast("timestamp"))
+    out = A.category_feed(df, ["tech", "business", "sports"], AS_OF, catalogue=FD.catalogue(spark))
+    got = sorted((r.category, r.source, r.url) for r in out.collect())
+    # catalogue order in tech: Ars Technica (0) before BBC News (3); business copy of a/1 loses
+    assert got == [("tech", "Ars Technica", "http://a/1"), ("tech", "BBC News", "http://b/1")]
+    order = {r.source: r.source_order for r in out.collect()}
+    assert order == {"Ars Technica": 0, "BBC News": 3}
