@@ -91,9 +91,14 @@ def similarity_join(vecs: DataFrame, threshold: float, id_col: str = "id",
     bc = spark.sparkContext.broadcast(P)
     c = v.withColumn("__c", _cells_udf(bc, reach)(F.col("v")))
     c = materialize(c, "pivot-cells")
-    home_n = {r[0]: r[1] for r in c.groupBy(F.col("__c.home")).count().collect()}
-    rep_n = {r[0]: r[1] for r in c.select(F.explode("__c.cells").alias("cell"))
-                                  .groupBy("cell").count().collect()}
+    # A vector's home cell is always within its reach, so one aggregate over
+    # the replicated rows gives both sizes per cell (at most P rows).
+    sizes = (c.select(F.col("__c.home").alias("home"), F.explode("__c.cells").alias("cell"))
+              .groupBy("cell").agg(F.count(F.lit(1)).alias("rep"),
+                                   F.sum((F.col("home") == F.col("cell")).cast("long")).alias("home"))
+              .collect())
+    home_n = {r["cell"]: r["home"] for r in sizes if r["home"]}
+    rep_n = {r["cell"]: r["rep"] for r in sizes}
     s1 = {k: max(1, -(-n // block_rows)) for k, n in home_n.items()}
     s2 = {k: max(1, -(-n // block_rows)) for k, n in rep_n.items()}
 
