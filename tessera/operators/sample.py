@@ -68,14 +68,15 @@ def _sample_bucketed(x: DataFrame, key: str, n: int, id_col: str, seed: int) ->
     the cut range (about group size / 2^20) are ranked.  Even a group with a
     third of all rows is never sorted in one task.
     """
-    # One partial aggregate first: when no group exceeds n, every row is kept.
-    largest = x.groupBy(key).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
-    if largest is None or largest <= n:
-        return x
     md5 = _seed_order(id_col, seed)
     h = F.conv(F.substring(md5, 1, 15), 16, 10).cast("long")
     y = x.withColumn("__md5", md5).withColumn("__b", F.shiftright(h, 60 - HASH_BUCKET_BITS))
-    counts = y.groupBy(key, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    # The (group, range) counts are needed anyway: write them once, and when
+    # no group exceeds n return the input untouched.
+    counts = materialize(y.groupBy(key, "__b").agg(F.count(F.lit(1)).alias("__c")), "sample-counts")
+    largest = counts.groupBy(key).agg(F.sum("__c").alias("t")).agg(F.max("t")).first()[0]
+    if largest is None or largest <= n:
+        return x
     wc = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.withColumn("__cum", F.sum("__c").over(wc))
     cuts = (cum.filter((F.col("__cum") - F.col("__c") < n) & (F.col("__cum") >= n))
