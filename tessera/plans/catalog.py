@@ -29,13 +29,24 @@ def register(name: str):
 # Vectors
 # ---------------------------------------------------------------------------
 
+def _centroids(emb: DataFrame, key=None) -> DataFrame:
+    """Normalized mean vector per key (one row when key is None): explode to
+    (key, position, value), partial aggregate, reassemble in position order."""
+    k = F.col(key).cast("long") if key else F.lit(0).cast("long")
+    x = emb.select(k.alias("query_id"), F.posexplode("embedding").alias("pos", "x"))
+    m = x.groupBy("query_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    arr = m.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("a"))
+    from ..functions import vectors as _V
+    return arr.select("query_id",
+                      _V.l2_normalize(F.transform("a", lambda s: s["m"]), as_float=False).alias("query_vec"))
+
+
 @register("vector_topk")
 def vector_topk(spark, sf_dir, k: int = 5):
-    """V4 + V6 + V7 + V8: one query vector (vec 0) against every vector."""
+    """V4 + V6 + V7 + V8: one query (the normalized centroid of the whole
+    table) against every vector, with metadata, ranks and snippets."""
     emb = T.table(spark, sf_dir, "embeddings")
-    q = emb.filter(F.col("vec_id") == 0).select(
-        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    hits = search.topk_inner_product(emb, q, k, id_col="vec_id", dim=None)
+    hits = search.topk_inner_product(emb, _centroids(emb), k, id_col="vec_id", dim=None)
     docs = T.table(spark, sf_dir, "documents").select(
         "doc_id", "source", F.substring("text", 1, 500).alias("snippet"))
     labels = emb.select(F.col("vec_id").alias("doc_id"), "label")
@@ -313,12 +324,7 @@ def hash_search_q(spark, sf_dir, k: int = 5):
 
 def _label_centroids(spark, sf_dir):
     """One query per label: the normalized mean vector of the label."""
-    e = T.table(spark, sf_dir, "embeddings")
-    x = e.select("label", F.posexplode("embedding").alias("pos", "x"))
-    m = x.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    arr = m.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("a"))
-    return arr.select(F.col("label").cast("long").alias("query_id"),
-                      V.l2_normalize(F.transform("a", lambda s: s["m"]), as_float=False).alias("query_vec"))
+    return _centroids(T.table(spark, sf_dir, "embeddings"), "label")
 
 
 @register("vector_topk_batch")
@@ -580,13 +586,11 @@ def csv_roundtrip_curation_q(spark, sf_dir):
 @register("vector_store_search")
 def vector_store_search_q(spark, sf_dir, k: int = 10):
     """S9 -> S6 -> V4: persist the normalized vector table once, reload it
-    and search it (k = 10 as in the search script)."""
+    and search it with its centroid (k = 10 as in the search script)."""
     path = _scratch(spark, "vectors")
     FS.save_vectors(T.table(spark, sf_dir, "embeddings"), path, "vec_id")
     store = spark.read.parquet(path)
-    q = store.filter(F.col("vec_id") == 0).select(F.col("vec_id").alias("query_id"),
-                                                  F.col("embedding").alias("query_vec"))
-    hits = search.topk_inner_product(store, q, k, id_col="vec_id")
+    hits = search.topk_inner_product(store, _centroids(store), k, id_col="vec_id")
     return hits.select("query_id", "rank", F.col("doc_id").alias("vec_id"),
                        F.round("sim", 6).alias("similarity"))
 

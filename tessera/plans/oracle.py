@@ -9,7 +9,13 @@ from __future__ import annotations
 ORACLE: dict[str, str] = {}
 
 ORACLE["vector_topk"] = """
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0),
+WITH ex AS (SELECT unnest(generate_series(0, len(embedding) - 1)) AS pos, unnest(embedding)::DOUBLE AS x
+            FROM embeddings),
+mm AS (SELECT pos, avg(x) AS m FROM ex GROUP BY pos),
+ca AS (SELECT list(m ORDER BY pos) AS a FROM mm),
+cn AS (SELECT a, sqrt(list_sum(list_transform(a, lambda z: z * z))) AS nrm FROM ca),
+q AS (SELECT 0::BIGINT AS query_id,
+             list_transform(a, lambda z: CASE WHEN nrm = 0 THEN 0.0 ELSE z / nrm END) AS qv FROM cn),
 s AS (SELECT q.query_id, e.vec_id, e.label,
              list_dot_product(e.embedding::DOUBLE[], q.qv) AS sim
       FROM embeddings e, q),
@@ -681,7 +687,12 @@ WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v,
                   sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda z: z * z))) AS nrm FROM embeddings),
 u AS (SELECT vec_id, list_transform(v, lambda z: CASE WHEN nrm = 0 THEN 0.0 ELSE z / nrm END)::FLOAT[]::DOUBLE[] AS v
       FROM n),
-q AS (SELECT vec_id AS query_id, v AS qv FROM u WHERE vec_id = 0),
+ux AS (SELECT unnest(generate_series(0, len(v) - 1)) AS pos, unnest(v) AS x FROM u),
+um AS (SELECT pos, avg(x) AS m FROM ux GROUP BY pos),
+ua AS (SELECT list(m ORDER BY pos) AS a FROM um),
+un AS (SELECT a, sqrt(list_sum(list_transform(a, lambda z: z * z))) AS nrm FROM ua),
+q AS (SELECT 0::BIGINT AS query_id,
+             list_transform(a, lambda z: CASE WHEN nrm = 0 THEN 0.0 ELSE z / nrm END) AS qv FROM un),
 s AS (SELECT q.query_id, u.vec_id, list_dot_product(u.v, q.qv) AS sim FROM u, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank, vec_id, round(sim, 6) AS similarity FROM r WHERE rank <= 10"""
