@@ -689,3 +689,15 @@ def near_duplicate_dedupe_q(spark, sf_dir):
     order at threshold 0.30."""
     e = T.table(spark, sf_dir, "embeddings")
     return pairs.suppress_near_duplicates(e, PAIR_THRESHOLD, id_col="vec_id").select("vec_id")
+
+
+@register("event_props_decisions")
+def event_props_decisions_q(spark, sf_dir):
+    """G5-G7 at table scale: every event's JSON payload read as a classifier
+    reply (VARIANT parse, allow-list, truthiness), plus the truthiness of its
+    ``k`` field."""
+    e = T.table(spark, sf_dir, "events")
+    v = F.try_parse_json(F.col("props"))
+    d = e.select("event_id", G.parse_classifier("props").alias("d"),
+                 G.truthy(F.variant_get(v, "$.k", "variant")).alias("k_truthy"))
+    return d.select("event_id", "d.reply_ok", "d.needs_news", "k_truthy")

@@ -535,13 +535,18 @@ def ok_sql(r: str) -> str:
 
 
 def classifier_cols(r: str) -> str:
+    ok, nn, cats = classifier_parts(r)
+    return f"{ok} AS reply_ok, {nn} AS needs_news, {cats} AS categories"
+
+
+def classifier_parts(r: str) -> tuple[str, str, str]:
     cj = f"json_extract({r}, '$.categories')"
     cats0 = (f"(CASE WHEN {ok_sql(r)} AND json_type({cj}) = 'ARRAY' "
              f"THEN from_json({cj}, '[\"VARCHAR\"]') ELSE []::VARCHAR[] END)")
     cats = f"list_filter({cats0}, lambda c: list_contains({lit_list(L.ALLOWED_CATEGORIES)}, c))"
     nn = (f"(CASE WHEN len({cats}) = 0 THEN false WHEN {ok_sql(r)} "
           f"THEN {truthy_sql(f'json_extract({r}, {q(chr(36) + '.needs_news')})')} ELSE false END)")
-    return f"{ok_sql(r)} AS reply_ok, {nn} AS needs_news, {cats} AS categories"
+    return ok_sql(r), nn, cats
 
 
 ATTEMPTS = f"""
@@ -739,3 +744,9 @@ sel AS (SELECT list_reduce(it, lambda acc, x: CASE
           WHEN len(list_filter(acc, lambda y: list_dot_product(y.v, x.v) >= 0.3)) > 0 THEN acc
           ELSE list_append(acc, x) END, list_filter(it, lambda x: false)) AS acc FROM items)
 SELECT unnest(acc).vec_id AS vec_id FROM sel"""
+
+_ev_ok, _ev_nn, _ = classifier_parts("props")
+ORACLE["event_props_decisions"] = f"""
+SELECT event_id, {_ev_ok} AS reply_ok, {_ev_nn} AS needs_news,
+       CASE WHEN json_valid(props) THEN {truthy_sql("json_extract(props, '$.k')")} ELSE false END AS k_truthy
+FROM events"""
