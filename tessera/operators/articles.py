@@ -49,8 +49,10 @@ def prepare_entries(df: DataFrame, title: str = "raw_title", link: str = "url",
     x = df.withColumns(first)
     x = x.withColumns({"title_n": TX.normalize("title"), "summary_n": TX.normalize("summary"),
                        "url_key": F.lower("url"), "article_key": TX.article_key("url", "title")})
-    return x.withColumns({"text_n": F.trim(F.concat_ws(" ", "title_n", "summary_n")),
-                          "title_key": F.col("title_n"), ONCE: F.spark_partition_id()})
+    x = x.withColumns({"text_n": F.trim(F.concat_ws(" ", "title_n", "summary_n")),
+                       "title_key": F.col("title_n"), ONCE: F.spark_partition_id()})
+    # tokens of text_n, computed once: the match rule reads them per term
+    return x.withColumn("text_tokens", TX.split_words(F.col("text_n")))
 
 
 def has_title_and_link() -> Column:                                       # Q1
@@ -105,8 +107,9 @@ def prepare_queries(topics: DataFrame, id_col: str = "topic_id", text_col: str =
 
 
 def matches_query() -> Column:
-    """The full Q8 rule on a joined (entry, query) row."""
-    text_tokens = TX.split_words(F.col("text_n"))
+    """The full Q8 rule on a joined (entry, query) row (``text_tokens`` is
+    the materialized token array of ``text_n``)."""
+    text_tokens = F.col("text_tokens")
     return (F.when(F.col("qn") == "", F.lit(False))
              .when(F.col("is_entity"), TX.contains_alias(F.col("text_n"), F.col("aliases")))
              .when(F.size("terms") == 0, TX.contains_alias(F.col("text_n"), F.col("aliases")))
@@ -196,7 +199,7 @@ def _match_block(entries: DataFrame, queries: DataFrame, qrows) -> DataFrame:
         amap = F.create_map(*[x for k, v in anchors.items()
                               for x in (F.lit(k), F.array(*[F.lit(i).cast("long") for i in v]))])
         akeys = F.array(*[F.lit(k) for k in anchors])
-        hit = F.array_intersect(TX.split_words(F.col("text_n")), akeys)
+        hit = F.array_intersect(F.col("text_tokens"), akeys)
         tok_ids = F.flatten(F.transform(hit, lambda a: F.element_at(amap, a)))
     else:
         tok_ids = F.array().cast("array<long>")
