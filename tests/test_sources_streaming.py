@@ -96,3 +96,14 @@ def test_jokes_csv_dotted_columns(spark):
     r = FS.read_jokes_csv(spark, p).first()
     assert (r.subreddit, r.nsfw, r.selftext) == ("jokes", False, "Because\nit is")
     assert str(r.created_at) == "2019-01-01 00:00:00"
+
+
+def test_rolling_source_counts_windows(spark):
+    rows = [("A", "2024-12-30 10:00:00"), ("A", "2024-12-31 01:00:00"), ("B", "2024-12-31 23:00:00"),
+            ("A", None)]
+    df = spark.createDataFrame(rows, "source string, p string").withColumn("published", F.to_timestamp("p"))
+    got = {(r.window.start.strftime("%m-%d"), r.source): r.n
+           for r in ST.rolling_source_counts(df).collect()}
+    # 72 h windows sliding by 24 h: each event lands in three windows; null dates are skipped
+    assert got == {("12-28", "A"): 1, ("12-29", "A"): 2, ("12-30", "A"): 2, ("12-31", "A"): 1,
+                   ("12-29", "B"): 1, ("12-30", "B"): 1, ("12-31", "B"): 1}
