@@ -99,3 +99,12 @@ def test_suppress_near_duplicates_equals_walk(spark):
                 kept.append(i)
         got = pairs.suppress_near_duplicates(_df(spark, X), t, id_col="id", n_pivots=4, block_rows=32)
         assert sorted(r.id for r in got.collect()) == kept
+
+
+def test_attach_metadata_keeps_hits_without_metadata(spark):
+    hits = spark.createDataFrame([(0, 1, 0.9, 1), (0, 7, 0.5, 2)], "query_id long, doc_id long, sim double, rank long")
+    meta = spark.createDataFrame([(1, "src1"), (2, "src2")], "doc_id long, source string")
+    out = search.attach_metadata(hits, meta, "doc_id")
+    got = sorted((r.doc_id, r.source) for r in out.collect())
+    assert got == [(1, "src1"), (7, None)]
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
