@@ -107,3 +107,10 @@ def test_rolling_source_counts_windows(spark):
     # 72 h windows sliding by 24 h: each event lands in three windows; null dates are skipped
     assert got == {("12-28", "A"): 1, ("12-29", "A"): 2, ("12-30", "A"): 2, ("12-31", "A"): 1,
                    ("12-29", "B"): 1, ("12-30", "B"): 1, ("12-31", "B"): 1}
+
+
+def test_parse_published_iso_offsets(spark):
+    vals = ["2024-12-30T10:00:00+05:30", "2024-12-30T10:00:00Z", "2024-12-30 10:00:00"]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    got = [r[0] for r in df.select(F.date_format(D.parse_published("s"), "yyyy-MM-dd HH:mm:ss")).collect()]
+    assert got == ["2024-12-30 04:30:00", "2024-12-30 10:00:00", "2024-12-30 10:00:00"]
