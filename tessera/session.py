@@ -41,7 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) do we create a scratch one.
+    as is.  Only when it is unset on a local master (tests) do we create a
+    scratch one; on any other master that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,11 +52,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, so that
+    functions pickled by reference can be imported wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tessera-ship-"), "tessera")
+    sc.addPyFile(shutil.make_archive(archive, "zip", root, "tessera"))
+    sc._tessera_shipped = True
+
+
 def materialize(df, name: str = "table"):
     """Cut lineage by writing ``df`` once as a parquet table under the
     session's checkpoint folder (shared storage on a cluster) and reading it
