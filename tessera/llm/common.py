@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,3 +54,49 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: Characters of text that a worker holds as Python objects at a time.
+SLICE_CHARS = 4_000_000
+
+
+def map_texts(df: DataFrame, text: str, carried: list[str], new: str, make, before: list[str] | None = None) -> DataFrame:
+    """``carried`` columns of ``df`` plus the columns of the DDL ``new``.
+
+    ``make()`` runs once per task and returns a function from a list of texts
+    (None for null) to one list per new column; with ``before``, also from the
+    lists of those columns.  Arrow batches are cut into
+    slices of about ``SLICE_CHARS``, so memory follows the longest text, not
+    the batch.
+    """
+    from pyspark.sql.types import StructType
+
+    out = StructType([df.schema[c] for c in carried] + list(StructType.fromDDL(new).fields))
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in out.fields[len(carried):]]
+        work = make()
+        for batch in batches:
+            col = batch.column(batch.schema.get_field_index(text))
+            sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
+            start, total = 0, 0
+            for i in range(len(sizes) + 1):
+                if i == len(sizes) or (total and total + sizes[i] > SLICE_CHARS):
+                    if i > start:
+                        part = batch.slice(start, i - start)
+                        of = lambda c: part.column(part.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
+                        made = work(of(text)) if before is None else work(of(text), [of(c) for c in before])
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column(part.schema.get_field_index(c)) for c in carried]
+                            + [pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)], names=out.names)
+                    start, total = i, 0
+                if i < len(sizes):
+                    total += sizes[i]
+
+    ship_package(df.sparkSession)
+    need = list(dict.fromkeys([*carried, text, *(before or [])]))
+    return df.select(*need).mapInArrow(run, out)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["line_dedup", "quality", "hilbert"]
+MODULES = ["bpe", "line_dedup", "quality", "hilbert", "decontam"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
