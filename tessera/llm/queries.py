@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "line_dedup", "quality", "hilbert", "decontam"]
+MODULES = ["bpe", "chat", "line_dedup", "quality", "hilbert", "decontam", "warc"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
