@@ -100,3 +100,21 @@ def map_texts(df: DataFrame, text: str, carried: list[str], new: str, make, befo
     ship_package(df.sparkSession)
     need = list(dict.fromkeys([*carried, text, *(before or [])]))
     return df.select(*need).mapInArrow(run, out)
+
+
+def components(edges: DataFrame, name: str = "components", most_rounds: int = 200) -> DataFrame:
+    """(node, label) of the nodes of ``edges`` (a, b): the least node that each
+    can reach.  Labels sink along edges and jump to their label's label, so
+    rounds follow the logarithm of the longest path; each round's labels are
+    written to the shared folder and only one count returns to the driver."""
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), name)
+    for _ in range(most_rounds):
+        seen = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        low = labels.join(seen, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
+        up = labels.select(F.col("node").alias("low"), F.col("label").alias("up"))
+        new = stored(low.join(up, "low", "left").select("node", F.least("low", F.coalesce("up", "low")).alias("label"), F.col("label").alias("old")), name)
+        if new.where(F.col("label") != F.col("old")).limit(1).count() == 0:
+            return new.select("node", "label")
+        labels = new.select("node", "label")
+    raise RuntimeError(f"labels still change after {most_rounds} rounds")
