@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "chat", "partenum", "suffix", "line_dedup", "quality", "hilbert", "decontam", "warc"]
+MODULES = ["bpe", "chat", "partenum", "suffix", "toxicity", "line_dedup", "quality", "hilbert", "decontam", "warc"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
