@@ -102,19 +102,28 @@ def map_texts(df: DataFrame, text: str, carried: list[str], new: str, make, befo
     return df.select(*need).mapInArrow(run, out)
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", most_rounds: int = 100) -> DataFrame:
     """(node, label) of the nodes of ``edges`` (a, b): the least node that each
-    can reach.  Labels sink along edges and jump to their label's label, so
-    rounds follow the logarithm of the longest path; each round's labels are
-    written to the shared folder and only one count returns to the driver."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), name)
+    can reach.  Each round merges every node into its least neighbour and
+    keeps the edges between different merged nodes, so the graph shrinks; the
+    merges of all rounds are put together at the end.  Edges are written to
+    the shared folder after each round, one flag returns to the driver."""
+    left = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-edges")
+    merges = []
     for _ in range(most_rounds):
-        seen = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(seen, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        up = labels.select(F.col("node").alias("low"), F.col("label").alias("up"))
-        new = stored(low.join(up, "low", "left").select("node", F.least("low", F.coalesce("up", "low")).alias("label"), F.col("label").alias("old")), name)
-        if new.where(F.col("label") != F.col("old")).limit(1).count() == 0:
-            return new.select("node", "label")
-        labels = new.select("node", "label")
-    raise RuntimeError(f"labels still change after {most_rounds} rounds")
+        both = left.union(left.select("b", "a"))
+        merge = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), name)
+        merges.append(merge)
+        to = lambda c: merge.select(F.col("node").alias(c), F.col("label").alias(f"{c}2"))  # noqa: B023, E731
+        moved = left.join(to("a"), "a").join(to("b"), "b").where("a2 <> b2")
+        left = stored(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), f"{name}-edges")
+        if left.limit(1).count() == 0:
+            break
+    else:
+        raise RuntimeError(f"edges are left after {most_rounds} rounds")
+    # from the last round back: where a node's label went on to
+    out = merges[-1]
+    for merge in reversed(merges[:-1]):
+        later = out.select(F.col("node").alias("label"), F.col("label").alias("final"))
+        out = stored(merge.join(later, "label", "left").select("node", F.coalesce("final", "label").alias("label")), name)
+    return out

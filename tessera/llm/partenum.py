@@ -256,6 +256,20 @@ def _stars(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartition(parts, "bucket").mapInArrow(run, "a bigint, b bigint")
 
 
+def _blocks(stars: DataFrame) -> DataFrame:
+    """(class, block) of connected candidates.  A class goes with the least
+    centre of its buckets, which its other centres are tied to: a list no
+    longer than its signatures.  Only the centres are left to be connected."""
+    members = stored(stars.groupBy("b").agg(F.min("a").alias("low"), F.collect_set("a").alias("centres")), "members")
+    centres = stars.select("a").distinct()
+    ties = members.select(F.col("low").alias("a"), F.explode("centres").alias("b")).union(
+        members.select("low", "b").join(centres.withColumnRenamed("a", "b"), "b", "left_semi").select("low", "b"))
+    labels = components(ties, "blocks")
+    alone = members.select(F.col("b").alias("class"), "low").unionByName(centres.select(F.col("a").alias("class"), F.col("a").alias("low")))
+    found = alone.join(labels.select(F.col("node").alias("low"), "label"), "low", "left")
+    return found.groupBy("class").agg(F.min(F.coalesce("label", "low")).alias("block"))
+
+
 def solve(names: list[int], keys: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
     """Per set the least key of those it is linked with, directly or through others of the block."""
     n = len(sets)
@@ -365,7 +379,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # a key with several texts joins their classes
     classes = facts.where("n > 0 and key is not null").groupBy("class").agg(F.min("key").alias("low"))
     stars = stored(_stars(_packed(rows.where("key is not null"), "text", percent, parts, frequent), parts).distinct(), "stars")
-    blocks = components(stars, "blocks").select(F.col("node").alias("class"), F.col("label").alias("block"))
+    blocks = _blocks(stars)
     chosen = blocks.join(classes, "class").select("class", "block", F.col("low").alias("key"))
     # the least key may have other texts too: its class tells which one is meant
     texts = rows.join(chosen.hint("shuffle_hash"), "key").select("key", "class", "block", "text")
