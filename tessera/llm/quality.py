@@ -121,14 +121,15 @@ def compile_rules(rules=RULES) -> Column:
 
 def evaluate(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """``docs`` with the counts, the ratios, ``failed_rules`` and ``kept``."""
-    new = {*COUNTS, *RATIOS, "failed_rules", "kept", "base_failed", "_q"}
+    new = {*COUNTS, *RATIOS, "failed_rules", "kept", "base_failed", "_q", "_once"}
     carried = [c for c in docs.columns if c not in new]
-    out = docs.select(*carried, _counts(F.coalesce(F.col(text), F.lit(""))).alias("_q"))
-    out = out.select(*carried, "_q.*")
+    # a filter on the verdict is not pushed below a partition number, so the counts are taken once
+    out = docs.select(*carried, _counts(F.coalesce(F.col(text), F.lit(""))).alias("_q"), F.spark_partition_id().alias("_once"))
+    out = out.select(*carried, "_q.*", "_once")
     out = out.select("*", *[_ratio(*v).alias(k) for k, v in RATIOS.items()])
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.select("*", base.alias("base_failed"), compile_rules(rules).alias("failed_rules"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0) & (F.col("_once") >= 0)).drop("_once")
 
 
 def op6_quality_rules(spark, sf_dir) -> DataFrame:
