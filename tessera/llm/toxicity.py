@@ -38,11 +38,11 @@ from .common import map_texts, stored, table
 
 P = 3
 DECAY = 0.7
-LANDMARKS = 64
+LANDMARKS = 128
 MOST_LABELLED = 12_000
 SHARED = 0.5
 LONGER = 3
-FLOOR = 0.35
+FLOOR = 0.3
 THRESHOLD = 0.3
 #: Words that a worker remembers.
 CACHE_WORDS = 400_000
