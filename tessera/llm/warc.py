@@ -69,9 +69,11 @@ def arc_records(content: bytes):
     at, fields = 0, ARC_FIELDS["1"]
     while at < len(content):
         stop = content.find(b"\n", at)
-        if stop < 0 or not content[at:stop].strip():
+        if not content[at:stop if stop >= 0 else None].strip():
             at = len(content) if stop < 0 else stop + 1
             continue
+        if stop < 0:
+            raise ValueError(f"ARC header line at {at} is cut off")
         line = content[at:stop].decode("utf-8", "replace")
         if line.startswith("filedesc://"):
             size = int(line.rsplit(" ", 1)[1])
