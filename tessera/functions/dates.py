@@ -12,18 +12,22 @@ from pyspark.sql import functions as F
 
 from .text import WS
 
-RFC_FORMATS = [
-    "d MMM yyyy HH:mm:ss Z",     # +0530, -0000
-    "d MMM yyyy HH:mm:ss z",     # GMT, UTC, EST
-    "d MMM yyyy HH:mm Z",
-    "d MMM yyyy HH:mm z",
-    "d MMM yyyy HH:mm:ss",       # naive -> UTC
-]
+# Four- and two-digit years; offset (+0530, -0000), zone name (GMT, UTC), or
+# none (UTC); ``H`` takes one or two digits.
+RFC_FORMATS = [f"d MMM {year} {time}{zone}" for year in ("yyyy", "yy")
+               for time in ("H:mm:ss", "H:mm") for zone in (" Z", " z", "")]
+
+# FIXED VALUES: North American zone abbreviations are fixed offsets in feeds,
+# whatever the season.
+ZONE_OFFSETS = {"EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
+                "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 
 
 def parse_published(raw) -> Column:
     c = F.col(raw) if isinstance(raw, str) else raw
     s = F.regexp_replace(F.trim(c), rf"^[A-Za-z]{{3}},[{WS}]*", "")
+    for name, offset in ZONE_OFFSETS.items():
+        s = F.regexp_replace(s, rf"[{WS}]{name}$", f" {offset}")
     tries = [F.try_to_timestamp(s, F.lit(f)) for f in RFC_FORMATS]
     tries.append(F.try_to_timestamp(F.trim(c)))                           # ISO-8601
     return F.coalesce(*tries)

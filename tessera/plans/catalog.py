@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources import tables as T
 from ..operators import search
@@ -550,7 +551,7 @@ def stream_source_counts_q(spark, sf_dir):
     s = ST.stream_table(spark, sf_dir, "pages")
     arts = s.selectExpr(*[x.strip() for x in T._split_select(T._ARTICLES_SQL)])
     arts = arts.withColumn("source", TX.source_or_default("source"))
-    out = ST.run_available(ST.rolling_source_counts(arts), "complete", "source-counts")
+    out = ST.run_available(ST.rolling_source_counts(arts, T.AS_OF), "complete", "source-counts")
     return out.select(_ts(F.col("window.start")).alias("window_start"),
                       _ts(F.col("window.end")).alias("window_end"), "source", "n")
 
@@ -578,7 +579,7 @@ def csv_roundtrip_curation_q(spark, sf_dir):
     raw = T.comments(spark, sf_dir).select(
         "body", "subreddit", "score", F.lit(0).cast("int").alias("controversiality"), "doc_id")
     FS.write_table(raw, path, "csv")
-    schema = FS.COMMENTS_SCHEMA.add("doc_id", "long")
+    schema = StructType([*FS.COMMENTS_SCHEMA.fields, StructField("doc_id", LongType())])
     back = FS.read_table(spark, path, "csv", schema)
     return curate.curate_comments(back).select("doc_id", "subreddit", "body", "score")
 

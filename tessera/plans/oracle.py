@@ -672,8 +672,8 @@ WHERE {FLAG_EXPR['has_title_link']} AND {FLAG_EXPR['meaningful']} AND NOT {FLAG_
   AND {FLAG_EXPR['recent']}"""
 
 ORACLE["stream_source_counts"] = f"""WITH {ARTICLES},
-a AS (SELECT {strip("coalesce(nullif(source, ''), 'Google News')")} AS source, published FROM articles
-      WHERE published IS NOT NULL),
+a AS (SELECT {strip("coalesce(nullif(source, ''), 'Google News')")} AS source,
+      coalesce(published, TIMESTAMP '2025-01-01 00:00:00') AS published FROM articles),
 w AS (SELECT source, time_bucket(INTERVAL 24 HOUR, published) - to_hours(24 * i) AS ws
       FROM a, (SELECT unnest([0, 1, 2]) AS i) k)
 SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,

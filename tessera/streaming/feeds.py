@@ -2,9 +2,10 @@
 
 ST1: landed entries -> the same stateless cleaning and filters as the batch
 path -> watermark on event time -> ``dropDuplicatesWithinWatermark`` on the
-article key.  The 72-hour recency rule becomes the late-data bound.  A NULL
-publication date never advances a watermark, so event time is
-``coalesce(published, ingest time)``.
+article key.  The 72-hour recency rule becomes the late-data bound.  Event
+time is the publication date, at most ``as_of``; an undated entry counts as
+published at ``as_of``.  No accepted entry is then older than the watermark.
+Without ``as_of`` there is no bound, and keys are kept without a watermark.
 
 ST2: sliding ``window(event_time, 72h, 24h)`` counts per source.
 """
@@ -21,23 +22,30 @@ from ..operators import articles as A
 from ..session import ensure_checkpoint_dir
 
 WATERMARK = f"{L.MAX_AGE_HOURS} hours"
+# an entry just at the recency bound is not late
+LATENESS = f"{L.MAX_AGE_HOURS + 1} hours"
 
 
-def intake(entries: DataFrame, as_of: str | None = None, watermark: str = WATERMARK) -> DataFrame:
-    """Streaming (or batch) feed intake with exact-key dedupe (ST1)."""
+def intake(entries: DataFrame, as_of: str | None = None, watermark: str = LATENESS) -> DataFrame:
+    """Streaming feed intake with exact-key dedupe (ST1)."""
     e = A.prepare_entries(entries)
     cond = A.has_title_and_link() & A.has_meaningful_content() & ~A.looks_like_landing_page()
     if as_of is not None:
         cond = cond & A.is_recent("published", as_of)
     e = A.keep(e, cond)
-    e = e.withColumn("event_time", F.coalesce(F.col("published"), F.current_timestamp()))
+    if as_of is None:
+        return e.dropDuplicates(["article_key"])
+    now = F.lit(as_of).cast("timestamp")
+    e = e.withColumn("event_time", F.least(F.coalesce(F.col("published"), now), now))
     return e.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["article_key"])
 
 
-def rolling_source_counts(entries: DataFrame, size: str = WATERMARK, slide: str = "24 hours",
+def rolling_source_counts(entries: DataFrame, as_of: str | None = None, size: str = WATERMARK, slide: str = "24 hours",
                           watermark: str = WATERMARK) -> DataFrame:
-    """Per-source article counts over sliding event-time windows (ST2)."""
-    e = entries.filter(F.col("published").isNotNull()).withColumn("event_time", F.col("published"))
+    """Per-source article counts over sliding event-time windows (ST2); undated
+    entries count at ``as_of``, and are left out where it is not given."""
+    dated = F.coalesce(F.col("published"), F.lit(as_of).cast("timestamp"))
+    e = entries.withColumn("event_time", dated).filter(F.col("event_time").isNotNull())
     e = e.withWatermark("event_time", watermark)
     return e.groupBy(F.window("event_time", size, slide), "source").agg(F.count(F.lit(1)).alias("n"))
 
