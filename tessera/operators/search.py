@@ -159,12 +159,14 @@ def topk_inner_product(corpus: DataFrame, queries: DataFrame, k: int,
 
 def attach_metadata(hits: DataFrame, metadata: DataFrame, key: str = "doc_id",
                     meta_key: str | None = None) -> DataFrame:
-    """Left-attach metadata to the (small, bounded) hit list.
+    """Left-attach metadata to the hit list (at most Q x k rows).
 
-    The hit list holds at most Q x k rows, so it is the broadcast side: the
-    metadata table is streamed once and never shuffled.
+    Metadata is first cut to the keys that were hit, a semi-join whose small
+    side adaptive execution broadcasts once its measured size allows; only
+    the rows that are left meet the hits, so the metadata table itself is
+    shuffled at most where the hits are too many to broadcast.
     """
     meta_key = meta_key or key
     m = metadata.withColumnRenamed(meta_key, "__mk") if meta_key != "__mk" else metadata
-    joined = m.join(F.broadcast(hits), F.col("__mk") == hits[key], "right")
-    return joined.drop("__mk")
+    found = m.join(hits.select(F.col(key).alias("__mk")).distinct(), "__mk", "left_semi")
+    return hits.join(found, hits[key] == F.col("__mk"), "left").drop("__mk")
