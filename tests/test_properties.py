@@ -61,3 +61,24 @@ def test_hot_url_greedy_rounds(spark):
         su.add(u); stt.add(t); expect.append(p)
     got = sorted(r.pos for r in fold.greedy_two_key_rounds(df, ["g"], "pos", "u", "t").collect())
     assert got == expect
+
+
+def test_greedy_forms_agree_on_ties_and_nulls(spark):
+    import random
+
+    random.seed(11)
+    rows = [(random.randint(0, 6), random.choice([None, "u1", "u2", "u3", "u4", "u5"]), random.choice([None, "t1", "t2", "t3", "t4", "t5"]), g)
+            for g in list(range(25)) + [None] for _ in range(9)]
+    rows += [(0, "u1", "t1", 99), (0, "u1", "t2", 99), (1, "u3", "t3", 99)]
+    key = lambda r: tuple((x is not None, x) for x in r[:3])
+    expect = []
+    for g in {r[3] for r in rows}:
+        us, ts = set(), set()
+        for r in sorted((r for r in rows if r[3] == g), key=key):
+            if (r[1] is not None and r[1] in us) or (r[2] is not None and r[2] in ts):
+                continue
+            us.add(r[1]); ts.add(r[2]); expect.append(r)
+    df = spark.createDataFrame(rows, "pos long, u string, t string, g int")
+    got = [sorted(map(tuple, fn(df, ["g"], "pos", "u", "t").collect()), key=repr) for fn in (fold.greedy_two_key_fold, fold.greedy_two_key_rounds)]
+    assert got[0] == got[1] == sorted(expect, key=repr)
+    assert sum(r[3] == 99 for r in got[0]) == 2
