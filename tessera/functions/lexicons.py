@@ -178,8 +178,6 @@ ANALYSIS_PATTERNS = [
     r"\bpredictions\b",
 ]
 
-LISTICLE_PATTERN = r"^\s*\d+\s+"
-
 MIN_TITLE_CHARS = 10
 MIN_SUMMARY_CHARS = 20
 MAX_AGE_HOURS = 72
@@ -242,9 +240,6 @@ INVALID_CRITIC_FEEDBACK = (
 
 TOMBSTONES = ["[deleted]", "[removed]"]
 MIN_TEXT_CHARS = 20
-COMMENT_SAMPLE_N = 1250
 JOKE_BUCKETS = 5
 JOKE_SAMPLE_CAP = 10000
 SAMPLE_SEED = 42
-EMBED_BATCH = 32
-SNIPPET_CHARS = 500
