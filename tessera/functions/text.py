@@ -57,9 +57,32 @@ def strip(c) -> Column:
             .otherwise(x)
 
 
+# FIXED VALUES — characters that HTML gives to the numeric references 128 to
+# 159 (null: not assigned, the reference stands for the code point itself).
+LATIN_EXTRA = ["€", None, "‚", "ƒ", "„", "…", "†", "‡", "ˆ", "‰", "Š", "‹", "Œ", None, "Ž", None,
+               None, "‘", "’", "“", "”", "•", "–", "—", "˜", "™", "š", "›", "œ", None, "ž", "Ÿ"]
+
+
+def _numeric(piece: Column) -> Column:
+    """Text after ``&#``: a leading decimal or hexadecimal reference as its character, then the rest."""
+    ref = F.regexp_extract(piece, r"^(?:[xX][0-9a-fA-F]{1,8}|[0-9]{1,9});?", 0)
+    bare = F.regexp_replace(ref, r"[;xX]", "")
+    n = F.when(ref.rlike("^[xX]"), F.conv(bare, 16, 10)).otherwise(bare).cast("long")
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    char = (F.when(n == 38, "&amp;")              # decoded with the named ones, so only once
+            .when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd")
+            .when(n.between(128, 159), F.coalesce(F.get(F.array(*[F.lit(x) for x in LATIN_EXTRA]), (n - 128).cast("int")), plain))
+            .otherwise(plain))
+    return F.when(ref == "", F.concat(F.lit("&#"), piece)).otherwise(F.concat(char, F.substr(piece, F.length(ref) + 1)))
+
+
 def unescape(c) -> Column:
-    """Single-pass HTML entity decoding for the common named/numeric set."""
-    out = _c(c)
+    """Single-pass HTML entity decoding: every numeric reference and the common
+    named ones.  Only text that holds ``&#`` pays for the numeric ones."""
+    x = _c(c)
+    pieces = F.split(x, "&#")
+    tail = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _numeric)
+    out = F.when(x.contains("&#"), F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))).otherwise(x)
     for ent, ch in ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
     return out
