@@ -17,8 +17,8 @@ as long, and similarities below ``FLOOR`` count as none: both are part of the
 feature's definition.  Runs of three or more single characters are a word too.
 
 The fit reads at most ``MOST_LABELLED`` labelled documents (those with the
-least hash of their id, a bounded sample) and the driver gets one row of
-``LANDMARKS`` numbers for each.  Scoring reads every whole text, no shuffle.
+least hash of their id, a bounded sample) and the driver gets the similarities
+of their sentences that are not zero, ten bytes each.  Scoring reads every whole text, no shuffle.
 
 Defined results: null and empty texts have no words and get the score of a
 sentence without similarities; without labels of both classes all scores are
@@ -187,7 +187,32 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -500, 500)))).tolist()
 
 
-def train(landmarks: list[str], bags: list[list[np.ndarray]], y: np.ndarray, rounds: int = 3, cost: float = 1.0) -> Model:
+def packed(rows: list[np.ndarray]) -> bytes:
+    """Similarity vectors of a text's sentences as (sentence, landmark, value): few are not zero."""
+    at = np.argwhere(np.array(rows) > 0) if rows else np.zeros((0, 2), np.int64)
+    out = np.zeros(len(at), PACKED)
+    if rows:
+        out["row"], out["col"], out["sim"] = at[:, 0], at[:, 1], np.array(rows)[at[:, 0], at[:, 1]]
+    return out.tobytes()
+
+
+PACKED = np.dtype([("row", "<i4"), ("col", "<i2"), ("sim", "<f4")])
+
+
+def chosen_sentence(bag: bytes, value, size: int) -> np.ndarray:
+    """The sentence with the largest sum of ``value(entries)``; one without similarities counts zero."""
+    x = np.frombuffer(bag, PACKED)
+    out = np.zeros(size)
+    if len(x):
+        total = np.bincount(x["row"], value(x))
+        best = int(total.argmax())
+        if total[best] > 0:
+            hit = x[x["row"] == best]
+            out[hit["col"]] = hit["sim"]
+    return out
+
+
+def train(landmarks: list[str], bags: list[bytes], y: np.ndarray, rounds: int = 3, cost: float = 1.0) -> Model:
     """SVM on one sentence per bag, chosen anew in each round, and its logistic scale."""
     share = float(y.mean()) if len(y) else 0.0
     if not landmarks or share in (0.0, 1.0):
@@ -198,8 +223,7 @@ def train(landmarks: list[str], bags: list[list[np.ndarray]], y: np.ndarray, rou
     k = similarity([a for a, _ in pairs], [b for _, b in pairs]).reshape(m, m)
     value, vector = np.linalg.eigh((k + k.T) / 2 + 1e-3 * np.eye(m))
     root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T  # Nyström map
-    none = np.zeros(m)
-    pick = [max(rows, key=lambda v: float(v @ v)) if rows else none for rows in bags]
+    pick = [chosen_sentence(b, lambda x: x["sim"] ** 2, m) for b in bags]
     sign = 2.0 * y - 1
     for _ in range(rounds):
         x = np.c_[np.array(pick) @ root, np.ones(len(y))]
@@ -214,7 +238,7 @@ def train(landmarks: list[str], bags: list[list[np.ndarray]], y: np.ndarray, rou
                 break
             w = new
         weights, offset = root @ w[:m], float(w[m])
-        pick = [max([*rows, none], key=lambda v: float(v @ weights)) if rows else none for rows in bags]
+        pick = [chosen_sentence(b, lambda x: x["sim"] * weights[x["col"]], m) for b in bags]  # noqa: B023
     f = np.array(pick) @ weights + offset
     slope, shift = 1.0, 0.0
     for _ in range(50):  # logistic regression of the labels on the margin
@@ -248,10 +272,10 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
 
     def work(texts, before):
         matcher = _matcher(chosen)
-        return [[[v.tolist() for v in rows] for rows in matcher.sentences(texts)], before[0]]
+        return [[packed(found) for found in matcher.sentences(texts)], before[0]]
 
-    back = map_texts(rows, "text", [], "s array<array<double>>, label int", lambda: work, before=["y"]).collect()
-    return train(chosen, [[np.array(v) for v in r.s] for r in back], np.array([r.label for r in back], float))
+    back = map_texts(rows, "text", [], "s binary, label int", lambda: work, before=["y"]).collect()
+    return train(chosen, [bytes(r.s) for r in back], np.array([r.label for r in back], float))
 
 
 _MATCHERS: dict = {}
