@@ -153,20 +153,19 @@ class Matcher:
 
     def sentences(self, texts: list[str | None]) -> list[list[np.ndarray]]:
         """Per text the similarity vectors of its sentences that have any."""
-        lowered = [(t or "").lower() for t in texts]
-        cut = [spelled(t) for t in lowered]
-        self.learn(set().union(*cut) - self.dull)
+        # learnt and looked up are the same words: those of the sentences
+        cut = [[spelled(s) for s in SENTENCE.split((t or "").lower())] for t in texts]
+        self.learn(set().union(*(s for sentences in cut for s in sentences)) - self.dull)
         known, out = self.known, []
-        for text, tokens in zip(lowered, cut, strict=True):
+        for sentences in cut:
             rows = []
-            if not known.keys().isdisjoint(tokens):
-                for s in SENTENCE.split(text):
-                    hits = [known[w] for w in spelled(s) if w in known]
-                    if hits:
-                        v = np.zeros(len(self.landmarks))
-                        for j, x in (p for h in hits for p in h):
-                            v[j] = max(v[j], x)
-                        rows.append(v)
+            for s in sentences:
+                hits = [known[w] for w in s if w in known]
+                if hits:
+                    v = np.zeros(len(self.landmarks))
+                    for j, x in (p for h in hits for p in h):
+                        v[j] = max(v[j], x)
+                    rows.append(v)
             out.append(rows)
         return out
 

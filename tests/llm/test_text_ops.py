@@ -150,6 +150,24 @@ def test_kernel_brute_force():
     assert toxicity.spelled("you i d i o t here")[-1] == "idiot"
 
 
+def plain_score(texts, matcher=None):
+    model = toxicity.Model(["idiot", "moron"], np.ones(2), -0.5, 4.0, 0.0)
+    return model.scores((matcher or toxicity.Matcher(model.landmarks)).sentences(texts))
+
+
+@pytest.mark.parametrize("mark", [".", "!", "?", "...", "?!", ". ", ".\n"])
+@pytest.mark.parametrize("word", ["idiot", "id-iot", "iddiot", "mmoron"])
+def test_toxicity_final_mark(word, mark):
+    bare, ended = f"you are an {word}", f"you are an {word}{mark}"
+    want = plain_score([bare])[0]
+    assert want > plain_score(["you are an engineer"])[0]
+    assert plain_score([ended])[0] == pytest.approx(want)
+    # other rows of the slice and what the worker met before change nothing
+    matcher = toxicity.Matcher(["idiot", "moron"])
+    for others in ([], [bare], ["a kind moron. yes", None, ""]):
+        assert plain_score([*others, ended, f"good day. {ended}"], matcher)[-2:] == pytest.approx([want, want])
+
+
 def test_toxicity_edges_and_held_out(spark):
     rows = [(i, f"plain words here number{i}. " + (f"you {['stupid', 'moron'][i % 2]}" if i % 3 == 0 else "you kind person"), int(i % 3 == 0)) for i in range(200)]
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
