@@ -15,6 +15,9 @@ A word is compared only with landmarks of which it holds ``SHARED`` of the
 ordered letter pairs (at distance one or two) and is at most ``LONGER`` times
 as long, and similarities below ``FLOOR`` count as none: both are part of the
 feature's definition.  Runs of three or more single characters are a word too.
+A sentence ends at a mark before white space or at the end of a line.  A word
+with such marks inside is compared whole, without them, and in the parts
+between them.
 
 The fit reads at most ``MOST_LABELLED`` labelled documents (those with the
 least hash of their id, a bounded sample) and the driver gets the similarities
@@ -47,8 +50,9 @@ THRESHOLD = 0.3
 #: Words that a worker remembers.
 CACHE_WORDS = 400_000
 MARKS = ".,;:!?\"'()[]{}<>«»„“”…"
-SPELT = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
-SENTENCE = re.compile(r"[.!?\n]+")
+SPELT = re.compile(r"(?<!\S)[{0}]*\S(?:\s\S){{2,}}[{0}]*(?!\S)".format(re.escape(MARKS)))
+SENTENCE = re.compile(r"(?:(?<=[.!?])|(?<=[.!?][\"')\]»”]))\s+|\n+")
+INSIDE = re.compile(r"[.!?]+")
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -128,21 +132,20 @@ class Matcher:
         if not self.landmarks:
             return
         new = [t for t in tokens if t not in self.known]
-        bare = [t.strip(MARKS) for t in new]
-        keep = [i for i, w in enumerate(bare) if len(w) >= P]
+        forms = [(i, w) for i, t in enumerate(new) for w in forms_of(t) if len(w) >= P]
         found: dict[int, list] = {}
-        if keep:
-            bits = pairs_of([bare[i] for i in keep])
-            sizes = np.array([len(bare[i]) for i in keep])
+        if forms:
+            bits = pairs_of([w for _, w in forms])
+            sizes = np.array([len(w) for _, w in forms])
             left, right = [], []
             for j, need in enumerate(self.need):
                 both = np.bitwise_count(bits & self.bits[:, j, None])
                 hit = np.flatnonzero((both[0] + both[1] >= need) & (sizes <= LONGER * len(self.landmarks[j])))
-                left += [keep[k] for k in hit]
+                left += [forms[k] for k in hit]
                 right += [j] * len(hit)
-            sim = similarity([bare[i] for i in left], [self.landmarks[j] for j in right])
+            sim = similarity([w for _, w in left], [self.landmarks[j] for j in right])
             for k in np.flatnonzero(sim >= FLOOR).tolist():
-                found.setdefault(left[k], []).append((right[k], float(sim[k])))
+                found.setdefault(left[k][0], []).append((right[k], float(sim[k])))
         for i, t in enumerate(new):
             if i in found:
                 self.known[t] = found[i]
@@ -153,26 +156,42 @@ class Matcher:
 
     def sentences(self, texts: list[str | None]) -> list[list[np.ndarray]]:
         """Per text the similarity vectors of its sentences that have any."""
-        # learnt and looked up are the same words: those of the sentences
-        cut = [[spelled(s) for s in SENTENCE.split((t or "").lower())] for t in texts]
-        self.learn(set().union(*(s for sentences in cut for s in sentences)) - self.dull)
+        lowered = [(t or "").lower() for t in texts]
+        cut = [spelled(t) for t in lowered]
+        self.learn(set().union(*cut) - self.dull)
         known, out = self.known, []
-        for sentences in cut:
+        for text, tokens in zip(lowered, cut, strict=True):
             rows = []
-            for s in sentences:
-                hits = [known[w] for w in s if w in known]
-                if hits:
-                    v = np.zeros(len(self.landmarks))
-                    for j, x in (p for h in hits for p in h):
-                        v[j] = max(v[j], x)
-                    rows.append(v)
+            if not known.keys().isdisjoint(tokens):
+                # cut at white space only, runs before it: the words are those that were learnt
+                for s in SENTENCE.split(SPELT.sub(lambda run: " ".join(joined(run.group())), text)):
+                    hits = [known[w] for w in s.split() if w in known]
+                    if hits:
+                        v = np.zeros(len(self.landmarks))
+                        for j, x in (p for h in hits for p in h):
+                            v[j] = max(v[j], x)
+                        rows.append(v)
             out.append(rows)
         return out
 
 
 def spelled(text: str) -> list[str]:
     """Words, and those that runs of three or more single characters spell."""
-    return text.split() + ["".join(run.split()) for run in SPELT.findall(text)]
+    return text.split() + [w for run in SPELT.findall(text) for w in joined(run)]
+
+
+def joined(run: str) -> list[str]:
+    """The word that a run of single characters spells, after those of its lines if it has several."""
+    lines = [line for line in run.split("\n") if line] if "\n" in run else []
+    return [*("".join(line.split()).strip(MARKS) for line in lines), "".join(run.split())]
+
+
+def forms_of(token: str) -> list[str]:
+    """What is compared with the landmarks: the bare word; with sentence marks inside also the word without them and the parts between them."""
+    bare = token.strip(MARKS)
+    if not INSIDE.search(bare):
+        return [bare]
+    return list({bare, INSIDE.sub("", bare), *(part.strip(MARKS) for part in INSIDE.split(bare))})
 
 
 class Model:

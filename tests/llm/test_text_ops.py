@@ -156,7 +156,7 @@ def plain_score(texts, matcher=None):
 
 
 @pytest.mark.parametrize("mark", [".", "!", "?", "...", "?!", ". ", ".\n"])
-@pytest.mark.parametrize("word", ["idiot", "id-iot", "iddiot", "mmoron"])
+@pytest.mark.parametrize("word", ["idiot", "id-iot", "iddiot", "mmoron", "i d i o t"])
 def test_toxicity_final_mark(word, mark):
     bare, ended = f"you are an {word}", f"you are an {word}{mark}"
     want = plain_score([bare])[0]
@@ -168,6 +168,18 @@ def test_toxicity_final_mark(word, mark):
         assert plain_score([*others, ended, f"good day. {ended}"], matcher)[-2:] == pytest.approx([want, want])
 
 
+@pytest.mark.parametrize("form", ["i.d.i.o.t", "idi!ot", "id?iot", "id.iot", "i . d . i . o . t", "i ! d ! i ! o ! t", "i..d..i..o..t", "i\nd\ni\no\nt",
+                                  "i d i o t .", "ridiculously.idiot", "idiot.ridiculously", "f i n e . i d i o t", "f i n e\ni d i o t"])
+def test_toxicity_marks_inside(form):
+    """Sentence marks inside a word neither hide it nor the words on both sides."""
+    clean = plain_score(["you are an engineer"])[0]
+    for text in (form, f"you are an {form} today", f"good day. you {form}! bye"):
+        assert plain_score([text])[0] > clean + 0.2
+    # the sentence still ends at a mark before white space, quoted or not
+    matcher = toxicity.Matcher(["idiot", "moron"])
+    assert [len(x) for x in matcher.sentences(["an idiot. a moron", "an idiot a moron", 'an "idiot!" a moron', "an idiot\na moron", f"{form}. a moron"])] == [2, 1, 2, 2, 2]
+
+
 def test_toxicity_edges_and_held_out(spark):
     rows = [(i, f"plain words here number{i}. " + (f"you {['stupid', 'moron'][i % 2]}" if i % 3 == 0 else "you kind person"), int(i % 3 == 0)) for i in range(200)]
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
