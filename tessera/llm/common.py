@@ -102,28 +102,40 @@ def map_texts(df: DataFrame, text: str, carried: list[str], new: str, make, befo
     return df.select(*need).mapInArrow(run, out)
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 100) -> DataFrame:
+#: Rounds of ``components`` that merge by id, which ends stars at once; the later ones do not depend on the ids.
+ID_ROUNDS = 3
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label) of the nodes of ``edges`` (a, b): the least node that each
     can reach.  Each round merges every node into its least neighbour and
     keeps the edges between different merged nodes, so the graph shrinks; the
-    merges of all rounds are put together at the end.  Edges are written to
-    the shared folder after each round, one flag returns to the driver."""
+    merges of all rounds are put together at the end.  After ``ID_ROUNDS``
+    rounds least means by a hash that changes each round: of a path about half
+    the nodes are left, whatever its ids, so rounds grow with the logarithm of
+    the nodes.  Edges are written to the shared folder after each round, one
+    flag returns to the driver."""
     left = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-edges")
     merges = []
-    for _ in range(most_rounds):
+    while True:
+        salt = len(merges)
+        rank = lambda c: F.struct((F.lit(0) if salt < ID_ROUNDS else F.xxhash64(c, F.lit(salt))).cast("bigint").alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
         both = left.union(left.select("b", "a"))
-        merge = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), name)
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("near"))
+        merge = stored(near.select("node", F.least(rank("node"), "near")["id"].alias("label")), name)
         merges.append(merge)
         to = lambda c: merge.select(F.col("node").alias(c), F.col("label").alias(f"{c}2"))  # noqa: B023, E731
         moved = left.join(to("a"), "a").join(to("b"), "b").where("a2 <> b2")
         left = stored(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), f"{name}-edges")
         if left.limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError(f"edges are left after {most_rounds} rounds")
     # from the last round back: where a node's label went on to
     out = merges[-1]
-    for merge in reversed(merges[:-1]):
-        later = out.select(F.col("node").alias("label"), F.col("label").alias("final"))
-        out = stored(merge.join(later, "label", "left").select("node", F.coalesce("final", "label").alias("label")), name)
+    for k in range(len(merges) - 1, -1, -1):
+        if k < len(merges) - 1:
+            later = out.select(F.col("node").alias("label"), F.col("label").alias("final"))
+            out = stored(merges[k].join(later, "label", "left").select("node", F.coalesce("final", "label").alias("label")), name)
+        if k == ID_ROUNDS:  # rounds by id keep the least node of all, so it is among these
+            least = out.groupBy("label").agg(F.min("node").alias("least"))
+            out = stored(out.join(least, "label").select("node", F.col("least").alias("label")), name)
     return out

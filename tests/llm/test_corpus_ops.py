@@ -106,6 +106,21 @@ def test_components_of_a_chain(spark):
     assert all(got[i] == 0 for i in ids) and got[100] == got[101] == 100
 
 
+def test_components_of_long_paths(spark):
+    """Ascending ids, which a merge by id shortens by one edge a round; the least id may stand anywhere."""
+    up = [(i, i + 1) for i in range(1000, 1400)]
+    bent = [(5000 + i, 5001 + i) for i in range(200)] + [(5200, 7), (7, 5300)] + [(5300 + i, 5301 + i) for i in range(50)]
+    got = {r.node: r.label for r in common.components(spark.createDataFrame(up + bent, "a long, b long")).collect()}
+    assert got == {i: 1000 for i in range(1000, 1401)} | {i: 7 for i in [7, *range(5000, 5201), *range(5300, 5351)]}
+
+
+def test_jaccard_of_versions(spark):
+    """Each version is alike to its neighbours only, and the block is dealt to chunks."""
+    rows = [(d, " ".join(f"w{i}" for i in range(3 * d, 3 * d + 50))) for d in range(500)]
+    out = partenum.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), limit=9_000)
+    assert {r.doc_id: r.component_id for r in out.collect()} == {d: 0 for d in range(500)}
+
+
 def plain_removed(rows, length):
     seen = collections.Counter(t[i:i + length] for _, t in rows for i in range(len(t) - length + 1))
     return [[any(seen[t[i:i + length]] > 1 for i in range(max(0, p - length + 1), min(p, len(t) - length) + 1)) for p in range(len(t))] for _, t in rows]
