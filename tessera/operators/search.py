@@ -10,8 +10,11 @@ Physical plan, for N corpus vectors and Q query vectors:
    this with a partial ``WindowGroupLimit`` before the shuffle, so each query
    moves at most k rows per task.
 
-When Q x D exceeds the broadcast budget the queries are processed in hashed
-blocks, each block one corpus scan, so nothing unbounded is broadcast.
+When Q x D exceeds the broadcast budget the queries are processed in blocks of
+at most that size, one at a time: a block is read to the driver, broadcast,
+scored by one corpus scan, and its top k are written to the checkpoint folder
+before the next one is read.  The driver holds one block and at most about one
+more of rows that wait.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 DEFAULT_MAX_QUERY_BYTES = 64 * 1024 * 1024
 
 _PARTIAL_SCHEMA = "query_id long, doc_id long, sim double"
@@ -62,6 +67,10 @@ def _merge_topk(ids, sims, k):
 RANK_DECIMALS = 12
 
 
+# Cells of the block product that a task holds at a time.
+PRODUCT_CELLS = 4_000_000
+
+
 def _partial_topk_fn(bc, k: int, exclude_self: bool = False):
     def fn(batches):
         qids, Q = bc.value
@@ -77,9 +86,11 @@ def _partial_topk_fn(bc, k: int, exclude_self: bool = False):
                 continue
             if X.shape[1] != Q.shape[1]:
                 raise ValueError(f"corpus dim {X.shape[1]} != query dim {Q.shape[1]}")
-            S = np.round(X @ Q.T, RANK_DECIMALS)
+            step = max(1, PRODUCT_CELLS // len(ids))
             for j in range(len(qids)):
-                cid, cs = ids, S[:, j]
+                if j % step == 0:
+                    S = np.round(Q[j:j + step] @ X.T, RANK_DECIMALS)
+                cid, cs = ids, S[j % step]
                 if exclude_self:
                     keep = cid != qids[j]
                     cid, cs = cid[keep], cs[keep]
@@ -111,6 +122,20 @@ def _collect_queries(queries: DataFrame, max_rows: int):
     return qids, Q
 
 
+def _query_blocks(queries: DataFrame, max_rows: int):
+    """All queries in blocks of at most ``max_rows``; one is in memory at a time."""
+    parts = math.ceil(queries.count() / max_rows)
+    qids, vecs = [], []
+    for r in queries.repartition(parts).toLocalIterator():
+        qids.append(r[0])
+        vecs.append(np.array(r[1], dtype=np.float64))
+        if len(qids) == max_rows:
+            yield np.array(qids, dtype=np.int64), np.array(vecs)
+            qids, vecs = [], []
+    if qids:
+        yield np.array(qids, dtype=np.int64), np.array(vecs)
+
+
 def topk_inner_product(corpus: DataFrame, queries: DataFrame, k: int,
                        id_col: str = "doc_id", vec_col: str = "embedding",
                        query_id_col: str = "query_id", query_vec_col: str = "query_vec",
@@ -131,30 +156,27 @@ def topk_inner_product(corpus: DataFrame, queries: DataFrame, k: int,
         dim = first[0][0] if first else 1
     max_rows = max(1, max_query_bytes // (8 * max(dim, 1)))
     got = _collect_queries(q, max_rows)
+    w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), F.col("doc_id").asc())
+
+    def best(partials):
+        return (partials.withColumn("rank", F.row_number().over(w).cast("long"))
+                .filter(F.col("rank") <= k))
+
+    def scan(block):
+        bc = spark.sparkContext.broadcast(block)
+        return bc, c.mapInArrow(_partial_topk_fn(bc, k, exclude_self), _PARTIAL_SCHEMA)
+
     if got is not None:
-        blocks = [got]
-    else:
-        n = q.count()
-        nblocks = math.ceil(n / max_rows)
-        blk = F.pmod(F.xxhash64(query_id_col), F.lit(nblocks))
-        blocks = []
-        for b in range(nblocks):
-            part = _collect_queries(q.filter(blk == b), max_rows * 2)
-            if part is None:
-                raise ValueError("query block exceeds the broadcast budget")
-            blocks.append(part)
+        if len(got[0]) == 0:
+            return spark.createDataFrame([], _PARTIAL_SCHEMA + ", rank int")
+        return best(scan(got)[1])
     partials = None
-    for qids, Q in blocks:
-        if len(qids) == 0:
-            continue
-        bc = spark.sparkContext.broadcast((qids, Q))
-        p = c.mapInArrow(_partial_topk_fn(bc, k, exclude_self), _PARTIAL_SCHEMA)
+    for block in _query_blocks(q, max_rows):
+        bc, p = scan(block)
+        p = materialize(best(p).drop("rank"))
+        bc.destroy()
         partials = p if partials is None else partials.unionByName(p)
-    if partials is None:
-        return spark.createDataFrame([], _PARTIAL_SCHEMA + ", rank int")
-    w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), F.col("doc_id").asc())
-    return (partials.withColumn("rank", F.row_number().over(w).cast("long"))
-            .filter(F.col("rank") <= k))
+    return best(partials)
 
 
 def attach_metadata(hits: DataFrame, metadata: DataFrame, key: str = "doc_id",

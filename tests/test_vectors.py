@@ -64,6 +64,17 @@ def test_knn_graph_excludes_self(spark):
     assert len(got) == 40 * 3
 
 
+def test_knn_blocks_any_ids(spark):
+    """More queries than a block holds, most of them under one id: blocks are cut to size, no error."""
+    X = np.random.default_rng(6).normal(size=(60, 6))
+    q = _df(spark, X).selectExpr("if(id < 50, 7, id) as query_id", "embedding as query_vec")
+    args = dict(id_col="id", dim=6)
+    whole = search.topk_inner_product(_df(spark, X), q, 3, **args).collect()
+    cut = search.topk_inner_product(_df(spark, X), q, 3, max_query_bytes=8 * 6 * 8, **args).collect()
+    key = lambda rows: sorted((r.query_id, r.rank, r.doc_id, round(r.sim, 9)) for r in rows)
+    assert key(cut) == key(whole) and len(whole) == 11 * 3
+
+
 def test_pluggable_encoder_and_hashed_forms(spark):
     from pyspark.sql import functions as F
 
