@@ -78,6 +78,30 @@ def test_feed_files_malformed_isolated_and_stream_keys(spark):
     assert sorted(r[0] for r in keys.collect()) == ["http://a.com/1", "http://a.com/2"]
 
 
+ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><title>F</title>
+<entry><id>1</id><title type="html">One</title><link rel="self" href="http://a.com/self"/><link rel="alternate" href="http://a.com/1"/>
+<summary type="html">S one</summary><published>2025-01-02T03:04:05Z</published><source><title>Space News</title></source></entry>
+<entry><id>2</id><title>Two</title><link href="http://a.com/2"/><summary>S two</summary><updated>2025-01-03T03:04:05Z</updated></entry>
+</feed>"""
+ATOM_ONE = """<feed><entry><id>3</id><title type="text">Three</title><link href="http://a.com/3"/><summary>S three</summary>
+<published>2025-01-04T00:00:00Z</published></entry></feed>"""
+
+
+def test_atom_feed_files(spark):
+    want = {"One": ("http://a.com/1", "S one", "Space News", "2025-01-02 03:04:05"),
+            "Two": ("http://a.com/2", "S two", "Google News", "2025-01-03 03:04:05"),
+            "Three": ("http://a.com/3", "S three", "Google News", "2025-01-04 00:00:00")}
+    for texts, titles, schemas in (([ATOM, ATOM_ONE], set(want), (None, FD.ATOM_SCHEMA)), ([ATOM_ONE], {"Three"}, (None, FD.ATOM_SCHEMA))):
+        d = tempfile.mkdtemp()
+        for i, t in enumerate(texts):
+            with open(os.path.join(d, f"{i}.xml"), "w") as f:
+                f.write(t)
+        for schema in schemas:
+            e = FD.feed_entries(FD.read_feed_files(spark, d, row_tag="entry", schema=schema))
+            got = {r.raw_title: (r.url, r.raw_summary, r.source_name, str(r.published_ts)) for r in e.collect()}
+            assert got == {t: want[t] for t in titles}
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
