@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "chat", "partenum", "suffix", "toxicity", "line_dedup", "quality", "hilbert", "decontam", "warc", "syncmers", "merkle"]
+MODULES = ["bpe", "chat", "partenum", "suffix", "toxicity", "line_dedup", "quality", "hilbert", "decontam", "warc", "syncmers", "ball_tree", "merkle"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
