@@ -243,8 +243,8 @@ def append(level: DataFrame, rows: DataFrame, order: list[str], name: str = "mer
 
 
 def manifest(docs: DataFrame) -> DataFrame:
-    """Leaves, roots and witnesses of ``docs``, and what each row's witness
-    gives for the leaf ``found`` in its place (null: the leaf itself)."""
+    """Leaves, group roots, root and whole witnesses of rows with ``tree``,
+    ``digest``, ``doc_id`` and ``_absent`` (0 for a null id)."""
     return witnessed(first_level(docs, ["_absent", "doc_id"]))
 
 
