@@ -502,6 +502,69 @@ def prompt_requests_q(spark, sf_dir):
     return cls.unionByName(crit)
 
 
+# Topic rounds: the whole loop over the conversations as logged requests.
+from . import rounds as RD  # noqa: E402
+
+ROUND_TEMPLATES = RD.Templates(
+    classify="Topic: {topic}\nDoes this topic need current news? Answer in JSON.",
+    generate="Topic: {topic}\nExamples:\n{context}\nNews:\n{news}\nEarlier verdict: {critique}\nWrite one post.",
+    critique="Topic: {topic}\nExamples:\n{context}\nNews:\n{news}\nDraft:\n{draft}\nAnswer in JSON.",
+)
+CONTEXT_CHARS = 500
+
+
+def _logged_replies(spark, sf_dir):
+    """Replies of the log, by (topic_id, attempt, stage): drafts are the
+    assistant turns, in order; verdicts go by topic and attempt."""
+    conv = T.table(spark, sf_dir, "conversations")
+    turns = conv.filter(F.col("role") == "assistant").withColumn(
+        "attempt", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long"))
+    turns = turns.filter(F.col("attempt") <= G.L.MAX_ATTEMPTS).select(F.col("conv_id").alias("topic_id"), "attempt", "text")
+    cls = conv.select(F.col("conv_id").alias("topic_id")).distinct().select(
+        "topic_id", F.lit(0).cast("long").alias("attempt"), F.lit("classify").alias("stage"),
+        _pick(CLASSIFIER_REPLIES, F.col("topic_id")).alias("reply"))
+    gen = turns.select("topic_id", "attempt", F.lit("generate").alias("stage"), F.col("text").alias("reply"))
+    crit = turns.select("topic_id", "attempt", F.lit("critique").alias("stage"),
+                        _pick(CRITIC_REPLIES, F.col("topic_id") + F.col("attempt")).alias("reply"))
+    return cls.unionByName(gen).unionByName(crit)
+
+
+def _topic_rounds(spark, sf_dir) -> RD.Rounds:
+    topics = T.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("topic_id")).distinct()
+    topics = topics.withColumn("topic", _pick([t for _, t in T.TOPICS], F.col("topic_id")))
+    log = materialize(_logged_replies(spark, sf_dir), "replies")
+
+    def contexts(texts):
+        qv = texts.select(F.col("topic_id").alias("query_id"), EM.hashed_embedding(F.col("topic"), HASH_DIM).alias("query_vec"))
+        hits = search.topk_inner_product(_doc_vectors(spark, sf_dir), qv, 5, id_col="doc_id", vec_col="vec", dim=HASH_DIM)
+        meta = T.table(spark, sf_dir, "documents").select("doc_id", "source", F.col("n_chars").alias("score"), "text")
+        hits = search.attach_metadata(hits, meta, "doc_id")
+        blk = G.example_block(F.col("rank"), F.lit("document"), F.col("source"), F.col("score"), F.left("text", F.lit(CONTEXT_CHARS)))
+        return G.join_blocks(hits, "query_id", "rank", blk, "\n")
+
+    def news(texts):
+        d = NW.diverse(T.articles(spark, sf_dir), texts, T.AS_OF, top_k=10, threshold=DIVERSE_THRESHOLD, payload_extra=["summary"])
+        blk = G.news_block(F.col("rank"), F.col("title"), F.col("source"), F.col("published"), F.col("summary"), F.col("url"), F.col("score"))
+        return G.join_blocks(d, "query_id", "rank", blk, "\n\n", "news")
+
+    return RD.run(topics, lambda asked: log.join(asked.select("topic_id", "attempt", "stage"), ["topic_id", "attempt", "stage"], "left_semi"),
+                  ROUND_TEMPLATES, contexts, news)
+
+
+@register("topic_rounds")
+def topic_rounds_q(spark, sf_dir):
+    """G4 + G8 + G13: every request of every round, with its reply and route."""
+    return _topic_rounds(spark, sf_dir).requests
+
+
+@register("topic_outcomes")
+def topic_outcomes_q(spark, sf_dir):
+    """G10-G13 + T15: how each topic ended, blank topics with the reason."""
+    r = _topic_rounds(spark, sf_dir)
+    return r.outcomes.unionByName(r.rejected.select("topic_id", F.lit(0).cast("long").alias("attempt"), F.lit("rejected").alias("status"),
+                                                    F.col("reason").alias("feedback")), allowMissingColumns=True)
+
+
 # ---------------------------------------------------------------------------
 # Sources, dates, streaming
 # ---------------------------------------------------------------------------

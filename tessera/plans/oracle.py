@@ -641,6 +641,55 @@ SELECT topic_id, attempt, 'critique' AS stage,
 FROM a"""
 
 
+# Topic rounds: the loop is unrolled over the logged replies.
+def _fill_sql(template: str, values: dict[str, str]) -> str:
+    import re
+
+    parts = re.split(r"\{(" + "|".join(values) + r")\}", template)
+    return "concat(" + ", ".join(py_str_sql(values[p]) if i % 2 else q(p) for i, p in enumerate(parts)) + ")"
+
+
+ROUND_CLASSIFY = "Topic: {topic}\nDoes this topic need current news? Answer in JSON."
+ROUND_GENERATE = "Topic: {topic}\nExamples:\n{context}\nNews:\n{news}\nEarlier verdict: {critique}\nWrite one post."
+ROUND_CRITIQUE = "Topic: {topic}\nExamples:\n{context}\nNews:\n{news}\nDraft:\n{draft}\nAnswer in JSON."
+
+_ROUNDS = NEWS_CONTEXT + f""",
+{hashed_vectors('documents', 'doc_id', 'text', 'rdv')},
+{hashed_vectors('topics', 'topic_id', 'topic', 'rtv')},
+rs AS (SELECT rtv.id AS query_id, rdv.id AS doc_id, list_dot_product(rdv.vec, rtv.vec) AS sim FROM rdv, rtv),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, doc_id) AS rank FROM rs QUALIFY rank <= 5),
+rctx AS (SELECT rr.query_id, string_agg(concat({_NL}, 'Example ', rank, {_NL}, 'Source: document', {_NL}, 'Subreddit: ', {py_str_sql('source')}, {_NL},
+   'Score: ', {py_str_sql('n_chars')}, {_NL}, {_NL}, {py_str_sql('left(text, 500)')}, {_NL}), {_NL} ORDER BY rank) AS context
+   FROM rr JOIN documents dd ON dd.doc_id = rr.doc_id GROUP BY rr.query_id),
+rt AS (SELECT DISTINCT conv_id AS topic_id, {pick_sql([t for _, t in TOPICS], 'conv_id')} AS topic, {pick_sql(CLASSIFIER_REPLIES, 'conv_id')} AS creply FROM conversations),
+live AS (SELECT rt.topic_id, rt.topic, creply, coalesce(c.context, '') AS context,
+     CASE WHEN {classifier_parts('creply')[1]} THEN coalesce(n.news, '') ELSE '' END AS news
+   FROM rt JOIN topics t ON t.topic = rt.topic LEFT JOIN rctx c ON c.query_id = t.topic_id LEFT JOIN news_ctx n ON n.query_id = t.topic_id
+   WHERE {strip('rt.topic')} <> ''),
+{ATTEMPTS},
+stop AS (SELECT topic_id, min(CASE WHEN passed OR attempt >= 3 THEN attempt END) AS ended, max(attempt) AS logged FROM att GROUP BY topic_id),
+tries AS (SELECT live.*, a.attempt, a.draft, a.passed, a.feedback, lag(a.passed) OVER w AS was, lag(a.feedback) OVER w AS said
+   FROM live JOIN att a ON a.topic_id = live.topic_id WINDOW w AS (PARTITION BY a.topic_id ORDER BY a.attempt)),
+kept AS (SELECT tries.*, att1.reply FROM tries JOIN att1 ON att1.topic_id = tries.topic_id AND att1.attempt = tries.attempt
+   JOIN stop ON stop.topic_id = tries.topic_id WHERE tries.attempt <= coalesce(stop.ended, stop.logged)),
+due AS (SELECT live.*, coalesce(stop.logged, 0) + 1 AS attempt, p.passed AS was, p.feedback AS said FROM live
+   LEFT JOIN stop ON stop.topic_id = live.topic_id LEFT JOIN att p ON p.topic_id = live.topic_id AND p.attempt = stop.logged WHERE stop.ended IS NULL)"""
+_CRITIQUE_JSON = "(CASE WHEN was IS NULL THEN '{}' ELSE to_json({'passed': was, 'feedback': said})::VARCHAR END)"
+_GEN = _fill_sql(ROUND_GENERATE, {"topic": "topic", "context": "context", "news": "news", "critique": _CRITIQUE_JSON})
+
+ORACLE["topic_rounds"] = _ROUNDS + f"""
+SELECT topic_id, 0::BIGINT AS attempt, 'classify' AS stage, {_fill_sql(ROUND_CLASSIFY, {"topic": "topic"})} AS prompt, creply AS reply, NULL::VARCHAR AS route FROM live
+UNION ALL SELECT topic_id, attempt, 'generate', {_GEN}, draft, NULL FROM kept
+UNION ALL SELECT topic_id, attempt, 'generate', {_GEN}, NULL, 'wait' FROM due
+UNION ALL SELECT topic_id, attempt, 'critique', {_fill_sql(ROUND_CRITIQUE, {"topic": "topic", "context": "context", "news": "news", "draft": "draft"})},
+  reply, {ROUTE} FROM kept"""
+
+ORACLE["topic_outcomes"] = _ROUNDS + f"""
+SELECT topic_id, attempt, 'end' AS status, passed, feedback, draft FROM kept WHERE {ROUTE} = 'end'
+UNION ALL SELECT topic_id, attempt, 'waiting', NULL, NULL, NULL FROM due
+UNION ALL SELECT topic_id, 0, 'rejected', NULL, 'blank topic', NULL FROM rt WHERE {strip('topic')} = ''"""
+
+
 # ---------------------------------------------------------------------------
 # Dates, manifests, streaming
 # ---------------------------------------------------------------------------
