@@ -1,13 +1,12 @@
 """Feed entries: cleaning, article predicates (Q1-Q9) and retrieval.
 
 Everything that depends on one entry only is a column expression and runs
-first; the query match is an equi-join against a bounded query table
-(never a cross join); only then does the order-dependent dedupe run.
+first; the query match is an equi-join of posting keys (``postings``,
+never a cross join); only then does the order-dependent dedupe run.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,95 +116,13 @@ def matches_query() -> Column:
              .otherwise(F.forall("terms", lambda t: F.array_contains(text_tokens, t))))
 
 
-_AC_CACHE: dict = {}
-
-
-def _substring_udf(bc):
-    """Arrow UDF: ids of queries with a pattern occurring in the text
-    (Aho-Corasick over all patterns, automaton built once per worker)."""
-    @F.pandas_udf("array<long>")
-    def find(texts: pd.Series) -> pd.Series:
-        key = bc.id if hasattr(bc, "id") else id(bc)
-        auto = _AC_CACHE.get(key)
-        if auto is None:
-            import ahocorasick
-            auto = ahocorasick.Automaton()
-            by_pat: dict[str, list[int]] = {}
-            for qid, pat in bc.value:
-                by_pat.setdefault(pat, []).append(int(qid))
-            for pat, ids in by_pat.items():
-                auto.add_word(pat, ids)
-            if by_pat:
-                auto.make_automaton()
-            _AC_CACHE[key] = auto
-        out = []
-        empty = len(auto) == 0
-        for t in texts:
-            if t is None or empty:
-                out.append([])
-                continue
-            found = set()
-            for _, ids in auto.iter(t):
-                found.update(ids)
-            out.append(sorted(found))
-        return pd.Series(out)
-    return find
-
-
-MAX_QUERY_ROWS = 200_000
-
-
-def match_candidates(entries: DataFrame, queries: DataFrame,
-                     max_query_rows: int = MAX_QUERY_ROWS) -> DataFrame:
-    """(entry, query) rows that satisfy Q8, without a cross join.
-
-    A query can only match an entry that (a) contains one of its phrases or
-    aliases as a substring, or (b) holds its anchor term (the longest term)
-    as a token.  Both candidate sets are computed per entry row from the
-    bounded query table: (a) by Aho-Corasick, (b) by array intersection with
-    the anchor set.  The candidate query ids are exploded, joined to the
-    broadcast query table by id (equi-join), and the full rule verifies.
-    A query table above ``max_query_rows`` is split into hashed blocks, one
-    pass over the entries per block.
-    """
-    cols = ["query_id", "qn", "terms", "aliases", "is_entity"]
-    qrows = queries.select(*cols).limit(max_query_rows + 1).collect()
-    if len(qrows) <= max_query_rows:
-        return _match_block(entries, queries, qrows)
-    nblocks = -(-queries.count() // max_query_rows)
-    blk = F.pmod(F.xxhash64("query_id"), F.lit(nblocks))
-    out = None
-    for b in range(nblocks):
-        qb = queries.filter(blk == b)
-        part = _match_block(entries, qb, qb.select(*cols).collect())
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _match_block(entries: DataFrame, queries: DataFrame, qrows) -> DataFrame:
-    spark = entries.sparkSession
-    patterns, anchors = [], {}
-    for r in qrows:
-        if r.is_entity or not r.terms:
-            for a in r.aliases:
-                patterns.append((r.query_id, a))
-        else:
-            patterns.append((r.query_id, r.qn))
-            anchor = max(r.terms, key=len)
-            anchors.setdefault(anchor, []).append(int(r.query_id))
-    bc = spark.sparkContext.broadcast(patterns)
-    sub_ids = _substring_udf(bc)(F.col("text_n"))
-    if anchors:
-        amap = F.create_map(*[x for k, v in anchors.items()
-                              for x in (F.lit(k), F.array(*[F.lit(i).cast("long") for i in v]))])
-        akeys = F.array(*[F.lit(k) for k in anchors])
-        hit = F.array_intersect(F.col("text_tokens"), akeys)
-        tok_ids = F.flatten(F.transform(hit, lambda a: F.element_at(amap, a)))
-    else:
-        tok_ids = F.array().cast("array<long>")
-    cand = entries.withColumn("__qid", F.explode(F.array_distinct(F.concat(sub_ids, tok_ids))))
-    j = cand.join(F.broadcast(queries), cand["__qid"] == queries["query_id"], "inner").drop("__qid")
-    return j.filter(matches_query())
+def match_candidates(entries: DataFrame, queries: DataFrame) -> DataFrame:
+    """(entry, query) rows that satisfy Q8, without a cross join: both sides
+    meet in a posting table of tokens and short character sequences."""
+    from . import postings
+
+    out = postings.match_entries(entries, queries, matches_query())
+    return out.select(*entries.columns, *queries.columns)
 
 
 # ---------------------------------------------------------------------------

@@ -354,6 +354,17 @@ def near_duplicate_pairs_q(spark, sf_dir):
     return p.select("id_a", "id_b", F.round("sim", 6).alias("similarity"))
 
 
+# V11 at the library's threshold, on text vectors.
+from ..operators import postings as PO  # noqa: E402
+
+
+@register("near_duplicate_texts")
+def near_duplicate_texts_q(spark, sf_dir):
+    """Cosine of tf-idf word vectors of at least 0.80, per document its
+    class of equal vectors and the number of other classes linked to it."""
+    return PO.link_counts(T.table(spark, sf_dir, "documents"))
+
+
 @register("diverse_topk")
 def diverse_topk_q(spark, sf_dir, candidates: int = 50, top_k: int = 10):
     """R8-R10 over vectors: per label-centroid query, the top 50 by inner

@@ -453,6 +453,18 @@ s AS (SELECT bv.id AS query_id, dv.id AS doc_id, list_dot_product(dv.vec, bv.vec
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, doc_id) AS rank FROM s)
 SELECT query_id, rank, doc_id, round(sim, 6) AS similarity FROM r WHERE rank <= 5"""
 
+ORACLE["near_duplicate_texts"] = f"""
+WITH tk AS (SELECT doc_id, list_sort({split_words(normalize_text('text'))}) AS words FROM documents),
+cl AS (SELECT doc_id, words, CASE WHEN len(words) > 0 THEN min(doc_id) OVER (PARTITION BY words) ELSE doc_id END AS class_id FROM tk),
+tf AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS word FROM cl WHERE doc_id = class_id) GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY word), tot AS (SELECT count(DISTINCT doc_id) AS n FROM tf),
+raw AS (SELECT doc_id, tf.word, tf * ln((n + 1.0::DOUBLE) / df) AS w FROM tf JOIN df ON df.word = tf.word, tot),
+nv AS (SELECT doc_id, word, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM raw),
+pr AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b FROM nv a JOIN nv b ON a.word = b.word AND a.doc_id < b.doc_id
+       GROUP BY a.doc_id, b.doc_id HAVING round(sum(a.w * b.w), 12) >= 0.8),
+ends AS (SELECT id, count(*) AS n FROM (SELECT id_a AS id FROM pr UNION ALL SELECT id_b FROM pr) GROUP BY id)
+SELECT cl.doc_id, cl.class_id, coalesce(ends.n, 0) AS n_links FROM cl LEFT JOIN ends ON ends.id = cl.class_id"""
+
 CENTROIDS = """
 ex AS (SELECT label, unnest(generate_series(0, len(embedding) - 1)) AS pos,
               unnest(embedding)::DOUBLE AS x FROM embeddings),
