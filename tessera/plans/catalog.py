@@ -354,6 +354,25 @@ def near_duplicate_pairs_q(spark, sf_dir):
     return p.select("id_a", "id_b", F.round("sim", 6).alias("similarity"))
 
 
+# Clustered store, exact search: every 20th vector against all.
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import vector_store as VS  # noqa: E402
+
+
+@register("store_knn")
+def store_knn_q(spark, sf_dir, k: int = 5):
+    """S9 + V5 + V9: a clustered vector store is written and searched for the
+    neighbours of each vector whose id is divisible by 20, against all rows."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    e = T.table(spark, sf_dir, "embeddings")
+    VS.build(e, path, "vec_id")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    hits, _ = VS.search(spark, path, asked, k, exclude_self=True)
+    return hits.select(F.col("query_id").alias("vec_id"), "rank", F.col("doc_id").alias("neighbor_id"), F.round("sim", 6).alias("similarity"))
+
+
 # V11 at the library's threshold, on text vectors.
 from ..operators import postings as PO  # noqa: E402
 

@@ -487,6 +487,9 @@ WITH s AS (SELECT a.vec_id, b.vec_id AS neighbor_id,
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 12) DESC, neighbor_id) AS rank FROM s)
 SELECT vec_id, rank, neighbor_id, round(sim, 6) AS similarity FROM r WHERE rank <= 5"""
 
+ORACLE["store_knn"] = ORACLE["similarity_knn"].replace("a.vec_id <> b.vec_id)", "a.vec_id <> b.vec_id AND a.vec_id % 20 = 0)") \
+    .replace("SELECT vec_id, rank,", "SELECT vec_id, rank::INTEGER AS rank,")
+
 ORACLE["near_duplicate_pairs"] = """
 SELECT a.vec_id AS id_a, b.vec_id AS id_b,
        round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
