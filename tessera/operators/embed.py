@@ -17,7 +17,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -115,3 +115,45 @@ def encoder_udf(load: Callable[[], Callable[[list[str]], np.ndarray]],
                 vecs.extend((m / n).astype(np_t))
             yield pd.Series(vecs)
     return enc
+
+
+# ---------------------------------------------------------------------------
+# Encode once
+# ---------------------------------------------------------------------------
+
+TEXT_KEY = "text_key"
+
+
+def text_key(text) -> Column:
+    """128 bits that stand for a text in the vector table."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.md5(c.cast("binary"))
+
+
+class VectorTable:
+    """Vectors by text (V1, V3, V10): a parquet table (text_key, vec) below
+    ``path``.  ``fill`` encodes the distinct texts that the table does not
+    hold yet and appends them; ``attach`` joins vectors to rows.  A text is
+    encoded once, however many rows, queries or jobs mention it."""
+
+    def __init__(self, spark: SparkSession, path: str, encoder: Callable[[str], Column] = hashed_embedding, vec_type: str = "array<double>"):
+        self.spark, self.path, self.encoder, self.schema = spark, path, encoder, f"{TEXT_KEY} string, vec {vec_type}"
+        # makes the folder, so that the first anti-join has something to read
+        spark.createDataFrame([], self.schema).write.mode("append").parquet(path)
+
+    def vectors(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def fill(self, *texts: DataFrame) -> VectorTable:
+        """Encode what is new in the first columns of ``texts``; null texts have no vector."""
+        for t in texts:
+            rows = t.select(F.col(t.columns[0]).alias("text")).where("text is not null").withColumn(TEXT_KEY, text_key("text"))
+            # one row a text before the anti-join; hot texts are combined in the tasks
+            new = rows.groupBy(TEXT_KEY).agg(F.first("text").alias("text")).join(self.vectors().select(TEXT_KEY), TEXT_KEY, "left_anti")
+            new.select(TEXT_KEY, self.encoder("text").alias("vec")).write.mode("append").parquet(self.path)
+        return self
+
+    def attach(self, df: DataFrame, text: str, out: str = "vec") -> DataFrame:
+        """``df`` with ``out``, the vector of column ``text`` (null where there is none)."""
+        found = self.vectors().select(F.col(TEXT_KEY).alias("_text_key"), F.col("vec").alias(out))
+        return df.withColumn("_text_key", text_key(text)).join(found, "_text_key", "left").drop("_text_key")

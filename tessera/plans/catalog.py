@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources import tables as T
 from ..operators import search
-from ..session import materialize
+from ..session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -355,7 +355,6 @@ def near_duplicate_pairs_q(spark, sf_dir):
 
 
 # Clustered store, exact search: every 20th vector against all.
-from ..session import ensure_checkpoint_dir  # noqa: E402
 from ..sources import vector_store as VS  # noqa: E402
 
 
@@ -363,9 +362,7 @@ from ..sources import vector_store as VS  # noqa: E402
 def store_knn_q(spark, sf_dir, k: int = 5):
     """S9 + V5 + V9: a clustered vector store is written and searched for the
     neighbours of each vector whose id is divisible by 20, against all rows."""
-    import uuid
-
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "store")
     e = T.table(spark, sf_dir, "embeddings")
     VS.build(e, path, "vec_id")
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
@@ -464,10 +461,11 @@ def _rag_hits(spark, sf_dir, k: int = 5):
     # The corpus feeds both the vectors and the metadata join: write it once
     # to the checkpoint folder instead of recomputing curation twice.
     corpus = materialize(_corpus(spark, sf_dir), "corpus")
-    corpus = corpus.withColumn("vec", EM.hashed_embedding(F.col("text"), HASH_DIM))
-    b = T.table(spark, sf_dir, "benchmark")
-    qv = b.select(F.col("item_id").alias("query_id"),
-                  EM.hashed_embedding(F.col("text"), HASH_DIM).alias("query_vec"))
+    asked = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    table = EM.VectorTable(spark, scratch_path(spark, "vectors"))
+    table.fill(corpus.select("text").unionByName(asked.select("text")))
+    corpus = table.attach(corpus, "text", "vec")
+    qv = table.attach(asked, "text", "query_vec").select("query_id", "query_vec")
     hits = search.topk_inner_product(corpus, qv, k, id_col="corpus_id", vec_col="vec", dim=HASH_DIM)
     meta = corpus.select(F.col("corpus_id").alias("doc_id"), "source", "subreddit", "score", "text")
     return search.attach_metadata(hits, meta, "doc_id")

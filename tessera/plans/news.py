@@ -16,6 +16,7 @@ from ..functions import vectors as V
 from ..operators import articles as A
 from ..operators import embed as EM
 from ..operators import ranking as R
+from ..session import materialize, scratch_path
 
 
 def candidates(entries: DataFrame, topics: DataFrame, as_of: str,
@@ -30,9 +31,10 @@ def ranked(entries: DataFrame, topics: DataFrame, as_of: str, limit: int = L.QUE
            weights: dict | None = None) -> DataFrame:
     """R11 before diversity: every candidate with its score and details."""
     c = candidates(entries, topics, as_of, limit, inspect_cap)
-    c = (c.withColumn("article_text", TX.article_text("title", "summary"))     # T6
-          .withColumn("vec", embedding(F.col("article_text")))                 # V1
-          .withColumn("qvec", embedding(F.col("query"))))                      # V3
+    c = materialize(c.withColumn("article_text", TX.article_text("title", "summary")), "candidates")  # T6
+    table = EM.VectorTable(c.sparkSession, scratch_path(c.sparkSession, "vectors"), embedding)
+    table.fill(c.select("article_text").unionByName(c.select(F.col("query").alias("article_text"))))   # V1, V3
+    c = table.attach(table.attach(c, "article_text", "vec"), "query", "qvec")
     c = c.withColumn("semantic", V.dot("vec", "qvec"))                         # V10
     return R.score_articles(c, as_of, weights)                                 # R1-R6
 

@@ -73,15 +73,20 @@ def ship_package(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the session's checkpoint folder."""
+    import uuid
+
+    return ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df, name: str = "table"):
     """Cut lineage by writing ``df`` once as a parquet table under the
     session's checkpoint folder (shared storage on a cluster) and reading it
     back.  Unlike ``Dataset.checkpoint()``, the input is computed once (no
     count pass followed by a second pass for the write); a lost executor
     re-reads files instead of recomputing lineage."""
-    import uuid
-
     spark = df.sparkSession
-    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
