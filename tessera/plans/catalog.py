@@ -793,3 +793,38 @@ def event_props_decisions_q(spark, sf_dir):
     d = e.select("event_id", G.parse_classifier("props").alias("d"),
                  G.truthy(F.variant_get(v, "$.k", "variant")).alias("k_truthy"))
     return d.select("event_id", "d.reply_ok", "d.needs_news", "k_truthy")
+
+
+# Catalogue-driven intake of landed feeds, accepted and rejected rows.
+from ..sources import intake as IN  # noqa: E402
+
+
+def _intake(spark, sf_dir):
+    """The derived articles, landed as one RSS file for each feed (the rows of
+    the catalogue, one unknown feed and one unknown category), taken in by one
+    pass of the stream."""
+    landed, out = scratch_path(spark, "landed"), scratch_path(spark, "intake")
+    feeds = [(c, s) for c, f in IN.L.FEED_CATALOGUE.items() for s, _ in f] + [("tech", "Unknown Blog"), ("weather", "BBC News")]
+    at = F.col("article_id") % len(feeds)
+    a = T.articles(spark, sf_dir).withColumn("category", _pick([c for c, _ in feeds], at)).withColumn("feed", IN.slug(_pick([s for _, s in feeds], at)))
+    items = a.select(F.col("article_id").cast("string").alias("guid"), F.col("raw_title").alias("title"), F.col("url").alias("link"),
+                     F.col("raw_summary").alias("description"),
+                     F.concat(F.date_format("published", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")).alias("pubDate"), "category", "feed", "article_id")
+    (items.repartition("category", "feed").sortWithinPartitions("category", "feed", "article_id").drop("article_id")
+          .write.format("xml").option("rootTag", "channel").option("rowTag", "item").partitionBy("category", "feed").save(landed))
+    IN.run(spark, landed, out, FD.catalogue(spark), T.AS_OF, limit_per_source=None)
+    return out
+
+
+@register("intake_accepted")
+def intake_accepted_q(spark, sf_dir):
+    """S10 + S11 + N2 + N3: entries of known feeds, the first of each key."""
+    r = IN.read(spark, _intake(spark, sf_dir), "accepted")
+    return r.select(F.col("guid").cast("long").alias("article_id"), "category", "source", "title", "summary", "article_key", _ts("published").alias("published"))
+
+
+@register("intake_rejected")
+def intake_rejected_q(spark, sf_dir):
+    """S12 + T15: every other entry with the reason."""
+    r = IN.read(spark, _intake(spark, sf_dir), "rejected")
+    return r.select(F.col("guid").cast("long").alias("article_id"), "category", "feed", "reason")

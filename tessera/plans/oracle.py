@@ -814,3 +814,20 @@ ORACLE["event_props_decisions"] = f"""
 SELECT event_id, {_ev_ok} AS reply_ok, {_ev_nn} AS needs_news,
        CASE WHEN json_valid(props) THEN {truthy_sql("json_extract(props, '$.k')")} ELSE false END AS k_truthy
 FROM events"""
+
+_FEEDS = [(c, s, i, j) for i, c in enumerate(sorted(L.FEED_CATALOGUE)) for j, (s, _) in enumerate(L.FEED_CATALOGUE[c])]
+_LANDED = [(c, s) for c, f in L.FEED_CATALOGUE.items() for s, _ in f] + [("tech", "Unknown Blog"), ("weather", "BBC News")]
+_INTAKE = f"""WITH {ARTICLES}, {ENTRIES},
+fd AS (SELECT * FROM (VALUES {", ".join(f"({q(c)}, {q(s)}, {i}, {j})" for c, s, i, j in _FEEDS)}) v(category, source, category_order, source_order)),
+ld AS (SELECT ent.* EXCLUDE (source, category), {pick_sql([c for c, _ in _LANDED], 'article_id')} AS category, {pick_sql([s for _, s in _LANDED], 'article_id')} AS source FROM ent),
+jd AS (SELECT ld.*, category_order, source_order, CASE WHEN source_order IS NULL THEN 'unknown feed' WHEN NOT {FLAG_EXPR['has_title_link']} THEN 'no title or link'
+   WHEN NOT {FLAG_EXPR['meaningful']} THEN 'too short' WHEN NOT {FLAG_EXPR['recent']} THEN 'too old' END AS r0
+  FROM ld LEFT JOIN fd ON fd.category = ld.category AND fd.source = ld.source),
+rk AS (SELECT *, CASE WHEN r0 IS NULL AND row_number() OVER (PARTITION BY article_key, r0 IS NULL ORDER BY category_order, source_order, article_id) > 1
+   THEN 'duplicate' ELSE r0 END AS reason FROM jd)"""
+
+ORACLE["intake_accepted"] = _INTAKE + """
+SELECT article_id, category, source, title, summary, article_key, strftime(published, '%Y-%m-%d %H:%M:%S') AS published FROM rk WHERE reason IS NULL"""
+
+ORACLE["intake_rejected"] = _INTAKE + """
+SELECT article_id, category, lower(regexp_replace(source, '[^A-Za-z0-9]+', '-', 'g')) AS feed, reason FROM rk WHERE reason IS NOT NULL"""
