@@ -15,9 +15,9 @@ is valid in RE2, so the SQL oracle uses it verbatim).
 
 from __future__ import annotations
 
-import html
+import html.entities
+import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,17 +30,6 @@ WORD = r"\p{L}\p{N}_"          # Python's \w on str patterns
 NONWORD_OR_EDGE_L = rf"(?:^|[^{WORD}])"
 NONWORD_OR_EDGE_R = rf"(?:[^{WORD}]|$)"
 
-# FIXED VALUES — HTML entities decoded natively, in one pass.  ``&amp;``
-# must come last: replacing it first would decode ``&amp;lt;`` twice.
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'),
-    ("&#39;", "'"), ("&#039;", "'"), ("&#x27;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
-    ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"),
-    ("&ndash;", "–"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
-]
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -63,40 +52,49 @@ LATIN_EXTRA = ["€", None, "‚", "ƒ", "„", "…", "†", "‡", "ˆ", "‰"
                None, "‘", "’", "“", "”", "•", "–", "—", "˜", "™", "š", "›", "œ", None, "ž", "Ÿ"]
 
 
+#: Every HTML5 name, with and without the semicolon, as the standard library lists them.
+_NAMES = json.dumps(html.entities.html5)
+#: Names that stand without a semicolon, the longest first.
+_BARE = "^(?:" + "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+
+
 def _numeric(piece: Column) -> Column:
-    """Text after ``&#``: a leading decimal or hexadecimal reference as its character, then the rest."""
-    ref = F.regexp_extract(piece, r"^(?:[xX][0-9a-fA-F]{1,8}|[0-9]{1,9});?", 0)
-    bare = F.regexp_replace(ref, r"[;xX]", "")
-    n = F.when(ref.rlike("^[xX]"), F.conv(bare, 16, 10)).otherwise(bare).cast("long")
+    """``#`` and digits after an ampersand as their character, then the rest."""
+    ref = F.regexp_extract(piece, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
+    hexa = ref.rlike("^#[xX]")
+    bare = F.regexp_replace(ref, r"^#[xX]?0*|;", "")
+    n = F.when(F.length(bare) > 7, F.lit(0x110000)).when(hexa, F.conv(bare, 16, 10)).otherwise(F.conv(bare, 10, 10)).cast("long")
+    n = F.coalesce(n, F.lit(0))
     plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    char = (F.when(n == 38, "&amp;")              # decoded with the named ones, so only once
-            .when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd")
+    # code points that no text may hold leave nothing
+    none = (n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE))
+    char = (F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd")
             .when(n.between(128, 159), F.coalesce(F.get(F.array(*[F.lit(x) for x in LATIN_EXTRA]), (n - 128).cast("int")), plain))
-            .otherwise(plain))
-    return F.when(ref == "", F.concat(F.lit("&#"), piece)).otherwise(F.concat(char, F.substr(piece, F.length(ref) + 1)))
+            .when(none, "").otherwise(plain))
+    return F.when(ref == "", F.concat(F.lit("&"), piece)).otherwise(F.concat(char, F.substr(piece, F.length(ref) + 1)))
+
+
+def _named(piece: Column) -> Column:
+    """A name after an ampersand as its text, then the rest: the whole name up
+    to its semicolon, or else the longest one that may stand without."""
+    names = F.from_json(F.lit(_NAMES), "map<string,string>")
+    whole = F.regexp_extract(piece, r"^[^\t\n\f <&#;]{1,32};?", 0)
+    part = F.regexp_extract(piece, _BARE, 0)
+    rest = lambda n: F.substr(piece, F.length(n) + 1)
+    found = F.element_at(names, whole)
+    return F.when(found.isNotNull(), F.concat(found, rest(whole))) \
+            .when(part != "", F.concat(F.element_at(names, part), rest(part))).otherwise(F.concat(F.lit("&"), piece))
 
 
 def unescape(c) -> Column:
-    """Single-pass HTML entity decoding: every numeric reference and the common
-    named ones.  Only text that holds ``&#`` pays for the numeric ones."""
+    """HTML entity decoding, native and in a single pass: every numeric
+    reference and every HTML5 name.  A text is cut at its ampersands and each
+    piece is decoded on its own; a text without one is left as it is."""
     x = _c(c)
-    pieces = F.split(x, "&#")
-    tail = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _numeric)
-    out = F.when(x.contains("&#"), F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))).otherwise(x)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
-
-
-def unescape_full(c) -> Column:
-    """Full HTML5 entity decoding (every named and numeric entity) through
-    Python's ``html.unescape`` in an Arrow-batched UDF; the native
-    ``unescape`` covers the common set without leaving the JVM."""
-    @F.pandas_udf("string")
-    def dec(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else html.unescape(v))
-
-    return dec(_c(c))
+    pieces = F.split(x, "&")
+    tail = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
+                       lambda p: F.when(p.startswith("#"), _numeric(p)).otherwise(_named(p)))
+    return F.when(x.contains("&"), F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))).otherwise(x)
 
 
 def clean_text(c) -> Column:

@@ -31,7 +31,18 @@ WHERE r.rank <= 5
 # ---------------------------------------------------------------------------
 
 from ..functions import lexicons as L  # noqa: E402
-from ..functions.text import ENTITIES, WORD, WS  # noqa: E402
+from ..functions.text import WORD, WS  # noqa: E402
+
+# FIXED VALUES — HTML entities of the test pages.  ``&amp;`` must come last:
+# replacing it first would decode ``&amp;lt;`` twice.
+ENTITIES = [
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'),
+    ("&#39;", "'"), ("&#039;", "'"), ("&#x27;", "'"), ("&apos;", "'"),
+    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
+    ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"),
+    ("&ndash;", "–"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
+    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
+]
 
 
 def q(s: str) -> str:
