@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as TX
+from .profile import unwatched
 
 
 def drop_null(df: DataFrame, col: str) -> DataFrame:                      # F1
@@ -50,12 +51,14 @@ def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
               .drop("__rn", h))
 
 
-def curate_comments(df: DataFrame, text: str = "body", order: str = "doc_id") -> DataFrame:  # F10
-    x = drop_null(df, text)
-    x = drop_tombstones(x, text)
+def curate_comments(df: DataFrame, text: str = "body", order: str = "doc_id", watch=unwatched) -> DataFrame:  # F10
+    """``watch(stage, df)`` sees the rows after each stage."""
+    x = watch("raw", df)
+    x = watch("non_null", drop_null(x, text))
+    x = watch("no_tombstone", drop_tombstones(x, text))
     x = strip_col(x, text)
-    x = min_length(x, text)
-    return dedupe_first(x, [text], [order])
+    x = watch("min_length", min_length(x, text))
+    return watch("deduplicated", dedupe_first(x, [text], [order]))
 
 
 def compose_joke_text(df: DataFrame, title: str = "title", selftext: str = "selftext",
@@ -64,12 +67,12 @@ def compose_joke_text(df: DataFrame, title: str = "title", selftext: str = "self
     return df.withColumn(out, TX.strip(t))
 
 
-def curate_jokes(df: DataFrame, order: str = "doc_id") -> DataFrame:    # F11
-    x = df.withColumn("selftext", F.coalesce(F.col("selftext"), F.lit("")))
-    x = drop_tombstones(x, "selftext")
+def curate_jokes(df: DataFrame, order: str = "doc_id", watch=unwatched) -> DataFrame:    # F11
+    x = watch("raw", df).withColumn("selftext", F.coalesce(F.col("selftext"), F.lit("")))
+    x = watch("no_tombstone", drop_tombstones(x, "selftext"))
     x = compose_joke_text(x)
-    x = min_length(x, "text")
-    return dedupe_first(x, ["text"], [order])
+    x = watch("min_length", min_length(x, "text"))
+    return watch("deduplicated", dedupe_first(x, ["text"], [order]))
 
 
 # ---------------------------------------------------------------------------

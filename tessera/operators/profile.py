@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,11 +48,29 @@ def seeded_peek(df: DataFrame, id_col: str, n: int = 10, seed: int = 42) -> Data
     return df.orderBy(h, F.col(id_col)).limit(n)
 
 
-def stage_counts(stages: list[tuple[str, DataFrame]]) -> list[tuple[str, DataFrame, Observation]]:  # P8
-    """Attach a row-count observation to each stage; counts fill in when the
-    final result is computed, with no extra pass."""
-    out = []
-    for name, d in stages:
-        ob = Observation(name)
-        out.append((name, d.observe(ob, F.count(F.lit(1)).alias("rows")), ob))
-    return out
+class StageCounts:                                                       # P8
+    """Row counts after each stage of a pipeline, taken by the run itself.
+
+    ``watch(name, df)`` is the identity with an observation; the pipeline
+    passes it to its steps.  ``report`` is read after the one action that
+    computes the result: there is no second pass.  An observation counts the
+    rows of every task that succeeds, so stages above a retried task are
+    counted as they were computed."""
+
+    def __init__(self):
+        self.stages: list[tuple[str, Observation]] = []
+
+    def watch(self, name: str, df: DataFrame) -> DataFrame:
+        ob = Observation(f"{len(self.stages)}-{name}")
+        self.stages.append((name, ob))
+        return df.observe(ob, F.count(F.lit(1)).alias("rows"))
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """(stage_no, stage, n_rows); blocks until the watched result was computed."""
+        rows = [(i, name, ob.get["rows"]) for i, (name, ob) in enumerate(self.stages)]
+        return spark.createDataFrame(rows, "stage_no int, stage string, n_rows long")
+
+
+def unwatched(name: str, df: DataFrame) -> DataFrame:
+    """The ``watch`` of a run that nobody counts."""
+    return df

@@ -696,19 +696,11 @@ def vectors_report_q(spark, sf_dir):
 
 @register("curation_report")
 def curation_report_q(spark, sf_dir):
-    """Rows left after each comment-curation stage, from one aggregate
-    pass (the dedupe stage counts distinct stripped texts)."""
-    c = T.comments(spark, sf_dir)
-    body = F.col("body")
-    nn = body.isNotNull()
-    nt = nn & ~body.isin(*curate.L.TOMBSTONES)
-    s = TX.strip(body)
-    ln = nt & (F.length(s) >= curate.L.MIN_TEXT_CHARS)
-    one = c.agg(F.count(F.lit(1)).alias("c0"), F.count(F.when(nn, 1)).alias("c1"),
-                F.count(F.when(nt, 1)).alias("c2"), F.count(F.when(ln, 1)).alias("c3"),
-                F.count_distinct(F.when(ln, s)).alias("c4"))
-    return one.selectExpr("stack(5, 0, 'raw', c0, 1, 'non_null', c1, 2, 'no_tombstone', c2, "
-                          "3, 'min_length', c3, 4, 'deduplicated', c4) as (stage_no, stage, n_rows)")
+    """Rows left after each stage of the comment curation, counted by the
+    run that computes the curated table."""
+    counts = profile.StageCounts()
+    materialize(curate.curate_comments(T.comments(spark, sf_dir), watch=counts.watch), "curated")
+    return counts.report(spark)
 
 
 @register("head_rows")

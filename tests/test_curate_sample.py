@@ -87,3 +87,20 @@ def test_bucketed_sample_equals_window(spark):
     ref = sorted(r.doc_id for r in sample.sample_per_group(df, "k", 300, "doc_id").collect())
     assert got == ref
     assert len(got) == 300 + sum(min(300, sum(1 for i in range(5000) if i % 3 and i % 7 == g)) for g in range(7))
+
+
+def test_stage_counts_come_from_the_run(spark):
+    """The counts are those of the one action; without it nothing was computed."""
+    from tessera.operators import curate, profile
+
+    rows = [(1, None), (2, "[deleted]"), (3, "  short "), (4, "a text that is long enough"), (5, " a text that is long enough "), (6, "another text, also long enough")]
+    df = spark.createDataFrame(rows, "doc_id long, body string").repartition(3)
+    counts = profile.StageCounts()
+    out = curate.curate_comments(df, watch=counts.watch)
+    assert out.count() == 2
+    assert [(r.stage, r.n_rows) for r in counts.report(spark).orderBy("stage_no").collect()] == [
+        ("raw", 6), ("non_null", 5), ("no_tombstone", 4), ("min_length", 3), ("deduplicated", 2)]
+    jokes = profile.StageCounts()
+    j = spark.createDataFrame([(1, "t", "[removed]"), (2, "a title of length", "x" * 20), (3, "a title of length", "x" * 20)], "doc_id long, title string, selftext string")
+    assert len(curate.curate_jokes(j, watch=jokes.watch).collect()) == 1
+    assert [r.n_rows for r in jokes.report(spark).orderBy("stage_no").collect()] == [3, 2, 2, 1]
