@@ -12,9 +12,10 @@ writes gzipped files with Spark's text writer (each record ends with the two
 line breaks that the writer puts after a row); ``read_warc`` cuts them by
 their declared lengths and checks the digests.
 
-Scale: containers and files are bounded by records per file; the payload is
-shuffled once, to meet the first record of its digest, and that join can be
-split where one payload is hot: the other side has one row per digest.
+Scale: containers are cut by bytes, WARC files after ``RECORDS_PER_FILE``
+records; a reader holds one compressed file and one unpacked record.  The
+payload is shuffled once, to meet the first record of its digest, and that join
+can be split where one payload is hot: the other side has one row per digest.
 
 Defined results: a null payload or URL is empty (the URL then names the page);
 of rows equal in all of the order, the first by container and offset is the
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import scratch_dir, table
+from .common import scratch_dir, stored, table
 
 #: Bytes after which a container is closed; records of a WARC file.
 CONTAINER_BYTES = 4 << 20
-RECORDS_PER_FILE = 1000
+RECORDS_PER_FILE = 256
 MIN_REVISIT_BYTES = 0
+#: Parts that the revisits of one response are dealt to.
+SALT = 16
 #: FIXED VALUES: header fields of a record line by ARC version.
 ARC_FIELDS = {
     "1": ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -210,22 +213,24 @@ def write_warc(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE)
         .option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def warc_records(content: bytes):
-    """(headers by lower-case name, block) of every record."""
+def warc_records(file):
+    """(headers by lower-case name, block) of every record of a binary file
+    object; one record is in memory at a time."""
     at = 0
-    while at < len(content):
-        stop = content.find(b"\r\n\r\n", at)
-        if stop < 0 or not content.startswith(b"WARC/", at):
+    while first := file.readline():
+        if not first.startswith(b"WARC/"):
             raise ValueError(f"no WARC record at {at}")
-        lines = content[at:stop].decode("utf-8", "replace").split(CRLF)[1:]
+        lines, size = [], len(first)
+        while (line := file.readline()) not in (b"\r\n", b""):
+            lines.append(line.decode("utf-8", "replace"))
+            size += len(line)
         named = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
-        size = int(named["content-length"])
-        block = content[stop + 4:stop + 4 + size]
-        end = stop + 4 + size
-        if len(block) != size or content[end:end + 4] != b"\r\n\r\n":
+        length = int(named["content-length"])
+        block = file.read(length)
+        if len(block) != length or file.read(4) != b"\r\n\r\n":
             raise ValueError(f"WARC record at {at} is cut off")
         yield named, block
-        at = end + 4
+        at += size + 2 + length + 4
 
 
 READ = "record_id string, record_type string, uri string, date string, refers_to string, payload_digest string, payload_bytes bigint, http string"
@@ -237,11 +242,12 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
 
     def run(batches):
         import gzip
+        import io
 
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for named, block in warc_records(gzip.decompress(content.as_py())):
+                rows, held = [], 0
+                for named, block in warc_records(gzip.open(io.BytesIO(content.as_py()))):
                     http, payload = http_parts(block)
                     kind, declared = named["warc-type"], named.get("warc-payload-digest", "").removeprefix("sha1:")
                     if kind == "revisit":
@@ -254,6 +260,10 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
                     rows.append((named["warc-record-id"].strip("<>"), kind, named.get("warc-target-uri"), named.get("warc-date"),
                                  named["warc-refers-to"].strip("<>") if "warc-refers-to" in named else None, declared, size,
                                  http.decode("utf-8", "replace"), *([payload] if with_payload else [])))
+                    held += len(http) + len(payload) * with_payload
+                    if held >= CONTAINER_BYTES:
+                        yield _columns(rows, ddl)
+                        rows, held = [], 0
                 yield _columns(rows, ddl)
 
     ship_package(spark)
@@ -267,10 +277,23 @@ def op10_arc_to_warc(spark, sf_dir) -> DataFrame:
     records = convert(pack_arc(table(spark, sf_dir, "pages")))
     path = scratch_dir(spark, "warc")
     write_warc(mark_revisits(records, [page(F.col("http").cast("string")).isNull(), page(F.col("http").cast("string"))]), path)
-    back = read_warc(spark, path).withColumn("page_id", page(F.col("http")))
-    first = back.where(F.col("record_type") == "response").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("_page"))
-    return back.join(first, "refers_to", "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", F.col("_page").alias("refers_to"), "uri", "date")
+    # the archives are read once; what is joined from here on has no payload
+    back = stored(read_warc(spark, path).withColumn("page_id", page(F.col("http"))).drop("http"), "warc-read")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri", "date"]
+    return referred_pages(back).select(*columns)
+
+
+def referred_pages(back: DataFrame) -> DataFrame:
+    """``back`` with the page of the response in ``refers_to`` instead of its
+    identifier.  Only revisits are joined, each with the few responses that
+    any revisit names; those of one response are dealt to ``SALT`` parts."""
+    again = back.where("refers_to is not null")
+    named = again.select(F.col("refers_to").alias("record_id")).distinct()
+    first = back.where(F.col("record_type") == "response").join(named, "record_id", "left_semi").select(
+        F.col("record_id").alias("refers_to"), F.col("page_id").alias("_page"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_part"))
+    dealt = again.withColumn("_part", F.pmod(F.xxhash64("record_id"), F.lit(SALT)).cast("int"))
+    found = dealt.join(first, ["refers_to", "_part"], "left").withColumn("refers_to", F.col("_page")).drop("_page", "_part")
+    return back.where("refers_to is null").withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(found)
 
 
 #: DuckDB has no SHA-1 of bytes in base32; tests/llm compares with hashlib.

@@ -224,6 +224,28 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.op10_arc_to_warc(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_warc_hot_payload_and_large_pages(spark, tmp_path, monkeypatch):
+    """Most pages hold one payload: their revisits lie in many parts, responses are not joined; files of large pages are read record by record."""
+    hot = [(i, f"http://h/{i}", "the same page") for i in range(3, 300)]
+    large = [(i, f"http://h/{i}", f"{i}" + "y" * 3_000_000) for i in range(3)]
+    pages = spark.createDataFrame(hot + large, "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.op10_arc_to_warc(spark, str(tmp_path))
+    rows = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in got.collect()}
+    assert rows == {i: ("response", None, len(h)) if i <= 3 else ("revisit", 3, len(h)) for i, _, h in hot + large}
+    back = got.select(F.col("page_id").cast("string").alias("record_id"), "record_type", "page_id", F.col("refers_to").cast("string").alias("refers_to"))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        parts = warc.referred_pages(back).where("refers_to = 3").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(r[1] for r in parts) == 296 and len(parts) == 4 and max(r[1] for r in parts) < 200
+
+
 def test_pipeline_against_plain_code(spark):
     """The rows that plain code keeps, stage by stage, on the smallest tables."""
     docs = corpus_pipeline.table(spark, X.SF001, "documents")
