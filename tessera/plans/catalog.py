@@ -647,6 +647,20 @@ def stream_source_counts_q(spark, sf_dir):
                       _ts(F.col("window.end")).alias("window_end"), "source", "n")
 
 
+CLOSING_DELAY = "24 hours"
+
+
+@register("stream_closed_counts")
+def stream_closed_counts_q(spark, sf_dir):
+    """ST2 in append mode: the windows whose end the watermark has passed."""
+    s = ST.stream_table(spark, sf_dir, "pages")
+    arts = s.selectExpr(*[x.strip() for x in T._split_select(T._ARTICLES_SQL)])
+    arts = arts.withColumn("source", TX.source_or_default("source"))
+    out = scratch_path(spark, "closing")
+    ST.run_closing(ST.rolling_source_counts(arts, T.AS_OF, watermark=CLOSING_DELAY), out)
+    return ST.closed_windows(spark, out).select(_ts(F.col("window.start")).alias("window_start"), _ts(F.col("window.end")).alias("window_end"), "source", "n")
+
+
 # ---------------------------------------------------------------------------
 # Round trips through the file sources and sinks; reports
 # ---------------------------------------------------------------------------

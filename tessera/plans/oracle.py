@@ -756,6 +756,10 @@ SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
 FROM w GROUP BY ws, source"""
 
 
+ORACLE["stream_closed_counts"] = ORACLE["stream_source_counts"].replace(
+    "FROM w GROUP BY ws, source", "FROM w WHERE ws + INTERVAL 72 HOUR <= (SELECT max(published) - INTERVAL 24 HOUR FROM a) GROUP BY ws, source")
+
+
 # ---------------------------------------------------------------------------
 # Round trips and reports
 # ---------------------------------------------------------------------------

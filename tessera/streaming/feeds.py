@@ -7,7 +7,10 @@ time is the publication date, at most ``as_of``; an undated entry counts as
 published at ``as_of``.  No accepted entry is then older than the watermark.
 Without ``as_of`` there is no bound, and keys are kept without a watermark.
 
-ST2: sliding ``window(event_time, 72h, 24h)`` counts per source.
+ST2: sliding ``window(event_time, 72h, 24h)`` counts per source, either all
+windows as they stand (``complete``) or, in append mode, each window once when
+the watermark has passed its end.  Only the second form drops its state: it is
+the one for a stream that does not end.
 """
 
 from __future__ import annotations
@@ -70,6 +73,29 @@ def run_available(stream: DataFrame, mode: str = "append", name: str = "stream")
     return spark.read.parquet(out)
 
 
+def run_closing(counts: DataFrame, out: str) -> list[dict]:
+    """Append the windows of ``rolling_source_counts`` that close to ``out`` and
+    stop when nothing is left to read; a later run goes on from there.  Per
+    micro-batch: rows read, state rows held, and rows that came too late for
+    all (``late``: groups of window and source, as the state store counts)."""
+    q = (counts.select("window", "source", "n").writeStream.format("parquet").option("path", f"{out}/closed")
+               .option("checkpointLocation", f"{out}/progress").outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    steps = []
+    for p in q.recentProgress:
+        state = p["stateOperators"]
+        steps.append({"batch": p["batchId"], "rows": p["numInputRows"], "state": sum(o["numRowsTotal"] for o in state),
+                      "late": sum(o["numRowsDroppedByWatermark"] for o in state)})
+    return steps
+
+
+CLOSED = "window struct<start: timestamp, end: timestamp>, source string, n long"
+
+
+def closed_windows(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(CLOSED).parquet(f"{out}/closed")
+
+
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A shared parquet table read as a file stream."""
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema

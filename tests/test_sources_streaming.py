@@ -171,3 +171,26 @@ def test_date_shapes(spark):
     df = spark.createDataFrame([(k, v) for k, v in cases.items()], "s string, want string")
     for r in df.select("want", F.date_format(dates.parse_published("s"), "yyyy-MM-dd HH:mm:ss").alias("got")).collect():
         assert r.got == r.want
+
+
+def test_closed_windows_drop_state_and_count_late_rows(spark, tmp_path):
+    """Three batches and a late row: each closed window once, equal to the batch counts, and the state falls."""
+    import datetime as dt
+
+    from tessera.streaming import feeds as ST
+
+    day = lambda d: dt.datetime(2025, 1, d, 12)
+    schema = "source string, published timestamp"
+    batches = [[("a", day(1)), ("b", day(1)), ("a", day(2))], [("a", day(3)), ("b", day(9)), ("c", day(10))], [("late", day(1)), ("a", day(25))]]
+    landed, out = f"{tmp_path}/landed", f"{tmp_path}/out"
+    steps = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(schema).parquet(landed)
+        steps += ST.run_closing(ST.rolling_source_counts(stream, watermark="24 hours"), out)
+    got = sorted((r.window.start, r.source, r.n) for r in ST.closed_windows(spark, out).collect())
+    timely = spark.createDataFrame([r for b in batches for r in b if r[0] != "late"], schema)
+    want = sorted((r.window.start, r.source, r.n) for r in ST.rolling_source_counts(timely).collect() if r.window.end <= day(24))
+    assert got == want and len(got) == len({g[:2] for g in got}) and ("a", 2) in {g[1:] for g in got}
+    assert sum(s["late"] for s in steps) > 0 and sum(s["rows"] for s in steps) == 8
+    assert max(s["state"] for s in steps) > steps[-1]["state"] == 3
