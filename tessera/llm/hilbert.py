@@ -11,12 +11,17 @@ the number of their partition and their place in it; the partition sizes (one
 row per partition) are summed up and joined back.  A hot cell is no problem:
 the sort key continues with the row key, so range partitioning splits it.
 
+Law ``rows`` deals rows, not groups: equal texts of different source, language
+or size class may lie in different shards.
+
 Defined results: a null text has no bytes (size 1, CRC 0); null metadata is a
 cell of its own; repeated rows get a slot each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +67,25 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     return bind(undone, lambda a: bind(gray(a), lambda b: bind(carry(b) if bits > 1 else b, interleave)))
 
 
-def quantised(kind: str, c: Column, bits: int) -> Column:
-    """``log``: half-octave bins of a size; ``label``: a hash bin of a category (0 is null)."""
+def quantised(kind: str, c: Column, bits: int, span: tuple[float, float] = (0.0, 0.0)) -> Column:
+    """``log``: equal bins of a size's logarithm over ``span``, its least and
+    greatest value in the table; ``label``: a hash bin of a category (0 is null)."""
     cells = 1 << bits
     if kind == "log":
-        return F.least(F.lit(cells - 1), F.floor(F.log2(F.greatest(c, F.lit(1)).cast("double")) * 2)).cast("int")
+        low, high = (math.log2(max(x, 1)) for x in span)
+        at = (F.log2(F.greatest(c, F.lit(1)).cast("double")) - low) * (cells / max(high - low, 1e-9))
+        return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor(at))), F.lit(0)).cast("int")
     return F.when(c.isNull(), F.lit(0)).otherwise(1 + F.crc32(c.cast("string").cast("binary")) % (cells - 1)).cast("int")
 
 
+def spans(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Least and greatest value of each column, from one row of aggregates."""
+    if not columns:
+        return {}
+    r = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("low", F.min), ("high", F.max))]).first()
+    return {c: (r[f"low{i}"] or 0, r[f"high{i}"] or 0) for i, c in enumerate(columns)}
+
+
 def shard_by_curve(df: DataFrame, dims: list[tuple[str, str]], order: list[str], shards: int = 8,
                    bits: int = BITS, name: str = "hilbert") -> DataFrame:
     """``df`` with ``curve`` (Hilbert index), ``shard`` and ``slot``.
@@ -80,7 +96,8 @@ def shard_by_curve(df: DataFrame, dims: list[tuple[str, str]], order: list[str],
     """
     spark = df.sparkSession
     kept = [c for c in df.columns if c not in ("curve", "shard", "slot", "_pid", "_mid")]
-    keyed = df.select(*kept, hilbert_index([quantised(k, F.col(c), bits) for c, k in dims], bits).alias("curve"))
+    span = spans(df, [c for c, k in dims if k == "log"])
+    keyed = df.select(*kept, hilbert_index([quantised(k, F.col(c), bits, span.get(c, (0, 0))) for c, k in dims], bits).alias("curve"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = keyed.repartitionByRange(n, "curve", *order).sortWithinPartitions("curve", *order)
     # the id holds the partition above bit 33 and the gapless place in it below

@@ -14,7 +14,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import ball_tree, merkle, syncmers
+from tessera.llm import ball_tree, hilbert, merkle, syncmers
 
 # ---------------------------------------------------------------------------
 # Closed syncmers
@@ -337,3 +337,49 @@ def test_appender_partial_witnesses():
                     node = sha(node + w if s == "r" else w + node)
                 assert node == digest
     assert tree.close() == plain_tree(leaves)[0]
+
+
+# ---------------------------------------------------------------------------
+# Hilbert sharding: cells over the measured range, pruning of written files
+# ---------------------------------------------------------------------------
+
+def test_size_cells_span_the_measured_range(spark):
+    """Long texts do not share one cell, wherever the range lies."""
+    for low in (1, 1 << 16, 1 << 30):
+        df = spark.createDataFrame([(low * (1 << k),) for k in range(8)], "size long")
+        span = hilbert.spans(df, ["size"])["size"]
+        cells = [r[0] for r in df.select(hilbert.quantised("log", F.col("size"), 5, span)).collect()]
+        assert len(set(cells)) == 8 and min(cells) == 0 and max(cells) == 31
+    one = spark.createDataFrame([(7,), (7,), (None,)], "size long")
+    assert {r[0] for r in one.select(hilbert.quantised("log", F.col("size"), 5, hilbert.spans(one, ["size"])["size"])).collect()} == {0}
+
+
+def test_curve_visits_every_cell_of_the_registered_grid(spark):
+    """Three dimensions of five bits: the index is a bijection onto 0..32767 and neighbours differ by one step in one dimension."""
+    grid = spark.range(32 ** 3).select((F.col("id") % 32).alias("x"), (F.floor(F.col("id") / 32) % 32).alias("y"), F.floor(F.col("id") / 1024).alias("z"))
+    rows = grid.select(hilbert.hilbert_index([F.col(c) for c in "xyz"], hilbert.BITS).alias("h"), "x", "y", "z").collect()
+    at = {r.h: (r.x, r.y, r.z) for r in rows}
+    assert sorted(at) == list(range(32 ** 3))
+    assert all(sum(abs(a - b) for a, b in zip(at[h], at[h + 1], strict=True)) == 1 for h in range(32 ** 3 - 1))
+
+
+def test_written_shards_prune_by_size(spark, tmp_path):
+    """Statistics of the written files leave out half of them or more for a narrow filter on the size, which is not the first dimension."""
+    import pyarrow.parquet as pq
+
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.xxhash64("id") % 16).cast("string")).alias("source"),
+                                  F.pow(F.lit(2.0), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(18))).cast("long").alias("size"), F.lit("en").alias("lang"))
+    out = hilbert.shard_by_curve(df, [("source", "label"), ("size", "log")], ["doc_id"], shards=16, name="prune")
+    out.repartition("shard").write.partitionBy("shard").parquet(f"{tmp_path}/shards")
+    files = list((tmp_path / "shards").rglob("*.parquet"))
+
+    def kept(column, value):
+        n = 0
+        for f in files:
+            meta = pq.ParquetFile(f)
+            i = meta.schema_arrow.names.index(column)
+            stats = [meta.metadata.row_group(g).column(i).statistics for g in range(meta.metadata.num_row_groups)]
+            n += any(s.min <= value <= s.max for s in stats)
+        return n
+
+    assert len(files) == 16 and kept("size", 1) <= 8 and kept("size", 1 << 17) <= 8
