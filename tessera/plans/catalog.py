@@ -486,8 +486,8 @@ def plain_context_q(spark, sf_dir):
     return G.join_blocks(h, "query_id", "rank", G.py_str(F.col("text")), "\n\n")
 
 
-def _news_context(spark, sf_dir):
-    d = NW.diverse(T.articles(spark, sf_dir), T.topics(spark), T.AS_OF, top_k=10,
+def _news_context(spark, sf_dir, topics=None):
+    d = NW.diverse(T.articles(spark, sf_dir), T.topics(spark) if topics is None else topics, T.AS_OF, top_k=10,
                    threshold=DIVERSE_THRESHOLD, payload_extra=["summary"])
     blk = G.news_block(F.col("rank"), F.col("title"), F.col("source"), F.col("published"),
                        F.col("summary"), F.col("url"), F.col("score"))
@@ -503,7 +503,8 @@ def news_context_q(spark, sf_dir):
 def news_gate_q(spark, sf_dir):
     """Topics whose decision says no news, or with no ranked rows, get ''."""
     t = T.topics(spark).withColumn("d", G.parse_classifier(_pick(CLASSIFIER_REPLIES, F.col("topic_id"))))
-    n = _news_context(spark, sf_dir).withColumnRenamed("query_id", "topic_id")
+    # the gate stands before the work
+    n = _news_context(spark, sf_dir, t.where("d.needs_news").select("topic_id", "topic")).withColumnRenamed("query_id", "topic_id")
     j = t.join(n, "topic_id", "left")
     news = F.when(F.col("d.needs_news"), F.coalesce(F.col("news"), F.lit(""))).otherwise(F.lit(""))
     return j.select("topic_id", F.col("d.needs_news").alias("needs_news"), news.alias("news"))

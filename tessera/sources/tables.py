@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import lexicons as L
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -135,11 +134,3 @@ TOPICS = [
 
 def topics(spark) -> DataFrame:
     return spark.createDataFrame(TOPICS, "topic_id bigint, topic string")
-
-
-def catalogue(spark) -> DataFrame:
-    """Feed catalogue as rows (category, source, url, source_order)."""
-    rows = [(cat, src, url, i)
-            for cat, feeds in L.FEED_CATALOGUE.items()
-            for i, (src, url) in enumerate(feeds)]
-    return spark.createDataFrame(rows, "category string, source string, url string, source_order int")
