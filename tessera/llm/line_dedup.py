@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bind, table
 
 LINES = 3
 BLANKS = " \t\n\x0b\x0c\r"
@@ -58,8 +58,9 @@ def remove_repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "t
     joined = docs.select(*carried, F.xxhash64(text).alias("_h")).join(
         gone.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_text")), "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(
-        F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
+    # the places that stay come from one hashed difference, so the work grows with the lines, not with lines times removed lines
+    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(bind(lines, lambda x: F.array_join(
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n")))
     # a text of which only blank lines are left holds nothing
     kept = F.when(F.col("_gone").isNotNull() & (F.btrim(kept, F.lit(BLANKS)) == ""), F.lit("")).otherwise(kept)
     return joined.select(*carried, kept.alias("kept_text"),
