@@ -8,9 +8,11 @@ the words of overlapping hits merge into spans, which are removed.  A document
 of which the hits cover more than ``max_coverage`` is marked to be dropped.
 
 The item table is read in blocks of about ``block_bytes`` by a hash of the
-item, one automaton per block and pass, so the driver and a worker hold one
-block at a time whatever the size of the item table; with one block, which is
-the normal case, documents are scanned once.  Documents are never shuffled.
+item, one automaton per block and pass; the driver holds one block at a time.
+A worker holds one automaton, about 60 bytes for a byte of random words, and a
+task runs ``PASSES`` of them at a time: after as many passes the rows so far
+are written to the shared folder.  With one block, which is the normal case,
+documents are scanned once.  Documents are never shuffled.
 
 Defined results: null and empty texts have no words and no hits; items
 without words are no windows; repeated items with one id count once; a null
@@ -20,15 +22,19 @@ item id is left out of the list of ids; extra columns pass.
 from __future__ import annotations
 
 import re
+from array import array
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, stored, table
 
 WINDOW = 10
 MAX_COVERAGE = 0.8
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+#: Blocks whose automata one task may hold, each in a worker of its own.
+PASSES = 2
 #: On UTF-8 bytes after A-Z are lowered: digits, letters, and all beyond ASCII.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -38,92 +44,134 @@ def normalised(text: str | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Of several word sequences; every path from the root is a run of some sequence."""
+    """Of several word sequences; every path from the root is a run of some sequence.
+
+    States are numbers into flat arrays.  Most states have one step, which is
+    kept in two of these arrays; only further steps, and all of the root, are
+    in dictionaries.  The items of a state are a node of a tree of lists that
+    states share.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.numbers: dict[bytes, int] = {}
-        self.length, self.link, self.step = [0], [-1], [{}]
+        self.length, self.link = array("i", [0]), array("i", [-1])
+        self.word, self.next = array("i", [-1]), array("i", [-1])
+        self.more: dict[int, dict[int, int]] = {0: {}}
         self.window = window
-        numbered = [(i, [self.numbers.setdefault(w, len(self.numbers)) for w in words]) for i, words in items if words]
+        numbered = [(i, array("i", [self.numbers.setdefault(w, len(self.numbers)) for w in words])) for i, words in items if words]
         for _, seq in numbered:
             last = 0
             for w in seq:
                 last = self._extend(last, w)
         self._label(numbered)
 
+    def step(self, state: int, w: int) -> int | None:
+        if self.word[state] == w:
+            return self.next[state]
+        further = self.more.get(state)
+        return None if further is None else further.get(w)
+
+    def _set(self, state: int, w: int, to: int) -> None:
+        if state and self.word[state] in (-1, w):
+            self.word[state], self.next[state] = w, to
+        else:
+            self.more.setdefault(state, {})[w] = to
+
     def _extend(self, last: int, w: int) -> int:
-        length, link, step = self.length, self.link, self.step
-        if w in step[last]:
-            q = step[last][w]
+        length, link = self.length, self.link
+        q = self.step(last, w)
+        if q is not None:
             return q if length[q] == length[last] + 1 else self._clone(last, q, w)
-        new = self._state(length[last] + 1, {})
+        new = self._state(length[last] + 1)
         p = last
-        while p >= 0 and w not in step[p]:
-            step[p][w] = new
+        while p >= 0 and (q := self.step(p, w)) is None:
+            self._set(p, w, new)
             p = link[p]
         if p < 0:
             link[new] = 0
         else:
-            q = step[p][w]
             link[new] = q if length[q] == length[p] + 1 else self._clone(p, q, w)
         return new
 
-    def _state(self, length: int, step: dict) -> int:
+    def _state(self, length: int) -> int:
         self.length.append(length)
         self.link.append(0)
-        self.step.append(step)
+        self.word.append(-1)
+        self.next.append(-1)
         return len(self.length) - 1
 
     def _clone(self, p: int, q: int, w: int) -> int:
         """Split off the shorter runs of state ``q``."""
-        copy = self._state(self.length[p] + 1, dict(self.step[q]))
+        copy = self._state(self.length[p] + 1)
+        self.word[copy], self.next[copy] = self.word[q], self.next[q]
+        if q in self.more:
+            self.more[copy] = dict(self.more[q])
         self.link[copy], self.link[q] = self.link[q], copy
-        while p >= 0 and self.step[p].get(w) == q:
-            self.step[p][w] = copy
+        while p >= 0 and self.step(p, w) == q:
+            self._set(p, w, copy)
             p = self.link[p]
         return copy
 
     def _label(self, numbered) -> None:
         """Per state: the items that hold its window, the whole short items that end it, and the least length that is a hit."""
-        n, window = len(self.length), self.window
-        holds: list[set] = [set() for _ in range(n)]
+        length, link, window = self.length, self.link, self.window
+        n = len(length)
+        self.list_item, self.list_rest = [None], array("i", [-1])
+        lists: dict[tuple[int, str], int] = {}
+        # an item is put into a list once, last, while its words are walked
+        holds, last = array("i", bytes(4 * n)), array("i", [-1])
         whole: dict[int, set] = {}
-        for item, seq in numbered:
+        for number, (item, seq) in enumerate(numbered):
             state = 0
             for w in seq:
-                state = self.step[state][w]
-                up = state
-                while len(seq) >= window and up > 0 and self.length[up] >= window and item not in holds[up]:
-                    holds[up].add(item)
-                    up = self.link[up]
+                state = up = self.step(state, w)
+                while len(seq) >= window and up > 0 and length[up] >= window and last[holds[up]] != number:
+                    node = lists.setdefault((holds[up], number), len(self.list_item))
+                    if node == len(self.list_item):
+                        self.list_item.append(item)
+                        self.list_rest.append(holds[up])
+                        last.append(number)
+                    holds[up] = node
+                    up = link[up]
             if len(seq) < window:
                 whole.setdefault(state, set()).add((len(seq), item))
-        self.items: list[tuple] = [()] * n
-        self.short: list[tuple] = [()] * n
-        self.least = [window] * n
-        for s in sorted(range(1, n), key=self.length.__getitem__):
-            up = self.link[s]
-            self.short[s] = self.short[up] + tuple(sorted(whole.get(s, ())))
-            if self.short[s]:
-                self.least[s] = min(window, min(m for m, _ in self.short[s]))
-            if self.length[s] >= window:
-                # the state of the window itself: the last ancestor that is long enough
-                self.items[s] = self.items[up] if self.length[up] >= window else tuple(holds[s])
+        self.items, self.short, self.least = holds, array("i", bytes(4 * n)), array("i", [window]) * n
+        self.shorts: list[tuple] = [()]
+        order = np.argsort(np.frombuffer(length, dtype=np.int32), kind="stable")[1:]
+        for part in range(0, len(order), 65_536):
+            for s in order[part:part + 65_536].tolist():
+                up = link[s]
+                self.short[s], self.least[s] = self.short[up], self.least[up]
+                if s in whole:
+                    self.short[s] = len(self.shorts)
+                    self.shorts.append(self.shorts[self.short[up]] + tuple(sorted(whole[s], key=repr)))
+                    self.least[s] = min(m for m, _ in self.shorts[-1])
+                if length[s] >= window and length[up] >= window:
+                    # the state of the window itself: the last ancestor that is long enough
+                    holds[s] = holds[up]
+
+    def items_of(self, state: int) -> set:
+        out, node = set(), self.items[state]
+        while node:
+            out.add(self.list_item[node])
+            node = self.list_rest[node]
+        return out
 
     def hits(self, words: list[bytes]) -> tuple[list[list[int]], set]:
         """Merged spans of words [start, end) inside hits, and the items hit."""
         spans, found, short_found = [], set(), set()
         step, link, length, least, window = self.step, self.link, self.length, self.least, self.window
+        root = self.more[0]
         state = run = 0
         for end, w in enumerate(map(self.numbers.get, words), 1):
             if w is None:
                 state = run = 0
                 continue
-            nxt = step[state].get(w)
+            nxt = step(state, w) if state else root.get(w)
             while nxt is None and state:
                 state = link[state]
                 run = length[state]
-                nxt = step[state].get(w)
+                nxt = step(state, w)
             if nxt is None:
                 continue
             state = nxt
@@ -133,7 +181,7 @@ class SuffixAutomaton:
                 if run >= window:
                     size = window
                     found.add(state)
-                for m, item in self.short[state]:
+                for m, item in self.shorts[self.short[state]]:
                     if m <= run:
                         size = max(size, m)
                         short_found.add(item)
@@ -147,7 +195,7 @@ class SuffixAutomaton:
                     else:
                         spans.append([end - size, end])
         for s in found:
-            short_found.update(self.items[s])
+            short_found |= self.items_of(s)
         return spans, short_found
 
 
@@ -216,6 +264,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, item_id: str = "item_id", t
         new = ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs) if last else "_spans array<array<int>>, _items array<string>"
         out = map_texts(out, text, keep if last else [*dict.fromkeys([*keep, text])], new, lambda f=work_on: f, before=state)
         state = ["_spans", "_items"]
+        if not last and b % PASSES == PASSES - 1:
+            out = stored(out, "decontam")
     return out
 
 
@@ -223,11 +273,10 @@ _MACHINES: dict = {}
 
 
 def automaton_of(shared, window: int) -> SuffixAutomaton:
-    """The automaton of a broadcast block, built once per worker; earlier ones are let go."""
+    """The automaton of a broadcast block, built once per worker; an earlier one is let go."""
     key = (shared.value.__len__(), hash(tuple(shared.value)), window)
     if key not in _MACHINES:
-        if len(_MACHINES) > 1:
-            _MACHINES.clear()
+        _MACHINES.clear()
         _MACHINES[key] = SuffixAutomaton([(i, normalised(t)) for i, t in shared.value], window)
     return _MACHINES[key]
 

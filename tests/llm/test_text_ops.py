@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import tracemalloc
 
 import fixtures as X
 import numpy as np
@@ -53,6 +54,31 @@ def test_lines_edges(spark):
     assert line_dedup.remove_repeated_windows(X.empty(spark)).count() == 0
 
 
+def plain_kept_lines(docs):
+    """Text of every document without the later occurrences of its three-line windows, and how many lines went."""
+    seen, out = set(), {}
+    for doc, text in sorted(docs):
+        lines = text.split("\n")
+        at = [i for i, x in enumerate(lines) if x.strip(line_dedup.BLANKS)]
+        gone = set()
+        for k in range(len(at) - 2):
+            window = tuple(lines[i].strip(line_dedup.BLANKS) for i in at[k:k + 3])
+            gone |= set(at[k:k + 3]) if window in seen else set()
+            seen.add(window)
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        out[doc] = ("" if gone and not kept.strip(line_dedup.BLANKS) else kept, len(gone))
+    return out
+
+
+def test_lines_of_very_long_texts(spark):
+    """Tens of thousands of repeated lines with blank and single ones between: equal to plain code (they took time with their square)."""
+    once = [f"line {i}" if i % 8 else f"  only {i}" for i in range(20_000)]
+    texts = [(1, "\n".join([*once, "", *[x.replace("only", "other") for x in once]])), (2, "\n\n".join(once)), (3, "\n".join(["same"] * 20_000)),
+             (4, "\n".join(["new", *["same"] * 5, " ", "end"]))]
+    out = line_dedup.remove_repeated_windows(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {r.doc_id: (r.kept_text, r.n_removed_lines) for r in out.collect()} == plain_kept_lines(texts)
+
+
 def test_decontamination_edges(spark):
     items = spark.createDataFrame([(1, X.PASSAGE), (1, X.PASSAGE), (2, "One, TWO"), (3, None), (4, "..."), (None, "endoftext")], "item_id long, text string")
     for size in (1 << 20, 64):
@@ -66,6 +92,30 @@ def test_decontamination_edges(spark):
     assert decontam.decontaminate(X.empty(spark), items).count() == 0
 
 
+def test_decontamination_blocks_and_long_text(spark):
+    """Many blocks, some with a written table between them, give what one block gives, on a text of 200,000 words that holds every item five times."""
+    words = [f"t{i % 211}x{i % 199}" for i in range(200_000)]
+    items = spark.createDataFrame([(i, " ".join(words[i * 40:i * 40 + 12 + i % 3])) for i in range(30)] + [(30, "t1x1 nowhere")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words), "a"), (2, " ".join(words[70:95]), "b"), (3, "t1x1", "c")], "doc_id long, text string, items string")
+    total = items.selectExpr("sum(length(text) + 16)").first()[0]
+    got = []
+    for size in (total, total // 5):
+        out = decontam.decontaminate(docs, items, block_bytes=size, carried=["doc_id"])
+        got.append(sorted((r.doc_id, r.n_words, r.n_hit, r.spans, sorted(r["items"]), r.kept_text) for r in out.collect()))
+    assert got[0] == got[1] and [len(r[4]) for r in got[0]] == [30, 1, 0] and got[0][0][2] == 5 * sum(12 + i % 3 for i in range(30))
+
+
+def test_automaton_memory():
+    """Flat arrays: under 100 bytes for a byte of random words, which is the worst case."""
+    draw = random.Random(1)
+    items = [(str(i), [b"%x" % draw.randrange(1 << 20) for _ in range(60)]) for i in range(1000)]
+    tracemalloc.start()
+    machine = decontam.SuffixAutomaton(items)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 100 * sum(len(w) + 1 for _, seq in items for w in seq) and len(machine.length) > 60_000
+
+
 def test_automaton_brute_force():
     random.seed(2)
     for _ in range(150):
