@@ -107,6 +107,30 @@ def assemble_corpus(comments: DataFrame, jokes: DataFrame) -> DataFrame:  # C1-C
     return c.unionByName(j, allowMissingColumns=True)
 
 
+def _given(name: str, kind: str, strict: bool) -> F.Column:
+    """A field that its source must have: with ``strict`` a null stops the job, naming the field."""
+    c = F.col(name).cast(kind)
+    return F.coalesce(c, F.raise_error(F.lit(f"metadata field {name} is null")).cast(kind)) if strict else c
+
+
+def corpus_metadata(comments: DataFrame, jokes: DataFrame, key: str = "doc_id", strict: bool = True) -> DataFrame:  # C2, C3
+    """One metadata row per curated text, with the fields of its source.
+
+    Comments carry ``controversiality``, jokes ``nsfw`` and ``created_utc``;
+    what the other source lacks is null.  Numbers must be given, as an int cast
+    demands: a null stops the job, or stays null with ``strict=False``.
+    A narrow projection of both sides and a union: no shuffle.
+    """
+    def side(df: DataFrame, rank: int, tag: str, text: str, **own: F.Column) -> DataFrame:
+        return df.select(corpus_id(rank, key).alias("doc_id"), F.col(text).alias("text"), F.lit(tag).alias("source"),
+                         F.col("subreddit"), _given("score", "long", strict).alias("score"),
+                         *[c.alias(name) for name, c in own.items()])
+
+    c = side(comments, 0, "reddit_comment", "body", controversiality=_given("controversiality", "int", strict))
+    j = side(jokes, 1, "reddit_joke", "text", nsfw=F.col("nsfw").cast("boolean"), created_utc=_given("created_utc", "long", strict))
+    return c.unionByName(j, allowMissingColumns=True)
+
+
 def alignment_report(texts: DataFrame, metadata: DataFrame, key: str) -> DataFrame:  # C4
     """One row: texts without metadata, metadata without text, duplicate text keys.
 

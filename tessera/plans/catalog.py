@@ -782,6 +782,20 @@ def metadata_json_roundtrip_q(spark, sf_dir):
     return back.select(F.col("doc_id").alias("corpus_id"), "source", "subreddit", "score", "quality", "nsfw")
 
 
+@register("corpus_metadata_files")
+def corpus_metadata_files_q(spark, sf_dir):
+    """S4 -> S1, S2 -> F10, F11 -> C2, C3 -> S7 -> S8: both dumps are landed as CSV
+    with all their columns, read back, curated whole, and their metadata is
+    written as JSON Lines and read with the declared schema."""
+    path = _scratch(spark, "metadata-files")
+    FS.write_table(T.dumped_comments(spark, sf_dir), f"{path}/comments", "csv")
+    FS.write_table(T.dumped_jokes(spark, sf_dir), f"{path}/jokes", "csv")
+    meta = curate.corpus_metadata(curate.curate_comments(FS.read_comments_csv(spark, f"{path}/comments", "doc_id")),
+                                  curate.curate_jokes(FS.read_jokes_csv(spark, f"{path}/jokes", "doc_id")))
+    FS.write_metadata(meta, f"{path}/metadata")
+    return FS.read_metadata(spark, f"{path}/metadata").withColumnRenamed("doc_id", "corpus_id")
+
+
 @register("near_duplicate_dedupe")
 def near_duplicate_dedupe_q(spark, sf_dir):
     """R9 over the whole vector table: vectors kept by the greedy walk in id

@@ -816,6 +816,15 @@ QUALIFY row_number() OVER (PARTITION BY query_id, {normalize_text("coalesce(sour
 
 ORACLE["metadata_json_roundtrip"] = ORACLE["corpus_metadata"]
 
+ORACLE["corpus_metadata_files"] = f"""WITH {CURATED_COMMENTS}, {CURATED_JOKES}
+SELECT c.doc_id AS corpus_id, c.body AS text, 'reddit_comment' AS source, c.subreddit, c.score::BIGINT AS score,
+       CASE WHEN l.quality = 0 THEN 1 ELSE 0 END::INTEGER AS controversiality, NULL::BOOLEAN AS nsfw, NULL::BIGINT AS created_utc
+FROM curated_comments c LEFT JOIN labels l ON l.doc_id = c.doc_id
+UNION ALL
+SELECT (1::BIGINT << 48) | j.doc_id, j.text, 'reddit_joke', j.subreddit, j.score::BIGINT, NULL,
+       coalesce(l.toxic = 1, false), coalesce(floor(epoch(e.ts))::BIGINT, 0)
+FROM curated_jokes j LEFT JOIN labels l ON l.doc_id = j.doc_id LEFT JOIN events e ON e.event_id = j.doc_id"""
+
 ORACLE["near_duplicate_dedupe"] = """
 WITH items AS (SELECT list(struct_pack(vec_id := vec_id, v := embedding::DOUBLE[]) ORDER BY vec_id) AS it
                FROM embeddings WHERE embedding IS NOT NULL),

@@ -36,19 +36,23 @@ METADATA_SCHEMA = T.StructType([
 ])
 
 
-def _csv(spark: SparkSession, path: str, schema) -> DataFrame:
+def _csv(spark: SparkSession, path: str, schema, key: str | None = None) -> DataFrame:
     # Text fields may hold newlines inside quotes: multiLine is required.
+    if key is not None:
+        schema = T.StructType([*schema.fields, T.StructField(key, T.LongType())])
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
                  .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
                  .csv(path))
 
 
-def read_comments_csv(spark, path) -> DataFrame:                          # S1
-    return _csv(spark, path, COMMENTS_SCHEMA)
+def read_comments_csv(spark, path, key: str | None = None) -> DataFrame:  # S1
+    """Raw comments; ``key`` names a row key that follows the columns of the dump."""
+    return _csv(spark, path, COMMENTS_SCHEMA, key)
 
 
-def read_jokes_csv(spark, path) -> DataFrame:                             # S2
-    df = _csv(spark, path, JOKES_SCHEMA)
+def read_jokes_csv(spark, path, key: str | None = None) -> DataFrame:     # S2
+    """Raw jokes, the dotted columns renamed; ``key`` as for comments."""
+    df = _csv(spark, path, JOKES_SCHEMA, key)
     return (df.withColumnRenamed("subreddit.name", "subreddit")
               .withColumnRenamed("subreddit.nsfw", "nsfw")
               .withColumn("created_at", F.timestamp_seconds("created_utc")))
@@ -67,12 +71,30 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: list[str] | None = None) -> None:            # S4, S5, S7
     w = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        w = w.option("header", True).option("escape", '"')
+        # white space at the ends of a text is part of it; the writer would trim it
+        w = (w.option("header", True).option("escape", '"')
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
 
 
+def write_metadata(df: DataFrame, path: str) -> None:                      # S7
+    """Corpus metadata as UTF-8 JSON Lines with the fields of METADATA_SCHEMA; a field that is null is left out."""
+    write_table(df.select(*[F.col(f.name).cast(f.dataType) for f in METADATA_SCHEMA]), path, "json")
+
+
+def read_metadata(spark, path, array: bool = False) -> DataFrame:          # S8
+    """Corpus metadata with every field of METADATA_SCHEMA, null where an entry has none.
+
+    JSON Lines are split over tasks.  ``array`` reads files that hold one JSON
+    array of entries each, as the dump scripts write them: one task a file.
+    Such entries have no ``doc_id``; a line that is no JSON object has all null.
+    """
+    return (spark.read.schema(METADATA_SCHEMA).option("mode", "PERMISSIVE")
+                 .option("multiLine", array).json(path))
+
+
 def vectors_report(df: DataFrame, vec: str = "embedding") -> DataFrame:  # S6
     """ntotal, dimension range (a consistent index has min_dim == max_dim),
     element type and unit-norm check, in one aggregate."""

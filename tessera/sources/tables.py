@@ -72,6 +72,25 @@ def jokes(spark, sf_dir) -> DataFrame:
                     F.col("source").alias("subreddit"))
 
 
+def dumped_comments(spark, sf_dir) -> DataFrame:
+    """Raw comments with every column of the dump: of documents labelled as
+    poor the comment counts as controversial."""
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, 1).alias("low"))
+    c = comments(spark, sf_dir).join(lab, "doc_id", "left")
+    return c.select("body", "subreddit", "score", F.coalesce("low", F.lit(0)).alias("controversiality"), "doc_id")
+
+
+def dumped_jokes(spark, sf_dir) -> DataFrame:
+    """Raw jokes with every column of the dump: ``nsfw`` from the toxic label,
+    ``created_utc`` from the time of the event that has the document's number."""
+    lab = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("toxic"))
+    ev = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("doc_id"), F.floor(F.col("ts").cast("timestamp").cast("double")).cast("long").alias("at"))
+    j = jokes(spark, sf_dir).join(lab, "doc_id", "left").join(ev, "doc_id", "left")
+    return j.select("title", "selftext", "score", F.col("subreddit").alias("subreddit.name"),
+                    F.coalesce("toxic", F.lit(False)).alias("subreddit.nsfw"), F.coalesce("at", F.lit(0)).alias("created_utc"), "doc_id")
+
+
 _ARTICLES_SQL = """
   page_id AS article_id,
   concat(CASE page_id % 14 WHEN 0 THEN 'Breaking news: ' WHEN 1 THEN 'What is ' WHEN 2 THEN '10 '
