@@ -47,3 +47,22 @@ def against_sql(spark, query, sql, sf=SF001, tables=("documents", "benchmark", "
     order = sorted(names)
     want = sorted((tuple(r[names.index(c)] for c in order) for r in cur.fetchall()), key=repr)
     return sorted((tuple(r[c] for c in order) for r in got.collect()), key=repr), want
+
+
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def plain_kept_lines(docs):
+    """Text of every document without the later occurrences of its three-line windows, and how many lines went."""
+    seen, out = set(), {}
+    for doc, text in sorted(docs):
+        lines = text.split("\n")
+        at = [i for i, x in enumerate(lines) if x.strip(BLANKS)]
+        gone = set()
+        for k in range(len(at) - 2):
+            window = tuple(lines[i].strip(BLANKS) for i in at[k:k + 3])
+            gone |= set(at[k:k + 3]) if window in seen else set()
+            seen.add(window)
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        out[doc] = ("" if gone and not kept.strip(BLANKS) else kept, len(gone))
+    return out

@@ -54,29 +54,13 @@ def test_lines_edges(spark):
     assert line_dedup.remove_repeated_windows(X.empty(spark)).count() == 0
 
 
-def plain_kept_lines(docs):
-    """Text of every document without the later occurrences of its three-line windows, and how many lines went."""
-    seen, out = set(), {}
-    for doc, text in sorted(docs):
-        lines = text.split("\n")
-        at = [i for i, x in enumerate(lines) if x.strip(line_dedup.BLANKS)]
-        gone = set()
-        for k in range(len(at) - 2):
-            window = tuple(lines[i].strip(line_dedup.BLANKS) for i in at[k:k + 3])
-            gone |= set(at[k:k + 3]) if window in seen else set()
-            seen.add(window)
-        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-        out[doc] = ("" if gone and not kept.strip(line_dedup.BLANKS) else kept, len(gone))
-    return out
-
-
 def test_lines_of_very_long_texts(spark):
     """Tens of thousands of repeated lines with blank and single ones between: equal to plain code (they took time with their square)."""
     once = [f"line {i}" if i % 8 else f"  only {i}" for i in range(20_000)]
     texts = [(1, "\n".join([*once, "", *[x.replace("only", "other") for x in once]])), (2, "\n\n".join(once)), (3, "\n".join(["same"] * 20_000)),
              (4, "\n".join(["new", *["same"] * 5, " ", "end"]))]
     out = line_dedup.remove_repeated_windows(spark.createDataFrame(texts, "doc_id long, text string"))
-    assert {r.doc_id: (r.kept_text, r.n_removed_lines) for r in out.collect()} == plain_kept_lines(texts)
+    assert {r.doc_id: (r.kept_text, r.n_removed_lines) for r in out.collect()} == X.plain_kept_lines(texts)
 
 
 def test_decontamination_edges(spark):
