@@ -13,8 +13,9 @@ partitioning join:
    the number of row and column blocks of a cell comes from its measured
    size, so no co-group exceeds ``block_rows`` rows per side, even for a cell
    holding a third of all vectors.
-4. Each co-group is scored by one numpy matmul; only pairs with
-   ``home.id < other.id AND dot >= t`` are emitted.  Each qualifying pair is
+4. Each co-group is scored by numpy matmuls of a strip of rows at a time, so a
+   worker holds ``PRODUCT_CELLS`` products, not those of the whole block; only
+   pairs with ``home.id < other.id AND dot >= t`` are emitted.  Each qualifying pair is
    reported once, from the home cell of its smaller id.
 """
 
@@ -55,18 +56,25 @@ def _cells_udf(bc, reach: float):
     return cells
 
 
+#: Products of one strip of a block.
+PRODUCT_CELLS = 500_000
+
+
 def _block_pairs_fn(threshold: float):
     def fn(h: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
         if len(h) == 0 or len(o) == 0:
             return pd.DataFrame({"id_a": [], "id_b": [], "sim": []})
         H = np.stack(h["va"].to_numpy()).astype(np.float64)
         O = np.stack(o["vb"].to_numpy()).astype(np.float64)
-        S = H @ O.T
-        ia = h["id_a"].to_numpy()[:, None]
-        ib = o["id_b"].to_numpy()[None, :]
-        r, c = np.nonzero((S >= threshold) & (ia < ib))
-        return pd.DataFrame({"id_a": h["id_a"].to_numpy()[r], "id_b": o["id_b"].to_numpy()[c],
-                             "sim": S[r, c]})
+        ia, ib = h["id_a"].to_numpy(), o["id_b"].to_numpy()
+        step, found = max(1, PRODUCT_CELLS // len(o)), []
+        for i in range(0, len(h), step):
+            S = H[i:i + step] @ O.T
+            r, c = np.nonzero(S >= threshold)
+            keep = ia[i + r] < ib[c]
+            r, c = r[keep], c[keep]
+            found.append((ia[i + r], ib[c], S[r, c]))
+        return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("id_a", "id_b", "sim"), zip(*found, strict=True), strict=True)})
     return fn
 
 
@@ -78,7 +86,7 @@ def similarity_join(vecs: DataFrame, threshold: float, id_col: str = "id",
     Cells are split into a grid of blocks sized from measured cell sizes:
     home rows of cell c go to one of S1(c) row blocks, replicated rows to one
     of S2(c) column blocks, and each (c, s1, s2) block pair is one co-group
-    holding at most ``block_rows`` rows per side, scored by a numpy matmul.
+    holding at most ``block_rows`` rows per side, scored in strips.
     """
     spark = vecs.sparkSession
     v = vecs.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")) \
