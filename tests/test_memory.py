@@ -36,3 +36,19 @@ def test_block_pairs_in_strips():
     assert sorted(zip(got["id_a"], got["id_b"])) == sorted(zip(h["id_a"].to_numpy()[r], o["id_b"].to_numpy()[c])) and len(r) > 20
     assert peak < 40
     assert len(pairs._block_pairs_fn(99.0)(h, o)) == 0
+
+
+def test_tokens_remembered_are_bounded(spark):
+    texts = pa.array([" ".join(f"{i}w{j}" for j in range(200)) for i in range(2000)] + [None, "", "b a a"])
+
+    def run():
+        return [(len(x), x.slice(max(0, len(x) - 3)).to_pylist()) for x in EM._hashed_sparse_udf(256).func(iter([texts]))]
+
+    got, peak = peak_mb(run)
+    assert sum(n for n, _ in got) == len(texts) and peak < 40
+    null, empty, last = got[-1][1]
+    dims = {t: EM._dims_of(t, 256, {})[0] for t in "ab"}
+    assert null == {"dims": None, "weights": None} and empty == {"dims": [], "weights": []}
+    assert dict(zip(last["dims"], last["weights"])) == {dims["a"]: 2 / np.sqrt(5), dims["b"]: 1 / np.sqrt(5)}
+    dense = [v for x in EM._hashed_udf(256, "double").func(iter([texts])) for v in x.to_pylist()]
+    assert dense[-3] is None and dense[-2] == [0.0] * 256 and dense[-1][dims["a"]] == 2 / np.sqrt(5)
