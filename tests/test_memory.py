@@ -52,3 +52,31 @@ def test_tokens_remembered_are_bounded(spark):
     assert dict(zip(last["dims"], last["weights"])) == {dims["a"]: 2 / np.sqrt(5), dims["b"]: 1 / np.sqrt(5)}
     dense = [v for x in EM._hashed_udf(256, "double").func(iter([texts])) for v in x.to_pylist()]
     assert dense[-3] is None and dense[-2] == [0.0] * 256 and dense[-1][dims["a"]] == 2 / np.sqrt(5)
+
+
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def best_of(Q, X, k, exclude_self):
+    fn = search._partial_topk_fn(Held((np.arange(len(Q)), Q)), k, exclude_self)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(X))), pa.array(list(X))], names=["doc_id", "v"])
+    (out, *_), peak = peak_mb(lambda: list(fn(iter([batch]))))
+    return out.to_pandas(), peak
+
+
+def test_many_queries_in_arrays():
+    """As for similarity_knn: a task keeps k numbers a query, not objects; ties go to the lower id."""
+    rng = np.random.default_rng(6)
+    X = rng.integers(-1, 2, size=(20000, 4)).astype(float)
+    got, peak = best_of(X, X[:600], 3, True)
+    assert peak < 25
+    S = X @ X[:600].T
+    for q in (0, 1, 599, 19999):
+        s = S[q].copy()
+        if q < 600:
+            s[q] = -np.inf
+        assert got[got.query_id == q]["doc_id"].tolist() == np.lexsort((np.arange(600), -s))[:3].tolist()
+    few, _ = best_of(X[:4], X[:3], 5, True)
+    assert few.groupby("query_id").size().tolist() == [2, 2, 2, 3]
