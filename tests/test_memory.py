@@ -66,6 +66,17 @@ def best_of(Q, X, k, exclude_self):
     return out.to_pandas(), peak
 
 
+def test_wide_vectors_in_blocks():
+    """As for rag_context: many rows of a batch, long vectors."""
+    rng = np.random.default_rng(5)
+    Q, X = rng.normal(size=(1000, 64)), rng.normal(size=(10000, 64))
+    got, peak = best_of(Q, X, 5, False)
+    S = np.round(Q @ X.T, search.RANK_DECIMALS)
+    want = {q: np.lexsort((np.arange(len(X)), -S[q]))[:5].tolist() for q in range(len(Q))}
+    assert got.groupby("query_id")["doc_id"].apply(list).to_dict() == want
+    assert peak < 25
+
+
 def test_many_queries_in_arrays():
     """As for similarity_knn: a task keeps k numbers a query, not objects; ties go to the lower id."""
     rng = np.random.default_rng(6)
