@@ -68,8 +68,12 @@ def read_table(spark, path, fmt: str = "parquet", schema=None) -> DataFrame:  #
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
-                partition_by: list[str] | None = None) -> None:            # S4, S5, S7
+                partition_by: list[str] | None = None, codec: str | None = None) -> None:  # S4, S5, S7
+    """``codec`` compresses the files of a text format (gzip at its fastest level,
+    for example); readers know it by the name of the file, one task a file."""
     w = df.write.mode("overwrite").format(fmt)
+    if codec is not None:
+        w = w.option("compression", codec).option("zlib.compress.level", "BEST_SPEED")
     if fmt == "csv":
         # white space at the ends of a text is part of it; the writer would trim it
         w = (w.option("header", True).option("escape", '"')
@@ -79,15 +83,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
     w.save(path)
 
 
-def write_metadata(df: DataFrame, path: str) -> None:                      # S7
+def write_metadata(df: DataFrame, path: str, codec: str | None = None) -> None:  # S7
     """Corpus metadata as UTF-8 JSON Lines with the fields of METADATA_SCHEMA; a field that is null is left out."""
-    write_table(df.select(*[F.col(f.name).cast(f.dataType) for f in METADATA_SCHEMA]), path, "json")
+    write_table(df.select(*[F.col(f.name).cast(f.dataType) for f in METADATA_SCHEMA]), path, "json", codec=codec)
 
 
 def read_metadata(spark, path, array: bool = False) -> DataFrame:          # S8
     """Corpus metadata with every field of METADATA_SCHEMA, null where an entry has none.
 
-    JSON Lines are split over tasks.  ``array`` reads files that hold one JSON
+    JSON Lines are split over tasks, compressed ones by file.  ``array`` reads files that hold one JSON
     array of entries each, as the dump scripts write them: one task a file.
     Such entries have no ``doc_id``; a line that is no JSON object has all null.
     """

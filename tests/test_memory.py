@@ -91,3 +91,14 @@ def test_many_queries_in_arrays():
         assert got[got.query_id == q]["doc_id"].tolist() == np.lexsort((np.arange(600), -s))[:3].tolist()
     few, _ = best_of(X[:4], X[:3], 5, True)
     assert few.groupby("query_id").size().tolist() == [2, 2, 2, 3]
+
+
+def test_metadata_dumps_are_compressed(spark):
+    """Both dumps and the metadata together take less than the text that they hold."""
+    catalog.QUERIES["corpus_metadata_files"](spark, SF01)
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    newest = max(glob.glob(f"{base}/metadata-files-*"), key=os.path.getmtime)
+    size = {k: sum(os.path.getsize(f) for f in glob.glob(f"{newest}/{k}/part-*")) for k in ("comments", "jokes", "metadata")}
+    text = spark.read.parquet(f"{SF01}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    assert all(size.values()) and sum(size.values()) < 2 * text
+    assert FS.read_comments_csv(spark, f"{newest}/comments", "doc_id").count() == spark.read.parquet(f"{SF01}/documents.parquet").count()
