@@ -51,6 +51,8 @@ THRESHOLD = 0.3
 CACHE_WORDS = 400_000
 MARKS = ".,;:!?\"'()[]{}<>«»„“”…"
 SPELT = re.compile(r"(?<!\S)[{0}]*\S(?:\s\S){{2,}}[{0}]*(?!\S)".format(re.escape(MARKS)))
+#: What every such run holds; far quicker to rule out than a run is to look for.
+MAYBE_SPELT = re.compile(r"\s\S\s\S(?=[\s{0}]|\Z)".format(re.escape(MARKS)))
 SENTENCE = re.compile(r"(?:(?<=[.!?])|(?<=[.!?][\"')\]»”]))\s+|\n+")
 INSIDE = re.compile(r"[.!?]+")
 
@@ -132,20 +134,26 @@ class Matcher:
         if not self.landmarks:
             return
         new = [t for t in tokens if t not in self.known]
-        forms = [(i, w) for i, t in enumerate(new) for w in forms_of(t) if len(w) >= P]
+        tokens_of: dict[str, list[int]] = {}  # tokens that differ in marks only share their forms
+        for i, t in enumerate(new):
+            for w in forms_of(t):
+                if len(w) >= P:
+                    tokens_of.setdefault(w, []).append(i)
+        forms = list(tokens_of)
         found: dict[int, list] = {}
         if forms:
-            bits = pairs_of([w for _, w in forms])
-            sizes = np.array([len(w) for _, w in forms])
+            bits = pairs_of(forms)
+            sizes = np.array([len(w) for w in forms])
             left, right = [], []
             for j, need in enumerate(self.need):
                 both = np.bitwise_count(bits & self.bits[:, j, None])
                 hit = np.flatnonzero((both[0] + both[1] >= need) & (sizes <= LONGER * len(self.landmarks[j])))
                 left += [forms[k] for k in hit]
                 right += [j] * len(hit)
-            sim = similarity([w for _, w in left], [self.landmarks[j] for j in right])
+            sim = similarity(left, [self.landmarks[j] for j in right])
             for k in np.flatnonzero(sim >= FLOOR).tolist():
-                found.setdefault(left[k][0], []).append((right[k], float(sim[k])))
+                for i in tokens_of[left[k]]:
+                    found.setdefault(i, []).append((right[k], float(sim[k])))
         for i, t in enumerate(new):
             if i in found:
                 self.known[t] = found[i]
@@ -164,7 +172,9 @@ class Matcher:
             rows = []
             if not known.keys().isdisjoint(tokens):
                 # cut at white space only, runs before it: the words are those that were learnt
-                for s in SENTENCE.split(SPELT.sub(lambda run: " ".join(joined(run.group())), text)):
+                if MAYBE_SPELT.search(text):
+                    text = SPELT.sub(lambda run: " ".join(joined(run.group())), text)
+                for s in SENTENCE.split(text):
                     hits = [known[w] for w in s.split() if w in known]
                     if hits:
                         v = np.zeros(len(self.landmarks))
@@ -177,7 +187,8 @@ class Matcher:
 
 def spelled(text: str) -> list[str]:
     """Words, and those that runs of three or more single characters spell."""
-    return text.split() + [w for run in SPELT.findall(text) for w in joined(run)]
+    runs = SPELT.findall(text) if MAYBE_SPELT.search(text) else []
+    return text.split() + [w for run in runs for w in joined(run)]
 
 
 def joined(run: str) -> list[str]:

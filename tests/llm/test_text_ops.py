@@ -234,3 +234,26 @@ def test_toxicity_held_out_accuracy(spark):
     rows = scored.join(marks, "doc_id").where("held_out").select("toxic", "predicted").collect()
     both = sum(r.toxic and r.predicted for r in rows)
     assert both >= 0.75 * sum(r.toxic for r in rows) and both >= 0.75 * sum(r.predicted for r in rows)
+
+
+def test_marks_share_forms_and_runs_are_ruled_out(monkeypatch):
+    """Tokens that differ in marks only are compared once; a text without a possible run is not searched for runs."""
+    import random
+
+    from tessera.llm import toxicity as X
+
+    seen = []
+    plain = X.pairs_of
+    monkeypatch.setattr(X, "pairs_of", lambda words: seen.append(list(words)) or plain(words))
+    m = X.Matcher(["stupid"])
+    m.learn({"stupidd", "stupidd,", "(stupidd", "other", "other."})
+    assert sorted(seen[-1]) == ["other", "stupidd"]
+    assert m.known.keys() == {"stupidd", "stupidd,", "(stupidd"} and len({repr(v) for v in m.known.values()}) == 1
+    random.seed(2)
+    hits = 0
+    for _ in range(20_000):
+        text = "".join(random.choice("ab.\"  \n\t ") for _ in range(random.randrange(14)))
+        runs = X.SPELT.findall(text)
+        hits += bool(runs)
+        assert not runs or X.MAYBE_SPELT.search(text)
+    assert hits > 100
