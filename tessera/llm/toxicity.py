@@ -53,7 +53,8 @@ MARKS = ".,;:!?\"'()[]{}<>«»„“”…"
 SPELT = re.compile(r"(?<!\S)[{0}]*\S(?:\s\S){{2,}}[{0}]*(?!\S)".format(re.escape(MARKS)))
 #: What every such run holds; far quicker to rule out than a run is to look for.
 MAYBE_SPELT = re.compile(r"\s\S\s\S(?=[\s{0}]|\Z)".format(re.escape(MARKS)))
-SENTENCE = re.compile(r"(?:(?<=[.!?])|(?<=[.!?][\"')\]»”]))\s+|\n+")
+#: White space behind a mark, or line ends; starts with a character set, for which the engine scans fast.
+SENTENCE = re.compile(r"\s(?:(?<=[.!?]\s)\s*|(?<=[.!?][\"')\]»”]\s)\s*|(?<=\n)\n*)")
 INSIDE = re.compile(r"[.!?]+")
 
 
@@ -69,27 +70,29 @@ def kernel(a: list[str], b: list[str], p: int = P, decay: float = DECAY) -> np.n
         return np.zeros(0)
     s, t = _codes(a), _codes(b)
     n, m, d2 = s.shape[1], t.shape[1], decay * decay
-    same = (s[:, :, None] == t[:, None, :]) & (s[:, :, None] != 0)
-    prior = np.ones((len(a), n + 1, m + 1))
+    s, t = np.ascontiguousarray(s.T), np.ascontiguousarray(t.T)  # the pairs lie side by side
+    same = ((s[:, None] == t[None]) & (s[:, None] != 0)).astype(float)
+    prior = np.ones((n + 1, m + 1, len(a)))
     for _ in range(p - 1):
         new = np.zeros_like(prior)
         for i in range(1, n + 1):
+            step = d2 * same[i - 1] * prior[i - 1, :-1]
             run = np.zeros(len(a))
             for j in range(1, m + 1):
-                run = decay * run + d2 * same[:, i - 1, j - 1] * prior[:, i - 1, j - 1]
-                new[:, i, j] = decay * new[:, i - 1, j] + run
+                run = decay * run + step[j - 1]
+                new[i, j] = decay * new[i - 1, j] + run
         prior = new
-    return d2 * (same * prior[:, :-1, :-1]).sum(axis=(1, 2))
+    return d2 * (same * prior[:-1, :-1]).sum(axis=(0, 1))
 
 
 def _blocked(a: list[str], b: list[str]) -> np.ndarray:
     """``kernel`` in blocks of pairs of similar length."""
     out = np.zeros(len(a))
-    order = sorted(range(len(a)), key=lambda i: (len(a[i]), len(b[i])))
+    order = np.lexsort(([*map(len, b)], [*map(len, a)])).tolist()
     start = 0
     while start < len(order):
         stop, n, m = start, len(a[order[start]]) + 2, len(b[order[start]]) + 4
-        while stop < len(order) and stop - start < 4096 and len(a[order[stop]]) <= n and len(b[order[stop]]) <= m:
+        while stop < len(order) and stop - start < 1024 and len(a[order[stop]]) <= n and len(b[order[stop]]) <= m:
             stop += 1
         idx = order[start:stop]
         out[idx] = kernel([a[i] for i in idx], [b[i] for i in idx])
@@ -177,9 +180,13 @@ class Matcher:
                 for s in SENTENCE.split(text):
                     hits = [known[w] for w in s.split() if w in known]
                     if hits:
+                        best: dict[int, float] = {}
+                        for h in hits:
+                            for j, x in h:
+                                if x > best.get(j, 0.0):
+                                    best[j] = x
                         v = np.zeros(len(self.landmarks))
-                        for j, x in (p for h in hits for p in h):
-                            v[j] = max(v[j], x)
+                        v[list(best)] = list(best.values())
                         rows.append(v)
             out.append(rows)
         return out

@@ -257,3 +257,27 @@ def test_marks_share_forms_and_runs_are_ruled_out(monkeypatch):
         hits += bool(runs)
         assert not runs or X.MAYBE_SPELT.search(text)
     assert hits > 100
+
+
+def test_sentences_are_cut_fast():
+    """The cuts of two plain look-behinds, in well under their time."""
+    import random
+    import re
+    import time
+
+    plain = re.compile(r"(?:(?<=[.!?])|(?<=[.!?][\"')\]»”]))\s+|\n+")
+    r = random.Random(1)
+    for _ in range(20_000):
+        x = "".join(r.choice(" \n\t.!?\"')]»”ab") for _ in range(r.randrange(14)))
+        assert toxicity.SENTENCE.split(x) == plain.split(x)
+    text = "some words of a sentence that goes on, and on. " * 4000
+
+    def seconds(pattern):
+        took = []
+        for _ in range(5):
+            t = time.process_time()
+            pattern.split(text)
+            took.append(time.process_time() - t)
+        return min(took)
+
+    assert seconds(toxicity.SENTENCE) < 0.75 * seconds(plain)
