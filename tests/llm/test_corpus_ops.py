@@ -167,6 +167,27 @@ def test_suffix_edges_and_query(spark):
         assert (got[d].n_bytes, got[d].n_removed, got[d].kept_sha256) == (len(t), sum(gone), hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_planted_passages(spark):
+    """Passages of over 50 words in two documents each: they go from 400 bytes on, shorter ones stay whatever their words."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    fill = lambda: " ".join(word(6) for _ in range(200))
+    rows, size = [], {}
+    for i, (words, chars) in enumerate([(51, 5), (55, 6), (57, 6), (58, 6), (70, 6), (200, 4)] * 3):
+        passage = " ".join(word(chars) for _ in range(words))
+        for d in (2 * i, 2 * i + 1):
+            rows.append((d, f"{fill()}\n{passage}\n{fill()}"))
+            size[d] = len(passage) + 2  # the line ends around it recur too
+    rows += [(1000 + i, fill()) for i in range(20)]
+    assert sorted(set(size.values()))[:3] == [307, 386, 400]
+    out = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), outputs=("n_bytes", "n_removed"), carried=["doc_id"])
+    got = {r.doc_id: r for r in out.collect()}
+    assert {d: got[d].n_bytes for d, _ in rows} == {d: len(t) for d, t in rows}
+    for d, _ in rows:
+        # a letter beside the passage may happen to be equal in both documents
+        assert got[d].n_removed == 0 if size.get(d, 0) < 398 else size[d] <= got[d].n_removed < size[d] + 8
+
+
 @pytest.mark.parametrize("n, bits", [(2, 3), (3, 3), (3, 2), (1, 3)])
 def test_curve_visits_neighbours(spark, n, bits):
     cells = spark.range(1 << (n * bits)).select(*[F.shiftright("id", bits * i).bitwiseAND((1 << bits) - 1).cast("int").alias(f"x{i}") for i in range(n)])
