@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.plans import rounds as RD
+from tessera.session import materialize
 
 TEMPLATES = RD.Templates(classify="C {topic}", generate="G {topic}|{context}|{news}|{critique}", critique="K {topic}|{draft}")
 NEWS, QUIET = '{"needs_news": true, "categories": ["tech"]}', '{"needs_news": false, "categories": []}'
@@ -86,3 +87,30 @@ def test_empty_topics(spark):
 def test_fill_is_one_pass(spark):
     r = spark.range(1).select(RD.fill("{a}-{b}-{c}-{a}", {"a": F.lit("{b}"), "b": F.lit(None).cast("string")}).alias("x")).first()
     assert r.x == "{b}-None-{c}-{b}"
+
+
+def test_wide_rows_are_not_sent_to_all_tasks(spark, monkeypatch):
+    """Recurring texts make small files of large rows; by their files the joins broadcast them all."""
+    plans = []
+
+    def stored(df, name="table", compression=None):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return materialize(df, name, compression)
+
+    monkeypatch.setattr(RD, "materialize", stored)
+    rule = lambda t, a, s: QUIET if t % 2 and s == "classify" else NEWS if s == "classify" else "draft " * 100 if s == "generate" else "{}"
+    topics = [(i, f"topic {i % 3}") for i in range(60)]
+
+    def rows():
+        got = run(spark, topics, rule)[3]
+        plans.append(("outcomes", got.outcomes._jdf.queryExecution().executedPlan().toString()))
+        plans.append(("requests", got.requests._jdf.queryExecution().executedPlan().toString()))
+        return sorted(map(tuple, got.outcomes.collect())), sorted(map(str, got.requests.collect()))
+
+    sent = rows()
+    # the few texts that were gathered may be sent, by their measured size; topics, requests and replies may not
+    wide = [name for name, plan in plans if "Broadcast" in plan and "requests" not in name]
+    assert not wide and len(sent[0]) == 60 and len(sent[1]) == 60 * 7
+    plans.clear()
+    monkeypatch.setattr(RD, "SENT_BYTES", -1)
+    assert rows() == sent and not [name for name, plan in plans if "Broadcast" in plan]
